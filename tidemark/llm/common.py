@@ -36,12 +36,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
-    """One contiguous array with nulls as empty texts."""
+    """One contiguous array with nulls as empty texts. It is a fresh copy: some string kernels misread arrays whose offsets don't begin at zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     if isinstance(column, pa.ChunkedArray):  # no chunk at all
         column = pa.array([], pa.large_string())
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    return pc.fill_null(column.take(pa.array(np.arange(len(column)))).cast(pa.large_string()), "")
 
 
 def by_bytes(batch: pa.RecordBatch | pa.Table, column: str, most: int):
