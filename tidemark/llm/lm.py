@@ -34,7 +34,7 @@ from .common import by_bytes, hashes_of, mix, saved, shuffle_partitions, spans_o
 ORDER = 2
 MU = 20.0
 FOLDS, HELD_OUT = 5, 1
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SEGMENT = 512
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -110,6 +110,22 @@ class Block:
             self.last.append(here[first])  # a place where each n-gram ends
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Counts, of which nearly all are below 255, in a byte each; the rest follow with their places."""
+    large = np.flatnonzero(values >= 255)
+    sizes = np.array([len(values), len(large)], dtype=np.int64)
+    return b"".join([sizes.tobytes(), large.astype(np.int64).tobytes(), values[large].astype(np.int64).tobytes(), np.minimum(values, 255).astype(np.uint8).tobytes()])
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, int]:
+    """(counts, bytes read)."""
+    n, m = np.frombuffer(data, dtype=np.int64, count=2).tolist()
+    large, exact = np.frombuffer(data, dtype=np.int64, count=2 * m, offset=16).reshape(2, m)
+    values = np.frombuffer(data, dtype=np.uint8, count=n, offset=16 + 16 * m).astype(np.int64)
+    values[large] = exact
+    return values, 16 + 16 * m + n
+
+
 def shard_edges(grams: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's hash range starts and ends among sorted hashes."""
     limits = [(k << 64) // shards for k in range(1, shards)]
@@ -128,7 +144,7 @@ def totals(made: DataFrame, order: int, shards: int) -> DataFrame:
                 columns = [[row["block"]] * shards, list(range(shards))]
                 for grams, counts, edge in zip(block.grams, block.counts, cuts):
                     columns.append([grams[a:b].tobytes() for a, b in zip(edge, edge[1:])])
-                    columns.append([counts[a:b].astype(np.uint32).tobytes() for a, b in zip(edge, edge[1:])])
+                    columns.append([packed(counts[a:b]) for a, b in zip(edge, edge[1:])])
                 kinds = [pa.int64(), pa.int32()] + [pa.binary()] * (2 * order)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "shard", *[f"{x}{n}" for n in range(1, order + 1) for x in "gc"]])
 
@@ -137,15 +153,15 @@ def totals(made: DataFrame, order: int, shards: int) -> DataFrame:
         sums = []
         for n in range(1, order + 1):
             grams = [np.frombuffer(x, dtype=np.uint64) for x in rows[f"g{n}"]]
-            counts = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in rows[f"c{n}"]])
+            counts = np.concatenate([unpacked(x)[0] for x in rows[f"c{n}"]])
             keys, of = np.unique(np.concatenate(grams), return_inverse=True)
             total = np.bincount(of, weights=counts, minlength=len(keys)).astype(np.int64)
             ends = np.cumsum([len(g) for g in grams])
             for k, (b, g) in enumerate(zip(ends, grams)):
-                out[k].append(total[of[b - len(g) : b]])
+                out[k].append(packed(total[of[b - len(g) : b]]))
             sums += [int(total.sum()), int((total > 0).sum())]
         shard = int(rows["shard"].iloc[0])
-        answers = [np.concatenate([np.array([len(x) for x in some], dtype=np.int64), *some]).tobytes() for some in out]
+        answers = [b"".join(some) for some in out]
         return pd.DataFrame({"block": [*rows["block"], -1], "shard": [shard] * (len(rows) + 1), "answers": [*answers, b""], "n": [0] * len(rows) + [sums[0]], "v": [0] * len(rows) + [sums[1]]})
 
     asked = made.mapInArrow(ask, f"block long, shard int, {fields}")
@@ -253,10 +269,10 @@ def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU) -> Data
             block = Block(row, order)
             parts = [[] for _ in range(order)]
             for data in answers.sort_values("shard")["answers"]:
-                values = np.frombuffer(data, dtype=np.int64)
-                ends = order + np.cumsum(values[:order])
                 for n in range(order):
-                    parts[n].append(values[ends[n] - values[n] : ends[n]])
+                    values, size = unpacked(data)
+                    parts[n].append(values)
+                    data = data[size:]
             known = [np.concatenate(p) for p in parts]
             machine = Automaton(block, known, n_all, v_all, mu)
             words, lengths = block.of[0], block.lengths
