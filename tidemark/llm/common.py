@@ -35,6 +35,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system, for the JVM beside it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_array(column: pa.Array | pa.ChunkedArray) -> pa.LargeStringArray:
     """One contiguous array with nulls as empty texts. It is a fresh copy: some string kernels misread arrays whose offsets don't begin at zero."""
     if isinstance(column, pa.ChunkedArray):

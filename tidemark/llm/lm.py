@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, hashes_of, mix, saved, shuffle_partitions, spans_of, text_array, words_of
+from .common import by_bytes, hashes_of, mix, saved, shuffle_partitions, spans_of, text_array, trim, words_of
 
 #: Longest n-gram. 2 keeps what is sent within a small multiple of the input; 3 sends about as many n-grams as there are words.
 ORDER = 2
@@ -68,6 +68,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             values = np.array([i or 0 for i in ids], dtype=np.int64)
             row = [first + number, np.concatenate([values, known.astype(np.int64)]).tobytes(), np.array(out, dtype=bool).tobytes(), lengths.astype(np.int64).tobytes(), tokens.tobytes(), hashes.tobytes()]
             number, held, size = number + 1, [], 0
+            trim()
             return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(row)], names=["block", "doc_ids", "held_out", "lengths", "codes", "words"])
 
         for batch in batches:
@@ -104,7 +105,7 @@ class Block:
             grams, first, of = np.unique(whole[here], return_index=True, return_inverse=True)
             self.grams.append(grams)
             self.counts.append(np.bincount(of, weights=train[here], minlength=len(grams)).astype(np.int64))
-            full = np.full(len(words), -1, dtype=np.int64)  # the n-gram that ends at each token
+            full = np.full(len(words), -1, dtype=np.int32)  # the n-gram that ends at each token
             full[here] = of
             self.of.append(full)
             self.last.append(here[first])  # a place where each n-gram ends
@@ -147,6 +148,8 @@ def totals(made: DataFrame, order: int, shards: int) -> DataFrame:
                     columns.append([packed(counts[a:b]) for a, b in zip(edge, edge[1:])])
                 kinds = [pa.int64(), pa.int32()] + [pa.binary()] * (2 * order)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "shard", *[f"{x}{n}" for n in range(1, order + 1) for x in "gc"]])
+                del block, columns
+                trim()
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         out = [[] for _ in range(len(rows))]
@@ -281,6 +284,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU) -> Data
             ids = pd.array(block.ids, dtype="Int64")
             ids[~block.has_id] = pd.NA
             frames.append(pd.DataFrame({"doc_id": ids, "held_out": block.held_out, "n_tokens": lengths, "n_known": each(known[0][words] > 0).astype(np.int64), "train_tokens": n_all, "base_score": each(machine.root[words]), "score": machine.walk(words, lengths, order - 1)}))
+            del block, machine, known, parts
+            trim()
         return pd.concat(frames) if frames else pd.DataFrame(columns=[x.split()[0] for x in SCORED.split(", ")])
 
     sent = told.where("block >= 0").select("block", "shard", "answers")
