@@ -1,23 +1,50 @@
-"""The corpus pipeline: quality rules, near-dedup, decontamination, PII, packing. Stages are added as they are built."""
+"""The corpus pipeline: quality rules, near-dedup, decontamination, PII, packing. Each stage is written and read again before the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.packing import pack_documents
 from tidemark.llm.common import saved
+from tidemark.llm.decontaminate import without_leaks
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.private import sanitised
+from tidemark.llm.quality import keep_good
+from tidemark.llm.simhash import one_of_each
+from tidemark.session import table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents, and those of rejected hosts, go."""
+    return keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts give way to placeholders; n_chars follows."""
+    return sanitised(docs, size="n_chars")
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document: its sequence and its place there."""
     return pack_documents(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("decontamination", decontamination), ("private data", private_data), ("packing", packing)]
+#: SQL has no counterpart of fingerprint groups, tokenizers and packing: tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
