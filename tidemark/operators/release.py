@@ -68,8 +68,8 @@ def rank_candidates(requests: DataFrame, candidates: DataFrame, keep: int | None
         if_((v("fps") != 0) & (gap < 0.01), 8) + if_((v("fps") != 0) & (gap > 0.5), -12),
         if_(wrong(F.col("want_season"), s("season")), -100) + if_(wrong(F.col("want_episode"), s("episode")), -100),
         if_(F.col("machine_translated"), -8),
-        F.coalesce(F.least(F.lit(8), whole(F.col("rating"))), F.lit(0)),
-        F.coalesce(F.least(F.lit(5), F.floor(F.log10(F.when(F.col("downloads") > 0, F.col("downloads") + 1))).cast("int")), F.lit(0)),
+        F.when(F.col("rating").isNotNull(), F.least(F.lit(8), whole(F.col("rating")))).otherwise(0),
+        F.when(F.col("downloads") > 0, F.least(F.lit(5), F.floor(F.log10(F.col("downloads") + 1)).cast("int"))).otherwise(0),
     ]
     score = F.greatest(F.lit(0), F.least(F.lit(100), sum(points, F.lit(10))))
     reasons = F.array_compact(F.array(
