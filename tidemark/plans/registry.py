@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import align, cues, release, report, state, text
+from ..operators import align, batches, cues, release, report, state, text
+from ..sources import formats
 from . import dialect
 from .dialect import Dialect
 
@@ -272,6 +273,34 @@ def unchanged(spark, sf_dir):
     return out.withColumn("refused", (F.col("n") >= 3) & (F.col("same") > 0.25 * F.col("n")))
 
 
+ENTRIES = lambda d: f"""SELECT l_orderkey AS file_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS ordinal, CASE WHEN l_suppkey % 11 = 0 THEN '__MACOSX/' ELSE '' END || 'show.s01e0' || CAST(1 + l_partkey % 4 AS STRING)
+  || CASE WHEN l_suppkey % 5 = 0 THEN '.Sample' ELSE '' END || {d.at('.srt,.ass,.nfo', '1 + l_partkey % 3')} AS name, CAST(floor(l_extendedprice * 80) AS BIGINT) AS bytes, CAST(1 + l_orderkey % 4 AS INT) AS episode FROM {d.table('lineitem')}"""
+
+
+@query("D3_choose_file", f"""WITH e AS (SELECT *, coalesce(TRY_CAST(regexp_extract(lower(name), 'e0*(\\d+)', 1) AS INT) = episode, false) AS fits FROM ({ENTRIES(PLAIN)}) WHERE name NOT LIKE '%.nfo' AND name NOT LIKE '\\_\\_MACOSX%' ESCAPE '\\' AND bytes <= 5242880),
+n AS (SELECT *, bool_or(fits) OVER (PARTITION BY file_id) AS anyfit FROM e) SELECT file_id, ordinal, name, bytes FROM n WHERE fits OR NOT anyfit QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY contains(lower(name), 'sample'), bytes DESC, ordinal) = 1""")
+def chosen_file(spark, sf_dir):
+    return formats.choose_file(adapter(spark, sf_dir, ENTRIES))
+
+
+@query("T1_batches")
+def batched(spark, sf_dir):
+    """Batches of at most 40 cues and 400 characters."""
+    times = adapter(spark, sf_dir, dialect.cue_times)
+    return batches.batch_cues(times.select("track_id", F.col("k").alias("id"), "start_ms", (F.col("start_ms") + F.col("length_ms")).alias("end_ms"), F.concat(F.lit("Line "), F.col("k").cast("string")).alias("text")), 40, 400)
+
+
+@query("G6_cache_search", """WITH c AS (SELECT o_orderkey AS key, 'tt' || CAST(o_custkey AS VARCHAR) AS content_id, o_orderpriority AS provider, o_orderstatus AS language, CAST(floor(o_totalprice) AS BIGINT) AS bytes, o_orderdate AS cached_at FROM orders)
+SELECT key, content_id, provider, bytes, CAST(sum(bytes) OVER () AS BIGINT) AS shown_bytes FROM (SELECT * FROM c WHERE contains(lower(content_id || ' ' || provider || ' ' || language), 'urgent') ORDER BY cached_at DESC, key DESC LIMIT 200)""")
+def cached(spark, sf_dir):
+    """The newest 200 cache entries that a search word fits."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    entries = orders.select(F.col("o_orderkey").alias("key"), F.concat(F.lit("tt"), F.col("o_custkey").cast("string")).alias("content_id"), F.col("o_orderpriority").alias("provider"), F.col("o_orderstatus").alias("language"), F.floor("o_totalprice").cast("long").alias("bytes"), F.col("o_orderdate").alias("cached_at"))
+    found = entries.where(F.lower(F.concat_ws(" ", "content_id", "provider", "language")).contains("urgent")).orderBy(F.desc("cached_at"), F.desc("key")).limit(200)
+    total = found.agg(F.sum("bytes").cast("long").alias("shown_bytes"))
+    return found.crossJoin(F.broadcast(total)).select("key", "content_id", "provider", "bytes", "shown_bytes")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
