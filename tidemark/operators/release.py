@@ -87,29 +87,37 @@ def unite(candidates: DataFrame) -> DataFrame:
     return out.select("request_id", "provider", "provider_id", "ordinal", *[F.col("last")[c].alias(c) for c in rest])
 
 
+def seats(providers: list[str], size: int) -> list[tuple[int, int]]:
+    """(wave, seat) of each of a ranked list's candidates."""
+    rest, wave, places = list(range(len(providers))), 0, [(0, 0)] * len(providers)
+    while rest:
+        taken, seen = [], set()
+        for i in rest:
+            if len(taken) < size and providers[i] not in seen:
+                taken.append(i)
+                seen.add(providers[i])
+        taken += [i for i in rest if i not in taken][: size - len(taken)]
+        for seat, i in enumerate(taken):
+            places[i] = (wave, seat)
+        rest, wave = [i for i in rest if i not in taken], wave + 1
+    return places
+
+
 def waves(ranked: DataFrame, size: int = 3) -> DataFrame:
-    """Adds wave and seat (from 0). A wave takes the best candidate of each of up to `size` providers, then fills up by rank. One request's ranked list is small (a candidate limit bounds it)."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position").reset_index(drop=True)
-        rest, wave = list(range(len(rows))), 0
-        places = [(0, 0)] * len(rows)
-        while rest:
-            taken, seen = [], set()
-            for i in rest:
-                if len(taken) < size and rows.at[i, "provider"] not in seen:
-                    taken.append(i)
-                    seen.add(rows.at[i, "provider"])
-            taken += [i for i in rest if i not in taken][: size - len(taken)]
-            for seat, i in enumerate(taken):
-                places[i] = (wave, seat)
-            rest, wave = [i for i in rest if i not in taken], wave + 1
-        rows["wave"], rows["seat"] = [p[0] for p in places], [p[1] for p in places]
-        return rows
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema) + ", wave int, seat int"
-    return ranked.groupBy("request_id").applyInPandas(run, schema)
+    """Adds wave and seat (from 0). A wave takes the best candidate of each of up to `size` providers, then fills up by rank. One request's ranked list is small (a candidate limit bounds it), and is one row here."""
+
+    def run(batches):
+        for rows in batches:
+            rows["places"] = [[{"wave": w, "seat": s} for w, s in seats(list(p), size)] for p in rows["providers"]]
+            yield rows[["request_id", "all", "places"]]
+
+    rest = [c for c in ranked.columns if c not in ("request_id", "position")]
+    lists = ranked.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("position", *rest))).alias("all"))
+    lists = lists.select("request_id", "all", F.col("all.provider").alias("providers"))
+    kinds = {f.name: f.dataType.simpleString() for f in lists.schema}
+    placed = lists.mapInPandas(run, f"request_id {kinds['request_id']}, all {kinds['all']}, places array<struct<wave:int,seat:int>>")
+    each = placed.select("request_id", F.explode(F.arrays_zip("all", "places")).alias("x"))
+    return each.select(*[F.col("request_id") if c == "request_id" else F.col(f"x.all.{c}") for c in ranked.columns], "x.places.wave", "x.places.seat")
 
 
 def winners(tried: DataFrame, bar: int = 58) -> DataFrame:
