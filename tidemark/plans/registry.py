@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import align, batches, cues, release, report, state, text
+from ..operators import align, batches, cues, policy, release, report, state, text
 from ..sources import formats
 from . import dialect
 from .dialect import Dialect
@@ -301,6 +301,23 @@ def cached(spark, sf_dir):
     return found.crossJoin(F.broadcast(total)).select("key", "content_id", "provider", "bytes", "shown_bytes")
 
 
+@query("V4_sample_seconds", "SELECT o_orderkey AS probe_id, CAST(CASE WHEN o_custkey % 9 = 0 THEN 15 ELSE greatest(8, least(15, floor(62914560.0 / floor(o_totalprice * 40)))) END AS INT) AS seconds FROM orders")
+def sample_lengths(spark, sf_dir):
+    rate = F.when(F.col("o_custkey") % 9 != 0, F.floor(F.col("o_totalprice") * 40))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("probe_id"), policy.sample_seconds(15, 4, 240 << 20, rate).alias("seconds"))
+
+
+@query("S12_wait_times", "SELECT event_id, CAST(least(30000, 250 * pow(2, event_id % 12)) AS BIGINT) AS wait_ms FROM events")
+def waits(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", policy.wait_ms(F.col("event_id") % 12 + 1).alias("wait_ms"))
+
+
+@query("W17_banners", f"SELECT track_id, 300::BIGINT AS start_ms, least(6300, f - 200)::BIGINT AS end_ms FROM (SELECT track_id, min(start_ms + (track_id % 9) * 400 - 600) AS f FROM ({TIMES}) GROUP BY 1) WHERE least(6300, f - 200) - 300 >= 1500")
+def banner_places(spark, sf_dir):
+    times = adapter(spark, sf_dir, dialect.cue_times)
+    return policy.banners(times.select("track_id", (F.col("start_ms") + (F.col("track_id") % 9) * 400 - 600).alias("start_ms")))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
