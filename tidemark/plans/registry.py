@@ -184,10 +184,10 @@ n AS (SELECT track_id, max(at_ms) AS d FROM (FROM x UNION ALL FROM y) GROUP BY A
 f AS (SELECT 0 AS side, a.track_id, a.section, a.at_ms, a.at_ms - p.at_ms AS dp FROM xs a ASOF LEFT JOIN ys p ON a.track_id = p.track_id AND a.section = p.section AND a.at_ms >= p.at_ms UNION ALL SELECT 1, a.track_id, a.section, a.at_ms, a.at_ms - p.at_ms FROM ys a ASOF LEFT JOIN xs p ON a.track_id = p.track_id AND a.section = p.section AND a.at_ms >= p.at_ms),
 g AS (SELECT f.*, q.at_ms - f.at_ms AS dn FROM f ASOF LEFT JOIN ys q ON f.track_id = q.track_id AND f.section = q.section AND f.at_ms <= q.at_ms WHERE side = 0 UNION ALL SELECT f.*, q.at_ms - f.at_ms FROM f ASOF LEFT JOIN xs q ON f.track_id = q.track_id AND f.section = q.section AND f.at_ms <= q.at_ms WHERE side = 1),
 m AS (SELECT track_id, section, avg(greatest(0, 1 - coalesce(least(dp, dn), 1500) / 1500.0)) FILTER (WHERE side = 0) AS a, avg(greatest(0, 1 - coalesce(least(dp, dn), 1500) / 1500.0)) FILTER (WHERE side = 1) AS b, count(*) FILTER (WHERE side = 0) AS na, count(*) FILTER (WHERE side = 1) AS nb FROM g GROUP BY ALL)
-SELECT track_id, section, round(CASE WHEN na >= 3 AND nb >= 3 THEN (a + b) / 2 ELSE 0 END, 6) AS score FROM m""")
+SELECT track_id, section, round(CASE WHEN na >= 3 AND nb >= 3 THEN (a + b) / 2 ELSE 0 END + 1e-9, 6) AS score FROM m""")
 def nearest(spark, sf_dir):
     times = adapter(spark, sf_dir, dialect.cue_times)
-    return align.proximity_scores(times.select("track_id", F.col("start_ms").alias("at_ms")), reference_of(times)).withColumn("score", F.round("score", 6))
+    return align.proximity_scores(times.select("track_id", F.col("start_ms").alias("at_ms")), reference_of(times)).withColumn("score", F.round(F.col("score") + 1e-9, 6))  # a tie in the last place falls alike whatever the order of summing
 
 
 @query("X11_align_activity")
