@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from tidemark.llm import content, decontaminate, lm, packing, passages, private, quality, queries, simhash, tokens, urls
+from tidemark.llm import content, decontaminate, lm, packing, passages, private, quality, queries, similar, simhash, tokens, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -272,9 +272,35 @@ def test_extract_nulls(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in content.extract(pages).collect()) == [(1, "", 0), (1, "", 0), (2, "some words here", 15)]
 
 
+def shingles_of(text: str | None) -> frozenset:
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return frozenset(" ".join(words[k : k + similar.SHINGLE]) for k in range(max(1, len(words) - similar.SHINGLE + 1))) if words else frozenset()
+
+
+def test_similar_links_against_brute_force(spark, docs):
+    own = {r.doc_id: shingles_of(r.text) for r in docs.select("doc_id", "text").collect()}
+    own = {k: v for k, v in own.items() if k is not None and v}
+    found = {r.node: r.root for r in simhash.components(similar.similar_links(docs)).collect()}
+    alike = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a < b}
+    assert all(found.get(a, a) == found.get(b, b) for (a, b), s in alike.items() if s >= 0.88)
+    assert all(max(s for p, s in alike.items() if a in p) > 0.6 for a in found)
+    assert any(0.8 <= s < 1 for s in alike.values())
+
+
+def test_similar_links_in_chunks_and_nulls(spark):
+    base = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, base.replace("word30", f"other{k}")) for k in range(40)] + [(100, None), (101, ""), (102, "one two"), (103, "one two"), (None, base), (7, base.replace("word30", "other7"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("g", F.lit("x"))
+    for chunk in (4096, 5):
+        found = {r.node: r.root for r in simhash.components(similar.similar_links(docs, chunk=chunk)).collect()}
+        assert found == {k: 0 for k in range(1, 40)} | {103: 102}
+    kept = [r.doc_id for r in simhash.one_of_each(docs).collect()]
+    assert sorted(k for k in kept if k is not None) == [0, 100, 102] and kept.count(None) == 1
+
+
 OPERATORS = {
     "lm": lm.score_documents, "simhash": simhash.near_groups, "packing": packing.pack_documents, "tokens": tokens.count_tokens, "private": private.digest, "sanitised": private.sanitised,
-    "passages": passages.passages, "quality": quality.judge, "keep_good": quality.keep_good, "one_of_each": simhash.one_of_each,
+    "passages": passages.passages, "quality": quality.judge, "keep_good": quality.keep_good, "one_of_each": simhash.one_of_each, "similar": similar.similar_links,
 }
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, saved, shuffle_partitions, text_array
+from .similar import similar_links
 
 SHINGLE = 4
 SEED = 42
@@ -227,9 +228,12 @@ def digest(groups: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, that of the smallest id; all columns stay."""
-    groups = saved(near_groups(docs), "simhash-groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    """docs with one document of each group, that of the smallest id; all columns stay. Groups are the components of fingerprint links and of links by shingle similarity; rows without an id all stay."""
+    groups = near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
+    edges = saved(groups.union(similar_links(docs)), "near-edges")
+    gone = components(edges).select(F.col("node").alias("doc_id")).distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    ids = groups.where("doc_id = component_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("u")).first()
-    return kept.dropDuplicates(["doc_id"]) if ids["n"] > ids["u"] else kept
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count()
+    if ids.where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
