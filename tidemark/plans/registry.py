@@ -324,3 +324,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v.replace("{J1}", SQL["J1_activity_score"]) for k, v in SQL.items()}
+
+
+from . import more  # noqa: E402, F401 (adds its queries to the registry)
