@@ -229,6 +229,17 @@ def test_passages_with_edits(spark, docs):
     assert {800, 801} & {r.doc_id for r in passages.passages(docs).collect()} == set()
 
 
+def test_every_passage_of_a_pair():
+    code = lambda *parts: np.array([zlib.crc32(w.encode()) for p in parts for w in p.split()])
+    one, two, three = (prose(n, 710 + n) for n in (60, 61, 200))
+    x = code(one, prose(60, 721), two, prose(40, 722), three)
+    y = code(one, prose(60, 723), two, prose(70, 724), three)
+    assert passages.chained([0, 120, 221], [0, 120, 251], [60, 61, 200]) == [[0, 1, 2]]
+    got = passages.aligned(x, y, [0, 120, 221], [0, 120, 251], [60, 61, 200])
+    assert [g[4] for g in got] == [60, 61, 200]
+    assert [g[:4] for g in got] == [(0, 60, 0, 60), (120, 181, 120, 181), (221, 421, 251, 451)]
+
+
 def test_fenwick_chains():
     assert passages.chained([0, 20, 40], [0, 22, 5], [10, 10, 10]) == [[0, 1], [2]]
     x, y = passages.common_pairs(np.array([1, 2, 3, 4]), np.array([2, 9, 4]))
