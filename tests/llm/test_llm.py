@@ -240,6 +240,47 @@ def test_every_passage_of_a_pair():
     assert [g[:4] for g in got] == [(0, 60, 0, 60), (120, 181, 120, 181), (221, 421, 251, 451)]
 
 
+def test_passages_whose_parts_stand_elsewhere_first(spark):
+    """D1 and D2 hold a half each, B and C the whole: all pairs of places of 50 words and more must be told, whoever holds their seeds first."""
+    rows = []
+    for k in range(12):
+        one, two = prose(30, 740 + k), prose(30, 760 + k)
+        texts = [f"{one} {prose(60, 800 + k)}", f"{prose(60, 820 + k)} {two}", f"{prose(33, 840 + k)} {one} {two}", f"{one} {two} {prose(33, 860 + k)}"]
+        rows += [(10 * k + n, t) for n, t in enumerate(texts)]
+    copy = prose(70, 780)
+    rows += [(900, f"{copy} {prose(80, 781)} {copy}"), (901, copy)]
+    got = {(r.doc_id, r.first) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).where("last - first >= 58").collect()}
+    whole = {(10 * k + 2, 33) for k in range(12)} | {(10 * k + 3, 0) for k in range(12)} | {(900, 0), (900, 150), (901, 0)}
+    assert {(d, min((f for e, f in whole if e == d), key=lambda x: abs(x - at))) for d, at in got} == whole
+
+
+def test_passages_with_many_edits(spark):
+    rows = []
+    for k in range(40):
+        words = prose(60, 1000 + k).split()
+        edited = [f"new{n}" if n % 12 == k % 12 else w for n, w in enumerate(words)]
+        rows += [(2 * k, " ".join([prose(20, 1100 + k), *words])), (2 * k + 1, " ".join([*edited, prose(20, 1200 + k)]))]
+    got = {r.doc_id for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) >= 76
+
+
+def test_seed_links_across_tasks():
+    r = random.Random(9)
+    rows = sorted((r.randint(0, 5), r.randint(0, 9), k) for k in range(200))
+    seed, doc, at = (np.array(c) for c in zip(*rows))
+    runs = [k for k in range(200) if not k or rows[k][:2] != rows[k - 1][:2]] + [200]
+    expected = set()
+    for x, y, z in zip(runs, runs[1:], runs[2:]):
+        if seed[x] == seed[y]:
+            expected |= {(y, k) for k in range(x, y)} | {(k, y - 1) for k in range(y, z)}
+    assert passages.LINKS == 1 and set(zip(*map(np.ndarray.tolist, passages.linked(seed, doc, at)))) == expected
+    for cut in (1, 50, 117, 199):
+        low, high = passages.borders(seed[:cut], doc[:cut])[1], passages.borders(seed[cut:], doc[cut:])[0] + cut
+        kept = np.append(low, high)
+        found = {(int(kept[i]), int(kept[j])) for i, j in zip(*passages.linked(seed[kept], doc[kept], at[kept]))}
+        assert {p for p in expected if (p[0] < cut) != (p[1] < cut)} <= found
+
+
 def test_fenwick_chains():
     assert passages.chained([0, 20, 40], [0, 22, 5], [10, 10, 10]) == [[0, 1], [2]]
     x, y = passages.common_pairs(np.array([1, 2, 3, 4]), np.array([2, 9, 4]))
