@@ -153,6 +153,14 @@ def test_leaks_tolerate_substitutions(spark, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_leaks_go_by_row(spark):
+    item = prose(24, 500)
+    rows = [(None, item), (None, prose(40, 1)), (7, item), (7, prose(40, 2)), (8, prose(40, 3))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.without_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert Counter(map(tuple, kept)) == Counter([rows[1], rows[3], rows[4]])
+
+
 def test_packing_tiles_every_document(docs, plain):
     enc = tokens.encoder(tokens.DEFAULT)
     rows = packing.pack_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()

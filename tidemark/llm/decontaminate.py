@@ -86,7 +86,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that overlap a benchmark item; all columns stay."""
-    bad = saved(leaks(docs, benchmark).select(F.col("doc_id").alias("__bad_id")).distinct(), "leaks")
+    """docs without the rows that overlap a benchmark item, each row judged by its own text whatever its id; all columns stay."""
+    # Written first: a row's number must be the same in both readings.
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    bad = saved(leaks(rows.select(F.col("__row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__bad_row")).distinct(), "leaks")
     few = bad.count() <= BROADCAST_HITS
-    return docs.join(F.broadcast(bad) if few else bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")), "left_anti")
+    return rows.join(F.broadcast(bad) if few else bad, F.col("__row") == F.col("__bad_row"), "left_anti").drop("__row")
