@@ -153,6 +153,13 @@ def test_leaks_tolerate_substitutions(spark, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_leaks_of_eight_words_at_odd_places(spark):
+    item = prose(8, 510)
+    docs = spark.createDataFrame([(k, f"{prose(20 + k, 511)} {item} tail") for k in range(4)], "doc_id long, text string")
+    got = {(r.doc_id, r.doc_start) for r in decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {(k, 20 + k) for k in range(4)}
+
+
 def test_leaks_go_by_row(spark):
     item = prose(24, 500)
     rows = [(None, item), (None, prose(40, 1)), (7, item), (7, prose(40, 2)), (8, prose(40, 3))]

@@ -2,7 +2,8 @@
 
 A seed is the hash of the words that a fixed mask picks from a span of eight; the positions that it leaves out may differ.
 Benchmark items give a seed at every word, documents at every second word, for each of three masks, so a seed can begin at
-either parity. Equal seeds are joined; each hit names a diagonal (document position less item position). Along it the words
+either parity; an item of just eight words begins at one place only, so where there is one, documents give seeds at every
+word too. Equal seeds are joined; each hit names a diagonal (document position less item position). Along it the words
 of document and item are compared once, and a run that scores best (a match counts 1, a substitution -3) is an overlap if it
 has MIN_RUN words or more (or the whole of a shorter item) and MIN_SAME of them agree.
 
@@ -71,7 +72,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_seeds = items.select("no", F.explode(seeds("item", 1)).alias("s")).select("no", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
     small = item_seeds.count() <= BROADCAST_SEEDS
     words = docs.select("doc_id", word_hashes("text").alias("doc"))
-    doc_seeds = words.select("doc_id", F.explode(seeds("doc", STRIDE)).alias("s")).select("doc_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("doc_at"))
+    stride = STRIDE if items.where(F.size("item") == SPAN).isEmpty() else 1
+    doc_seeds = words.select("doc_id", F.explode(seeds("doc", stride)).alias("s")).select("doc_id", F.col("s.seed").alias("seed"), F.col("s.at").alias("doc_at"))
     hits = doc_seeds.join(F.broadcast(item_seeds) if small else item_seeds, "seed")
     hits = saved(hits.select("doc_id", "no", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct(), "leak-hits")
     few = hits.count() <= BROADCAST_HITS
