@@ -46,7 +46,7 @@ def plain(docs):
 
 
 def test_lm_equals_recursion(spark, docs, plain):
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6), r.held_out) for r in lm.score_documents(docs, mu=5.0).collect())
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6), r.held_out) for r in lm.score_documents(docs, order=2, mu=5.0).collect())
     words = [WORD.findall(lowered(t)) + ["</s>"] for _, t in plain]
     out = [zlib.crc32(("null" if i is None else str(i)).encode()) % 5 == 1 for i, _ in plain]
     one, two = Counter(), Counter()
@@ -65,9 +65,33 @@ def test_lm_equals_recursion(spark, docs, plain):
     assert abs(sum(p("xx", w) for w in one) + 0.5 / (n + 0.5 * (v + 1)) - 1) < 1e-9
 
 
-@pytest.mark.parametrize("order", [1, 3])
-def test_lm_orders(docs, order):
-    assert all(r.score < 0 for r in lm.score_documents(docs, order=order).collect())
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_lm_orders_equal_recursion(docs, plain, order):
+    mu = 5.0
+    got = sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 5)) for r in lm.score_documents(docs, order=order, mu=mu).collect())
+    words = [tuple(WORD.findall(lowered(t)) + ["</s>"]) for _, t in plain]
+    out = [zlib.crc32(("null" if i is None else str(i)).encode()) % 5 == 1 for i, _ in plain]
+    counts = Counter(w[k - n : k] for w, o in zip(words, out) if not o for n in range(1, order + 1) for k in range(n, len(w) + 1))
+    n_all, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+
+    def p(h, w):
+        if not h:
+            return (counts[w,] + 0.5) / (n_all + 0.5 * (v + 1))
+        return (counts[(*h, w)] + mu * p(h[1:], w)) / (counts[h] + mu)
+
+    expected = [(i is None, i or 0, round(sum(math.log10(p(w[max(0, k - order + 1) : k], w[k])) for k in range(len(w))), 5)) for (i, _), w in zip(plain, words)]
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 * max(1, abs(b[2])) for a, b in zip(got, sorted(expected))) and len(got) == len(expected)
+
+
+@pytest.mark.parametrize("power", [0, 3, 9, 16])
+def test_dense_hashes_round_trip(power):
+    values = np.unique(np.random.default_rng(power).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    bits = 64 - power
+    for shard in np.unique(values >> np.uint64(bits)).tolist() if power else [0]:
+        here = values[(values >> np.uint64(bits)) == shard] if power else values
+        data = lm.dense(here, shard, bits)
+        assert (lm.sparse(data, shard, bits) == here).all() and len(data) <= 9 * len(here) + 12
+    assert len(lm.sparse(lm.dense(values[:0], 0, bits), 0, bits)) == 0
 
 
 def fingerprint(text):

@@ -8,7 +8,10 @@ goes through the state's failure arc, of weight mu / (c(h) + mu), to the state o
 Spark runs it in three passes, none of which holds the whole model anywhere:
 1. `blocks`: documents become blocks of bounded size, written as token codes and the block's word hashes.
 2. `totals`: each block sends the distinct n-grams it holds, with their counts in its training documents, to shards by hash
-   range; a shard adds up and answers every block for exactly the n-grams that the block asked for.
+   range; a shard adds up and answers every block for exactly the n-grams that the block asked for. There are as many shards
+   as keep each one's n-grams within SHARD_BYTES, so a shard's task doesn't grow with the corpus, and only pairs of a block
+   and a shard that share n-grams make a row: never more rows than n-grams. Hashes go as differences within their bucket
+   (about 6 bytes each), counts deflated.
 3. `score`: each block builds the part of the automaton that its own texts can reach, and walks it from left to right, its
    texts in segments side by side. A segment starts a context's length early, after which an n-gram automaton's state is
    that of the whole text.
@@ -30,16 +33,17 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, hashes_of, mix, saved, shuffle_partitions, spans_of, text_array, trim, words_of
 
-#: Longest n-gram. 2 keeps what is sent within a small multiple of the input; 3 sends about as many n-grams as there are words.
-ORDER = 2
-MU = 20.0
+#: Longest n-gram.
+ORDER = 3
+MU = 8.0
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
 SEGMENT = 512
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
-BLOCK = "block long, doc_ids binary, held_out binary, lengths binary, codes binary, words binary"
+BLOCK = "block long, doc_ids binary, held_out binary, lengths binary, codes binary, words binary, tokens long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -66,10 +70,10 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             hashes = np.append(hashes_of(words, 0), END_HASH)
             known = np.array([i is not None for i in ids], dtype=bool)
             values = np.array([i or 0 for i in ids], dtype=np.int64)
-            row = [first + number, np.concatenate([values, known.astype(np.int64)]).tobytes(), np.array(out, dtype=bool).tobytes(), lengths.astype(np.int64).tobytes(), tokens.tobytes(), hashes.tobytes()]
+            row = [first + number, np.concatenate([values, known.astype(np.int64)]).tobytes(), np.array(out, dtype=bool).tobytes(), lengths.astype(np.int64).tobytes(), zlib.compress(tokens.tobytes(), 1), hashes.tobytes(), len(tokens)]
             number, held, size = number + 1, [], 0
             trim()
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(row)], names=["block", "doc_ids", "held_out", "lengths", "codes", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in row], names=[c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
             for part in by_bytes(batch, "text", block_bytes):
@@ -91,7 +95,7 @@ class Block:
         self.ids, self.has_id = ids[: len(ids) // 2], ids[len(ids) // 2 :].astype(bool)
         self.held_out = np.frombuffer(row["held_out"], dtype=bool)
         self.lengths = np.frombuffer(row["lengths"], dtype=np.int64)
-        self.tokens = np.frombuffer(row["codes"], dtype=np.uint32)
+        self.tokens = np.frombuffer(zlib.decompress(row["codes"]), dtype=np.uint32)
         words = np.frombuffer(row["words"], dtype=np.uint64)[self.tokens]
         at = spans_of(self.lengths)
         train = np.repeat(~self.held_out, self.lengths)
@@ -112,50 +116,74 @@ class Block:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Counts, of which nearly all are below 255, in a byte each; the rest follow with their places."""
+    """Counts, of which nearly all are below 255, in a deflated byte each; the rest stand before them with their places."""
     large = np.flatnonzero(values >= 255)
-    sizes = np.array([len(values), len(large)], dtype=np.int64)
-    return b"".join([sizes.tobytes(), large.astype(np.int64).tobytes(), values[large].astype(np.int64).tobytes(), np.minimum(values, 255).astype(np.uint8).tobytes()])
+    body = zlib.compress(np.minimum(values, 255).astype(np.uint8).tobytes(), 1)
+    sizes = np.array([len(values), len(large), len(body)], dtype=np.int64)
+    return b"".join([sizes.tobytes(), large.astype(np.int64).tobytes(), values[large].astype(np.int64).tobytes(), body])
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, int]:
     """(counts, bytes read)."""
-    n, m = np.frombuffer(data, dtype=np.int64, count=2).tolist()
-    large, exact = np.frombuffer(data, dtype=np.int64, count=2 * m, offset=16).reshape(2, m)
-    values = np.frombuffer(data, dtype=np.uint8, count=n, offset=16 + 16 * m).astype(np.int64)
+    n, m, size = np.frombuffer(data, dtype=np.int64, count=3).tolist()
+    large, exact = np.frombuffer(data, dtype=np.int64, count=2 * m, offset=24).reshape(2, m)
+    body = 24 + 16 * m
+    values = np.frombuffer(zlib.decompress(data[body : body + size]), dtype=np.uint8, count=n).astype(np.int64)
     values[large] = exact
-    return values, 16 + 16 * m + n
-
-
-def shard_edges(grams: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's hash range starts and ends among sorted hashes."""
-    limits = [(k << 64) // shards for k in range(1, shards)]
-    return np.concatenate([[0], np.searchsorted(grams, np.array(limits, dtype=np.uint64)), [len(grams)]]).astype(np.int64)
-
-
-def totals(made: DataFrame, order: int, shards: int) -> DataFrame:
-    """Rows (block, shard, answers): training counts of what each block asked for; block -1 bears the shard's own sums."""
+    return values, body + size
+
+
+def dense(grams: np.ndarray, shard: int, bits: int) -> bytes:
+    """Sorted hashes that agree in all but their low `bits` bits: how many stand in each bucket by their next bits, and the whole low bytes of each. The number of low bytes is what makes it shortest."""
+    n = len(grams)
+    low = min(range(1, 9), key=lambda k: k * n + (4 << bits - 8 * k if bits > 8 * k else 0) + (1 << 40) * (bits > 8 * k + 20))
+    inside = grams - (np.uint64(shard) << np.uint64(bits) if bits < 64 else np.uint64(0))
+    width = max(0, bits - 8 * low)
+    buckets = np.bincount((inside >> np.uint64(8 * low)).astype(np.int64), minlength=1 << width) if width else np.array([n])
+    return np.array([n, low], dtype=np.uint32).tobytes() + buckets.astype(np.uint32).tobytes() + np.ascontiguousarray(inside).view(np.uint8).reshape(n, 8)[:, :low].tobytes()
+
+
+def sparse(data: bytes, shard: int, bits: int) -> np.ndarray:
+    """The hashes that dense() wrote."""
+    n, low = np.frombuffer(data, dtype=np.uint32, count=2).tolist()
+    width = max(0, bits - 8 * low)
+    buckets = np.frombuffer(data, dtype=np.uint32, count=1 << width, offset=8)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :low] = np.frombuffer(data, dtype=np.uint8, offset=8 + 4 * len(buckets)).reshape(n, low)
+    out = out.view(np.uint64).ravel()
+    if width:
+        out |= np.repeat(np.arange(len(buckets), dtype=np.uint64), buckets) << np.uint64(8 * low)
+    return out | (np.uint64(shard) << np.uint64(bits) if bits < 64 else np.uint64(0))
+
+
+def totals(made: DataFrame, order: int, power: int) -> DataFrame:
+    """Rows (block, shard, answers): training counts of what each block asked for; block -1 bears the shard's own sums. There are 2 ** power shards."""
     fields = ", ".join(f"g{n} binary, c{n} binary" for n in range(1, order + 1))
+    names = ["block", "shard", *[f"{x}{n}" for n in range(1, order + 1) for x in "gc"]]
+    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * (2 * order)
+    bits = 64 - power
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row, order)
-                cuts = [shard_edges(g, shards) for g in block.grams]
-                columns = [[row["block"]] * shards, list(range(shards))]
-                for grams, counts, edge in zip(block.grams, block.counts, cuts):
-                    columns.append([grams[a:b].tobytes() for a, b in zip(edge, edge[1:])])
-                    columns.append([packed(counts[a:b]) for a, b in zip(edge, edge[1:])])
-                kinds = [pa.int64(), pa.int32()] + [pa.binary()] * (2 * order)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "shard", *[f"{x}{n}" for n in range(1, order + 1) for x in "gc"]])
-                del block, columns
+                shards = [(g >> np.uint64(bits)).astype(np.int64) if power else np.zeros(len(g), dtype=np.int64) for g in block.grams]
+                met = np.unique(np.concatenate(shards))
+                columns = [[row["block"]] * len(met), met.tolist()]
+                for grams, counts, shard in zip(block.grams, block.counts, shards):
+                    cuts = list(zip(met.tolist(), np.searchsorted(shard, met).tolist(), np.searchsorted(shard, met, side="right").tolist()))
+                    columns.append([dense(grams[a:b], k, bits) for k, a, b in cuts])
+                    columns.append([packed(counts[a:b]) for _, a, b in cuts])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                del block, columns, shards
                 trim()
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         out = [[] for _ in range(len(rows))]
         sums = []
+        shard = int(rows["shard"].iloc[0])
         for n in range(1, order + 1):
-            grams = [np.frombuffer(x, dtype=np.uint64) for x in rows[f"g{n}"]]
+            grams = [sparse(x, shard, bits) for x in rows[f"g{n}"]]
             counts = np.concatenate([unpacked(x)[0] for x in rows[f"c{n}"]])
             keys, of = np.unique(np.concatenate(grams), return_inverse=True)
             total = np.bincount(of, weights=counts, minlength=len(keys)).astype(np.int64)
@@ -163,12 +191,16 @@ def totals(made: DataFrame, order: int, shards: int) -> DataFrame:
             for k, (b, g) in enumerate(zip(ends, grams)):
                 out[k].append(packed(total[of[b - len(g) : b]]))
             sums += [int(total.sum()), int((total > 0).sum())]
-        shard = int(rows["shard"].iloc[0])
         answers = [b"".join(some) for some in out]
         return pd.DataFrame({"block": [*rows["block"], -1], "shard": [shard] * (len(rows) + 1), "answers": [*answers, b""], "n": [0] * len(rows) + [sums[0]], "v": [0] * len(rows) + [sums[1]]})
 
-    asked = made.mapInArrow(ask, f"block long, shard int, {fields}")
-    return asked.groupBy("shard").applyInPandas(answer, "block long, shard int, answers binary, n long, v long")
+    asked = made.select(*[c.split()[0] for c in BLOCK.split(", ")]).mapInArrow(ask, f"block long, shard long, {fields}")
+    return asked.groupBy("shard").applyInPandas(answer, "block long, shard long, answers binary, n long, v long")
+
+
+def shard_power(tokens: int, order: int, least: int) -> int:
+    """The power of two that makes enough shards for `least` tasks and for SHARD_BYTES each, at 8 bytes for each token and length."""
+    return max(0, (max(least, -(-8 * tokens * order // SHARD_BYTES)) - 1).bit_length())
 
 
 class Automaton:
@@ -261,8 +293,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU) -> Data
     """One row per document: its log10 probability under the model and under the base distribution."""
     spark = docs.sparkSession
     made = saved(blocks(docs), "lm-blocks")
-    shards = 4 * shuffle_partitions(spark)
-    told = saved(totals(made, order, shards), "lm-totals")
+    tokens = made.agg(F.sum("tokens")).first()[0] or 0
+    told = saved(totals(made, order, shard_power(tokens, order, shuffle_partitions(spark))), "lm-totals")
     sums = told.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, v_all = sums["n"] or 0, sums["v"] or 0
 
