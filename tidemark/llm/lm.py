@@ -35,7 +35,7 @@ from .common import by_bytes, hashes_of, mix, saved, shuffle_partitions, spans_o
 
 #: Longest n-gram.
 ORDER = 3
-MU = 8.0
+MU = 100.0
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
