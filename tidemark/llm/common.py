@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What counts as white space between words everywhere in this folder: space and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,9 +18,11 @@ MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, may go without one and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,7 +32,29 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there: the lineage ends here, and a lost executor costs no more than its own tasks."""
     path = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote, once all that was made of them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is written already: its cleaner waits for the driver's JVM to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def numbered(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """docs (or some of its columns) with a number for each row, `__row`, written so that every reading has the same numbers."""
+    chosen = [F.col(f"`{c}`") for c in columns or docs.columns]
+    return saved(docs.select(*chosen, F.monotonically_increasing_id().alias("__row")), "numbered")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -10,13 +10,13 @@ Spark runs it in three passes, none of which holds the whole model anywhere:
 2. `totals`: each block sends the distinct n-grams it holds, with their counts in its training documents, to shards by hash
    range; a shard adds up and answers every block for exactly the n-grams that the block asked for. There are as many shards
    as keep each one's n-grams within SHARD_BYTES, so a shard's task doesn't grow with the corpus, and only pairs of a block
-   and a shard that share n-grams make a row: never more rows than n-grams. Hashes go as differences within their bucket
-   (about 6 bytes each), counts deflated.
+   and a shard that share n-grams make a row: never more rows than n-grams. Of a hash go as many bits
+   as the corpus needs, sorted and packed (4 to 6 bytes each), counts deflated.
 3. `score`: each block builds the part of the automaton that its own texts can reach, and walks it from left to right, its
    texts in segments side by side. A segment starts a context's length early, after which an n-gram automaton's state is
    that of the whole text.
 
-Words are known by 64-bit hashes. Contract: a null text counts as empty (only the end token); repeated rows are scored each
+Words are known by 64-bit hashes, n-grams by as many of their first bits as hash_bits() says. Contract: a null text counts as empty (only the end token); repeated rows are scored each
 on its own and each counts for training; a null doc_id is hashed as the text "null"; an empty table gives an empty table;
 other columns stay unread.
 """
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, hashes_of, mix, saved, shuffle_partitions, spans_of, text_array, trim, words_of
+from .common import by_bytes, hashes_of, mix, release, saved, shuffle_partitions, spans_of, text_array, trim, words_of
 
 #: Longest n-gram.
 ORDER = 3
@@ -39,6 +39,7 @@ MU = 100.0
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
+SPARE_BITS = 24
 SEGMENT = 512
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -133,49 +134,51 @@ def unpacked(data: bytes) -> tuple[np.ndarray, int]:
     return values, body + size
 
 
-def dense(grams: np.ndarray, shard: int, bits: int) -> bytes:
-    """Sorted hashes that agree in all but their low `bits` bits: how many stand in each bucket by their next bits, and the whole low bytes of each. The number of low bytes is what makes it shortest."""
-    n = len(grams)
-    low = min(range(1, 9), key=lambda k: k * n + (4 << bits - 8 * k if bits > 8 * k else 0) + (1 << 40) * (bits > 8 * k + 20))
-    inside = grams - (np.uint64(shard) << np.uint64(bits) if bits < 64 else np.uint64(0))
-    width = max(0, bits - 8 * low)
-    buckets = np.bincount((inside >> np.uint64(8 * low)).astype(np.int64), minlength=1 << width) if width else np.array([n])
-    return np.array([n, low], dtype=np.uint32).tobytes() + buckets.astype(np.uint32).tobytes() + np.ascontiguousarray(inside).view(np.uint8).reshape(n, 8)[:, :low].tobytes()
+def dense(values: np.ndarray, bits: int) -> bytes:
+    """Sorted numbers of so many bits: the high bits of all in unary, the low bits of each as they are; about two bits more for each number than it must have."""
+    n = len(values)
+    high = min(bits, max(0, n.bit_length() - 1))
+    low = bits - high
+    unary = np.zeros(n + (1 << high), dtype=np.uint8)
+    unary[(values >> np.uint64(low)).astype(np.int64) + np.arange(n)] = 1
+    rest = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :low]
+    return np.uint32(n).tobytes() + np.packbits(unary).tobytes() + np.packbits(rest, bitorder="little").tobytes()
 
 
-def sparse(data: bytes, shard: int, bits: int) -> np.ndarray:
-    """The hashes that dense() wrote."""
-    n, low = np.frombuffer(data, dtype=np.uint32, count=2).tolist()
-    width = max(0, bits - 8 * low)
-    buckets = np.frombuffer(data, dtype=np.uint32, count=1 << width, offset=8)
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, :low] = np.frombuffer(data, dtype=np.uint8, offset=8 + 4 * len(buckets)).reshape(n, low)
-    out = out.view(np.uint64).ravel()
-    if width:
-        out |= np.repeat(np.arange(len(buckets), dtype=np.uint64), buckets) << np.uint64(8 * low)
-    return out | (np.uint64(shard) << np.uint64(bits) if bits < 64 else np.uint64(0))
+def sparse(data: bytes, bits: int) -> np.ndarray:
+    """The numbers that dense() wrote."""
+    n = int(np.frombuffer(data, dtype=np.uint32, count=1)[0])
+    high = min(bits, max(0, n.bit_length() - 1))
+    low, size = bits - high, n + (1 << high)
+    raw = np.frombuffer(data, dtype=np.uint8, offset=4)
+    top = np.flatnonzero(np.unpackbits(raw[: (size + 7) // 8], count=size)) - np.arange(n)
+    whole = np.zeros((n, 64), dtype=np.uint8)
+    whole[:, :low] = np.unpackbits(raw[(size + 7) // 8 :], count=n * low, bitorder="little").reshape(n, low)
+    return np.packbits(whole, axis=1, bitorder="little").view(np.uint64).ravel() | (top.astype(np.uint64) << np.uint64(low) if low < 64 else np.uint64(0))
 
 
-def totals(made: DataFrame, order: int, power: int) -> DataFrame:
-    """Rows (block, shard, answers): training counts of what each block asked for; block -1 bears the shard's own sums. There are 2 ** power shards."""
+def totals(made: DataFrame, order: int, power: int, size: int = 64) -> DataFrame:
+    """Rows (block, shard, answers): training counts of what each block asked for; block -1 bears the shard's own sums. There are 2 ** power shards, and n-grams are told by the first `size` bits of their hashes."""
     fields = ", ".join(f"g{n} binary, c{n} binary" for n in range(1, order + 1))
     names = ["block", "shard", *[f"{x}{n}" for n in range(1, order + 1) for x in "gc"]]
     kinds = [pa.int64(), pa.int64()] + [pa.binary()] * (2 * order)
-    bits = 64 - power
+    bits = size - power
+    cut = lambda grams: grams >> np.uint64(64 - size)
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row, order)
-                shards = [(g >> np.uint64(bits)).astype(np.int64) if power else np.zeros(len(g), dtype=np.int64) for g in block.grams]
+                shards = [(cut(g) >> np.uint64(bits)).astype(np.int64) if power else np.zeros(len(g), dtype=np.int64) for g in block.grams]
+                inside = [cut(g) & np.uint64((1 << bits) - 1) for g in block.grams]
                 met = np.unique(np.concatenate(shards))
                 columns = [[row["block"]] * len(met), met.tolist()]
-                for grams, counts, shard in zip(block.grams, block.counts, shards):
+                for grams, counts, shard in zip(inside, block.counts, shards):
                     cuts = list(zip(met.tolist(), np.searchsorted(shard, met).tolist(), np.searchsorted(shard, met, side="right").tolist()))
-                    columns.append([dense(grams[a:b], k, bits) for k, a, b in cuts])
+                    columns.append([dense(grams[a:b], bits) for _, a, b in cuts])
                     columns.append([packed(counts[a:b]) for _, a, b in cuts])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-                del block, columns, shards
+                del block, columns, shards, inside
                 trim()
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
@@ -183,7 +186,7 @@ def totals(made: DataFrame, order: int, power: int) -> DataFrame:
         sums = []
         shard = int(rows["shard"].iloc[0])
         for n in range(1, order + 1):
-            grams = [sparse(x, shard, bits) for x in rows[f"g{n}"]]
+            grams = [sparse(x, bits) for x in rows[f"g{n}"]]
             counts = np.concatenate([unpacked(x)[0] for x in rows[f"c{n}"]])
             keys, of = np.unique(np.concatenate(grams), return_inverse=True)
             total = np.bincount(of, weights=counts, minlength=len(keys)).astype(np.int64)
@@ -203,6 +206,11 @@ def shard_power(tokens: int, order: int, least: int) -> int:
     return max(0, (max(least, -(-8 * tokens * order // SHARD_BYTES)) - 1).bit_length())
 
 
+def hash_bits(tokens: int, order: int) -> int:
+    """So many bits that an n-gram is taken for another one with a probability of 2 ** -SPARE_BITS at most."""
+    return min(64, max(1, tokens * order).bit_length() + SPARE_BITS)
+
+
 class Automaton:
     """The part of the model that one block can reach. State 0 is the empty context; state `base[n] + k` the k-th n-gram of the block."""
 
@@ -294,7 +302,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU) -> Data
     spark = docs.sparkSession
     made = saved(blocks(docs), "lm-blocks")
     tokens = made.agg(F.sum("tokens")).first()[0] or 0
-    told = saved(totals(made, order, shard_power(tokens, order, shuffle_partitions(spark))), "lm-totals")
+    told = saved(totals(made, order, shard_power(tokens, order, shuffle_partitions(spark)), hash_bits(tokens, order)), "lm-totals")
+    release(spark)
     sums = told.where("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_all, v_all = sums["n"] or 0, sums["v"] or 0
 
