@@ -89,10 +89,11 @@ def host_rates(failures: DataFrame) -> DataFrame:
     mean = F.col("all_f") / F.col("all_n")
     spread = F.col("squares") / F.col("all_n") - mean * mean
     strength = F.when(spread > 1e-12, F.least(F.lit(PRIOR_MOST), F.greatest(F.lit(1.0), mean * (1 - mean) / spread - 1))).otherwise(F.lit(PRIOR_MOST))
-    # One row of totals stands beside each host: a single row, whatever the input.
-    out = hosts.crossJoin(F.broadcast(total.select(mean.alias("mean"), strength.alias("strength"))))
-    rate = (F.col("f") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return out.select("host", "n", "f", rate.alias("rate"), (rate > HOST_THRESHOLD).alias("rejected"))
+    # The totals are one row, which the driver reads and writes into the plan as numbers.
+    known = total.select(mean.alias("mean"), strength.alias("strength")).first()
+    mean, strength = (F.lit(float(x if x is not None else 0.0)) for x in known)
+    rate = (F.col("f") + mean * strength) / (F.col("n") + strength)
+    return hosts.select("host", "n", "f", rate.alias("rate"), (rate > HOST_THRESHOLD).alias("rejected"))
 
 
 def host_of(column: str) -> Column:
@@ -117,14 +118,12 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """docs without those that are rejected; all columns stay. Texts are measured twice rather than shuffled."""
+    """docs without those that are rejected; all columns stay. Texts are measured once: rows are written with their host and verdict."""
     columns = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text").alias("text"), host_of(host).alias("host"))
-    # The flag comes out of explode, through which Spark pushes no filter: else it would repeat the measures in the filter.
-    flag = F.explode(F.array(rule_failed(F.col("m")))).alias("failed")
-    failures = measured(rows.select("text", "host")).select("host", flag)
-    good = measured(rows).select("row", "host", flag).where(~F.col("failed")).drop("failed")
-    return with_host_verdict(good, failures).where(~F.col("host_rejected")).select(*[F.col("row")[c].alias(c) for c in columns])
+    rows = saved(measured(rows).select("row", "host", rule_failed(F.col("m")).alias("failed")), "judged")
+    kept = with_host_verdict(rows.where(~F.col("failed")), rows.select("host", "failed"))
+    return kept.where(~F.col("host_rejected")).select(*[F.col("row")[c].alias(c) for c in columns])
 
 
 ORACLE = r"""
