@@ -83,15 +83,13 @@ def test_lm_orders_equal_recursion(docs, plain, order):
     assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 * max(1, abs(b[2])) for a, b in zip(got, sorted(expected))) and len(got) == len(expected)
 
 
-@pytest.mark.parametrize("power", [0, 3, 9, 16])
-def test_dense_hashes_round_trip(power):
-    values = np.unique(np.random.default_rng(power).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-    bits = 64 - power
-    for shard in np.unique(values >> np.uint64(bits)).tolist() if power else [0]:
-        here = values[(values >> np.uint64(bits)) == shard] if power else values
-        data = lm.dense(here, shard, bits)
-        assert (lm.sparse(data, shard, bits) == here).all() and len(data) <= 9 * len(here) + 12
-    assert len(lm.sparse(lm.dense(values[:0], 0, bits), 0, bits)) == 0
+@pytest.mark.parametrize("bits", [1, 13, 40, 64])
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_packed_hashes_round_trip(bits, n):
+    values = np.sort(np.random.default_rng(bits).integers(0, 1 << 64, n, dtype=np.uint64) >> np.uint64(64 - bits))
+    data = lm.dense(values, bits)
+    assert (lm.sparse(data, bits) == values).all() and len(lm.sparse(data, bits)) == n
+    assert 8 * len(data) <= n * (max(0, bits - max(0, n.bit_length() - 1)) + 3) + 64
 
 
 def fingerprint(text):
@@ -364,34 +362,68 @@ def test_extract_nulls(spark):
 
 
 def shingles_of(text: str | None) -> frozenset:
-    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
     return frozenset(" ".join(words[k : k + similar.SHINGLE]) for k in range(max(1, len(words) - similar.SHINGLE + 1))) if words else frozenset()
 
 
-def test_similar_links_against_brute_force(spark, docs):
-    own = {r.doc_id: shingles_of(r.text) for r in docs.select("doc_id", "text").collect()}
-    own = {k: v for k, v in own.items() if k is not None and v}
-    found = {r.node: r.root for r in simhash.components(similar.similar_links(docs)).collect()}
-    alike = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a < b}
-    assert all(found.get(a, a) == found.get(b, b) for (a, b), s in alike.items() if s >= 0.88)
-    assert all(max(s for p, s in alike.items() if a in p) > 0.6 for a in found)
-    assert any(0.8 <= s < 1 for s in alike.values())
+def kept_by_brute_force(rows) -> Counter:
+    """What one_of_each must keep of (doc_id, text) rows."""
+    sets = [shingles_of(t) for _, t in rows]
+    near = lambda a, b: a == b or bool(a and b) and len(a & b) >= 0.8 * math.sqrt(len(a) * len(b)) - 1e-9
+    root, first = grouped(sets, near), {}
+    for k, (i, _) in enumerate(rows):
+        key = (i is None, i or 0, k)
+        first[root[k]] = min(key, first.get(root[k], key))
+    return Counter(rows[k] for _, _, k in first.values())
+
+
+def near_texts(seed: int) -> list[str]:
+    """Copies of a few texts, each with so many words changed that similarities spread over 0.5 to 1, and small and large texts that hold one another."""
+    r, out = random.Random(seed), []
+    for base in range(8):
+        words = prose(90, 2000 + 100 * seed + base).split()
+        for _ in range(12):
+            changed = list(words)
+            for at in r.sample(range(len(words)), r.randint(0, 6)):
+                changed[at] = f"new{r.randint(0, 10**6)}"
+            out.append(" ".join(changed))
+        out += [" ".join(words[: 30 + 10 * base]), " ".join(words + prose(15 + 10 * base, base).split())]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [4096, 4])
+def test_one_of_each_equals_brute_force(spark, docs, plain, chunk, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(similar.similar_links, "__defaults__", (None, 0.8, chunk))
+    rows = list(plain) + [(1000 + k, t) for k, t in enumerate(near_texts(1))] + [(1000, "another text under one id, not alike"), (None, None), (None, prose(50, 77)), (None, prose(50, 77))]
+    got = Counter((r.doc_id, r.text) for r in similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "node", "g", "k1", "size", "known")})).collect())
+    expected = kept_by_brute_force(rows)
+    assert got == expected
+
+
+def test_similarity_of_just_enough(spark):
+    """Shared 24 of 30 and 30 shingles is a cosine of 0.8 and a link; 23 is not."""
+    base = [f"w{k}" for k in range(34)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:28] + [f"x{k}" for k in range(6)])), (3, " ".join(base[6:] + ["y"] * 0 + [f"z{k}" for k in range(6)]))]
+    sets = [shingles_of(t) for _, t in rows]
+    assert len(sets[0] & sets[1]) == 24 and len(sets[0] & sets[2]) == 24 and len(sets[0]) == 30
+    groups = spark.createDataFrame([(k, 7) for k in range(3)], "row long, g long")
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "row long, text string")
+    _, links = similar.similar_links(frame, groups)
+    assert {(r.node, r.root) for r in simhash.components(links).collect()} == {(1, 0), (2, 0)}
+    _, links = similar.similar_links(frame.withColumn("text", F.replace("text", F.lit("w27"), F.lit("q"))).where("row < 2").union(frame.where("row = 1")).select("row", "text"), groups)
+    assert simhash.components(links).where("node = 0").count() == 0
 
 
-def test_similar_links_in_chunks_and_nulls(spark):
-    base = " ".join(f"word{k}" for k in range(60))
-    rows = [(k, base.replace("word30", f"other{k}")) for k in range(40)] + [(100, None), (101, ""), (102, "one two"), (103, "one two"), (None, base), (7, base.replace("word30", "other7"))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("g", F.lit("x"))
-    for chunk in (4096, 5):
-        found = {r.node: r.root for r in simhash.components(similar.similar_links(docs, chunk=chunk)).collect()}
-        assert found == {k: 0 for k in range(1, 40)} | {103: 102}
-    kept = [r.doc_id for r in simhash.one_of_each(docs).collect()]
-    assert sorted(k for k in kept if k is not None) == [0, 100, 102] and kept.count(None) == 1
+def test_hot_centers_of_components(spark):
+    edges = [(k, 0) for k in range(1, 3000)] + [(5000 + k, 4000 + k) for k in range(50)] + [(4000 + k, 3999 + k) for k in range(50)]
+    got = {(r.node, r.root) for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {r for n, r in got if n < 3000} == {0} and {r for n, r in got if n > 3999} == {3999} and len(got) == 2999 + 50 + 49 + 1
 
 
 OPERATORS = {
     "lm": lm.score_documents, "simhash": simhash.near_groups, "packing": packing.pack_documents, "tokens": tokens.count_tokens, "private": private.digest, "sanitised": private.sanitised,
-    "passages": passages.passages, "quality": quality.judge, "keep_good": quality.keep_good, "one_of_each": simhash.one_of_each, "similar": similar.similar_links,
+    "passages": passages.passages, "quality": quality.judge, "keep_good": quality.keep_good, "one_of_each": similar.one_of_each,
 }
 
 

@@ -24,8 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, saved, shuffle_partitions, text_array
-from .similar import similar_links
+from .common import by_bytes, discard, saved, shuffle_partitions, text_array
 
 SHINGLE = 4
 SEED = 42
@@ -35,6 +34,8 @@ CHUNK = 1024
 TASK_ROWS = 40_000
 STEP_PAIRS = 4_000_000
 DIRECT = 128
+#: Parts of a node's neighbours in a star step.
+SALTS = 8
 
 
 def shingle_spans(texts: pa.Array, width: int) -> tuple[memoryview, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,6 +101,16 @@ def masks(n: int, budget: int = BUDGET) -> list[int]:
     return found
 
 
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def pieces_of(bits: int, parts: int) -> list[int]:
+    """The set bits of a mask, in so many masks."""
+    places = [k for k in range(64) if bits >> k & 1]
+    return [sum(1 << k for k in places[len(places) * i // parts : len(places) * (i + 1) // parts]) for i in range(parts)]
+
+
 def trie_links(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs within the budget inside the ranges [lo, hi) of fps (unsigned, sorted in each range): walked down bit by bit from pairs of equal nodes."""
     left, right = [], []
@@ -149,10 +160,18 @@ def links(fps: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame
     spark = fps.sparkSession
     count = fps.count()
     found = masks(count, budget)
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("part")) for t, m in enumerate(found)]))
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for t, m in enumerate(found)]))
     rows = fps.select("fp", each.alias("g")).select("fp", "g.t", "g.part")
-    hot = rows.groupBy("t", "part").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("t", "part", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    hot = saved(hot, "simhash-hot")
+    sizes = lambda rows: rows.groupBy("t", "part").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("t", "part", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    hot = saved(sizes(rows), "simhash-hot")
+    if not hot.isEmpty():
+        # A large subtree is cut again: of two of its fingerprints within the budget some part of the bits left over agrees.
+        finer = [(t, k, m | piece) for t, m in enumerate(found) for k, piece in enumerate(pieces_of(((1 << 64) - 1) & ~m, budget + 1))]
+        again = F.array(*[F.struct(F.lit(t).alias("own"), F.lit(len(found) + t * (budget + 1) + k).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for t, k, m in finer])
+        large = rows.join(hot.select("t", "part"), ["t", "part"], "left_semi")
+        large = large.select("fp", F.col("t").alias("whose"), F.explode(again).alias("g")).where("g.own = whose").select("fp", "g.t", "g.part")
+        rows = saved(rows.join(hot.select("t", "part"), ["t", "part"], "left_anti").select("fp", "t", "part").union(large), "simhash-rows")
+        hot = saved(sizes(rows), "simhash-hot")
     dealt = rows.join(hot, ["t", "part"], "left")
     own = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     dealt = dealt.select("fp", "t", "part", own.alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1)).alias("other"))
@@ -191,21 +210,27 @@ def components(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def met(rows: DataFrame, least: DataFrame) -> DataFrame:
+        """rows (a, b) with what `least` says of a, which is sent to each of SALTS parts of a's rows: a center with very many neighbours is no single task's work."""
+        parts = least.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(parts, ["a", "salt"])
+
     def stars(df: DataFrame, large: bool) -> DataFrame:
         """df has a > b. Every neighbour (large: that is larger) of a node is tied to the least of the node and its neighbours."""
         if large:
             both = df.union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            out = met(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             least = df.groupBy("a").agg(F.min("b").alias("m"))
-            out = df.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+            out = met(df, least).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.where("a > b").distinct()
 
     now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "stars")
     seen = state(now)
     while seen[0]:
-        now = saved(stars(stars(now, True), False), "stars")
+        before, now = now, saved(stars(stars(now, True), False), "stars")
+        discard(before)
         if (then := state(now)) == seen:
             break
         seen = then
@@ -225,15 +250,3 @@ def near_groups(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def digest(groups: DataFrame) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, that of the smallest id; all columns stay. Groups are the components of fingerprint links and of links by shingle similarity; rows without an id all stay."""
-    groups = near_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
-    edges = saved(groups.union(similar_links(docs)), "near-edges")
-    gone = components(edges).select(F.col("node").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    ids = docs.where("doc_id is not null").groupBy("doc_id").count()
-    if ids.where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))

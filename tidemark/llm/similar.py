@@ -1,15 +1,19 @@
-"""Links between texts whose five-word shingles are alike (Jaccard similarity of 0.8 or more), for near-dedup in the pipeline.
-
-Sixty-four bits of SimHash put copies at a similarity of 0.8 some ten bits apart, beyond what masks of a trie join can carry.
-So each text also gets a MinHash signature of 128 values. Texts that agree on a band of five values meet in a task, where
-signatures are compared until all that are linked are connected; only a spanning forest leaves it. Similarity is the share
-of equal signature values, whose standard error at 0.8 is 0.035; a link needs 0.8 less that error, so that few are lost.
-Groups beyond a size are dealt over chunks, of which every
-two meet in one task.
-
-Contract: a null text is an empty one; texts without words have no links here; fewer than five words are one shingle; rows
-with a null doc_id take no part; equal texts and repeated rows are linked; an empty table has no links; other columns stay
-unread.
+"""Groups of texts whose five-word shingles are alike, for near-dedup in the pipeline: candidates by SimHash and MinHash, each link verified.
+
+Similarity is the cosine of the two sets of five-word shingles, shared / sqrt(size * size), which is what SimHash estimates;
+a link needs 0.8. Sixty-four bits of SimHash put such texts some ten bits apart, beyond what masks of a trie join can carry,
+so besides the groups of the trie join every text has bands of four MinHash values (at a cosine of 0.8 two texts share one
+of the 32 bands with a probability of 0.997 or more). Texts of one candidate group meet in a task with their shingles, where
+links are verified exactly until all that are linked are connected; only a spanning forest leaves it.
+
+A group beyond a size is first compared with its most typical member, which a salted join brings to all of them. What isn't
+linked with that member is dealt over chunks, and so is the whole group; every chunk of the rest meets every chunk of the
+group, where members known to be linked with each other aren't compared again. So copies of one text cost their number, and
+only texts that are not alike though they share a band cost more.
+
+Contract: a null text is an empty one, and all texts without words are one group; fewer than five words are one shingle;
+equal sets of shingles are one node; a null doc_id takes part like any other; an empty table has no groups; other columns
+stay unread.
 """
 
 from __future__ import annotations
@@ -20,111 +24,217 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, hashes_of, mix, saved, shuffle_partitions, spans_of, text_array, words_of
+from .common import by_bytes, discard, hashes_of, mix, numbered, saved, shuffle_partitions, spans_of, text_array, words_of
+from .simhash import components, near_groups
 
 SHINGLE = 5
 VALUES = 128
-BAND = 5
+BAND = 4
 SIMILAR = 0.8
-SLACK = 0.035
-CHUNK = 4096
-TASK_ROWS = 20_000
+#: Most members, and bytes of shingles, of a group that is compared in one step.
+CHUNK, CHUNK_BYTES = 4096, 32 << 20
+TASK_BYTES = 64 << 20
 SEED = 42
 
 
-def signatures_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(which texts have words, their signatures of VALUES unsigned 32-bit values)."""
+def shingles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the distinct shingles of text i are hashes[offsets[i]:offsets[i + 1]], in order."""
     codes, vocabulary, offsets = words_of(texts)
     n = np.diff(offsets)
     shingles = np.where(n > 0, np.maximum(1, n - SHINGLE + 1), 0)
-    full = np.flatnonzero(shingles)
-    if not len(full):
-        return full, np.zeros((0, VALUES), dtype=np.uint32)
     words = hashes_of(vocabulary, SEED)[codes]
     at, end = np.repeat(offsets[:-1], shingles) + spans_of(shingles), np.repeat(offsets[1:], shingles)
     hashes = np.zeros(len(at), dtype=np.uint64)
     for k in range(SHINGLE):
-        here = np.where(at + k < end, words[np.minimum(at + k, len(words) - 1)], np.uint64(0))
+        here = np.where(at + k < end, words[np.minimum(at + k, len(words) - 1)], np.uint64(0)) if len(at) else hashes
         hashes = mix(hashes ^ here)
-    hashes = (hashes >> np.uint64(32)).astype(np.uint32)
+    row = np.repeat(np.arange(len(n)), shingles)
+    by = np.lexsort((hashes, row))
+    hashes, row = hashes[by], row[by]
+    first = np.ones(len(hashes), dtype=bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[first], np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(n)))]).astype(np.int64)
+
+
+def bands_of(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A key for each band of each text that has shingles."""
+    full = np.diff(offsets) > 0
+    edges = offsets[:-1][full]
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
     draw = np.random.default_rng(SEED)
     factors, terms = draw.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1), draw.integers(0, 1 << 32, VALUES, dtype=np.uint32)
-    edges = (np.cumsum(shingles) - shingles)[full]
-    out, moved = np.empty((len(full), VALUES), dtype=np.uint32), np.empty_like(hashes)
-    for k in range(VALUES):
-        np.multiply(hashes, factors[k], out=moved)
-        np.add(moved, terms[k], out=moved)
-        out[:, k] = np.minimum.reduceat(moved, edges)
-    return full, out
-
-
-def bands_of(signatures: np.ndarray) -> np.ndarray:
-    """A key for each band of each signature."""
-    bands = VALUES // BAND
-    parts = signatures[:, : bands * BAND].reshape(len(signatures), bands, BAND).astype(np.uint64)
-    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2])
-    for k in range(BAND):
-        keys = mix(keys ^ parts[:, :, k])
+    keys = np.zeros((len(edges), VALUES // BAND), dtype=np.uint64)
+    keys[:] = np.arange(VALUES // BAND, dtype=np.uint64)
+    moved = np.empty_like(short)
+    if len(edges):
+        for k in range(VALUES):
+            np.multiply(short, factors[k], out=moved)
+            np.add(moved, terms[k], out=moved)
+            keys[:, k // BAND] = mix(keys[:, k // BAND] ^ np.minimum.reduceat(moved, edges).astype(np.uint64))
     return keys.view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig, bands) of every text with words."""
+def described(rows: DataFrame) -> DataFrame:
+    """rows (row, text) to (row, k1, k2, size, bands): the sums that tell equal sets of shingles, how many there are, and the bands."""
 
     def run(batches):
         for batch in batches:
             for part in by_bytes(batch, "text", 1 << 20):
-                full, found = signatures_of(text_array(part.column("text")))
-                keys = bands_of(found)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * keys.shape[1], pa.int32()), pa.array(np.ascontiguousarray(keys).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(full)), pa.array([r.tobytes() for r in found], pa.binary()), lists], names=["doc_id", "sig", "bands"])
+                hashes, offsets = shingles_of(text_array(part.column("text")))
+                size = np.diff(offsets)
+                keys, full = bands_of(hashes, offsets), size > 0
+                sums = []
+                for salt in (1, 2):
+                    total = np.zeros(len(size), dtype=np.uint64)
+                    if full.any():
+                        total[full] = np.add.reduceat(mix(hashes + np.uint64(salt)), offsets[:-1][full])
+                    sums.append(total.view(np.int64))
+                ends = np.concatenate([[0], np.cumsum(full)]) * keys.shape[1]
+                yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, sums), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))], names=["row", "k1", "k2", "size", "bands"])
 
-    chosen = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return chosen.mapInArrow(run, "doc_id long, sig binary, bands array<long>")
+    return rows.mapInArrow(run, "row long, k1 long, k2 long, size long, bands array<long>")
 
 
-def connected(values: np.ndarray, least: int) -> np.ndarray:
-    """For each row of values the smallest row it is connected with by links of `least` equal values. Rows that are connected already are not compared again."""
-    label = np.arange(len(values))
-    for u in range(len(values)):
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """rows (node, text) to (node, set): the shingles' hashes, in order."""
+
+    def run(batches):
+        for batch in batches:
+            for part in by_bytes(batch, "text", 1 << 20):
+                hashes, offsets = shingles_of(text_array(part.column("text")))
+                data = memoryview(hashes.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([data[8 * a : 8 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary())], names=["node", "set"])
+
+    return rows.mapInArrow(run, "node long, set binary")
+
+
+def shared(mine: np.ndarray, others: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many of each other set's hashes are among mine (sorted)."""
+    at = np.searchsorted(mine, others)
+    at[at == len(mine)] = 0
+    return np.add.reduceat((mine[at] == others).astype(np.int64), starts)
+
+
+def alike(both: np.ndarray, n: np.ndarray, m: np.ndarray | int, similar: float) -> np.ndarray:
+    """Whether shared / sqrt(n * m) reaches the similarity; a hair's breadth for rounding."""
+    return both >= similar * np.sqrt(n * m) - 1e-9
+
+
+def connected(sets: list[np.ndarray], label: np.ndarray, similar: float) -> np.ndarray:
+    """For each set the first one that it is connected with by links. label: what is known already to be connected."""
+    sizes = np.array([len(s) for s in sets])
+    label = label.copy()
+    for u in range(len(sets)):
         others = np.flatnonzero(label != label[u])
         if not len(others):
             break
-        near = others[(values[others] == values[u]).sum(axis=1) >= least]
+        others = others[(others > u) & (np.minimum(sizes[others], sizes[u]) >= similar**2 * np.maximum(sizes[others], sizes[u]) - 1e-9) & (sizes[others] > 0)]
+        if not len(others):
+            continue
+        both = shared(sets[u], np.concatenate([sets[k] for k in others]), np.cumsum(sizes[others]) - sizes[others])
+        near = others[alike(both, sizes[others], sizes[u], similar)]
         if len(near):
             joined = np.unique(np.append(label[near], label[u]))
             label[np.isin(label, joined)] = joined[0]
     return label
 
 
-def similar_links(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): edges between ids whose components are those of all links found."""
-    spark = docs.sparkSession
-    least = int(np.ceil((similar - SLACK) * VALUES))
-    own = saved(signatures(docs), "signatures")
-    distinct = saved(own.groupBy("sig").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "signatures-distinct")
-    same = own.select("doc_id", "sig").join(distinct.select("sig", "node"), "sig").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    rows = distinct.select("node", F.explode("bands").alias("g"))
-    shared = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    met = rows.join(shared, "g")
-    met = met.select("node", "g", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    met = saved(met.select("node", F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("g")), "bands")
-    tasks = max(shuffle_partitions(spark), -(-met.count() // TASK_ROWS))
-    dealt = met.join(distinct.select("node", "sig"), "node").withColumn("task", F.pmod(F.col("g"), F.lit(tasks)))
+def verified(met: DataFrame, sets: DataFrame, similar: float, tasks: int) -> DataFrame:
+    """met (g, node, known): edges (a, b) of a spanning forest of the exact links inside each group; nodes with `known` are linked with each other already."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["g", "node"])
-        group, node = rows["g"].to_numpy(), rows["node"].to_numpy()
-        values = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, VALUES)
+        rows = rows.sort_values(["g", "node", "known"], ascending=[True, True, False]).drop_duplicates(["g", "node"])
+        group, node, known = rows["g"].to_numpy(), rows["node"].to_numpy(), rows["known"].to_numpy(bool)
+        values = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"]]
         edges = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group))
-        a, b = [], []
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for lo, hi in zip(edges, edges[1:]):
             if hi - lo > 1:
-                label = connected(values[lo:hi], least)
+                label = np.arange(hi - lo)
+                if known[lo:hi].any():
+                    label[known[lo:hi]] = np.flatnonzero(known[lo:hi])[0]
+                label = connected(values[lo:hi], label, similar)
                 other = np.flatnonzero(label != np.arange(hi - lo))
                 a.append(node[lo:hi][other])
                 b.append(node[lo:hi][label[other]])
-        none = np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])}).drop_duplicates()
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+    dealt = met.join(sets, "node").withColumn("task", F.pmod(F.xxhash64("g"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(run, "a long, b long")
 
-    return dealt.groupBy("task").applyInPandas(run, "a long, b long").union(same).distinct()
+
+def near_center(hot: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """hot (g, node, chunks, center) with `linked`: whether the node is the group's center or linked with it. The center's shingles are sent to each chunk."""
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    centers = hot.select("g", "chunks", F.col("center").alias("node")).distinct().join(sets, "node").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("set").alias("whole"))
+    both = hot.withColumn("chunk", chunk).join(centers, ["g", "chunk"]).join(sets, "node").select("g", "node", "chunks", "center", "set", "whole")
+
+    def run(batches):
+        for batch in batches:
+            linked = []
+            for mine, whole in zip(batch.column("set"), batch.column("whole")):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (mine, whole))
+                linked.append(len(x) > 0 and len(y) > 0 and bool(alike(shared(y, x, np.zeros(1, dtype=np.int64)), np.array([len(x)]), len(y), similar)[0]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("g", "node", "chunks", "center")), pa.array(linked, pa.bool_())], names=["g", "node", "chunks", "center", "linked"])
+
+    return both.mapInArrow(run, "g long, node long, chunks int, center long, linked boolean")
+
+
+def candidates(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(g, node, n, bytes): members of every group of two nodes or more; of groups with the same members one. nodes: (node, size, bands); groups: (node, g)."""
+    rows = nodes.select("node", F.explode("bands").alias("g")).union(groups.select("node", "g")).join(nodes.select("node", "size"), "node")
+    members = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
+    met = rows.groupBy("g").agg(F.count("*").cast("int").alias("n"), F.sum(F.col("size") * 8).alias("bytes"), members).where("n > 1")
+    one = met.groupBy("n", "members").agg(F.min("g").alias("g"), F.first("bytes").alias("bytes")).select("g", "n", "bytes")
+    return rows.join(one, "g").select("g", "node", "n", "bytes")
+
+
+def similar_links(rows: DataFrame, groups: DataFrame | None = None, similar: float = SIMILAR, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """rows (row, text; saved), groups (row, g) that may hold links too. Returns (row, k1, k2), equal for rows of equal shingles, and (a, b), edges whose components are those of all links; of rows of equal shingles only the least is in an edge."""
+    spark = rows.sparkSession
+    own = saved(described(rows), "shingles")
+    nodes = saved(own.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.min_by("bands", "row").alias("bands")), "shingle-nodes")
+    more = groups.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "g") if groups is not None else nodes.select("node", F.lit(0).cast("long").alias("g")).where("false")
+    met = saved(candidates(nodes, more), "candidates")
+    wanted = met.select("node").distinct()
+    sets = saved(shingle_sets(rows.join(wanted.withColumnRenamed("node", "row"), "row", "left_semi").select(F.col("row").alias("node"), "text")), "shingle-sets")
+    chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
+    met = met.withColumn("chunks", chunks)
+    small = met.where("chunks = 1").select("g", "node", F.lit(False).alias("known"))
+    load = met.where("chunks = 1").select("g", "n", "bytes").distinct().agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(shuffle_partitions(spark), -(-load // TASK_BYTES))
+    links = verified(small, sets, similar, tasks)
+    hot = met.where("chunks > 1")
+    if not hot.isEmpty():
+        weight = met.groupBy("node").agg(F.sum("n").alias("weight"))  # a member of many large groups is typical
+        center = hot.join(weight, "node").groupBy("g").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("center"))
+        told = saved(near_center(hot.join(center, "g").select("g", "node", "chunks", "center"), sets, similar), "near-center")
+        star = told.where("linked and node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))
+        rest = told.where("not linked")
+        rests = rest.groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+        sides = told.join(rests, "g").select("g", "node", "linked", "chunks", "parts")
+        pair = lambda i, j: F.xxhash64(F.lit("pair"), "g", i, j).alias("g")
+        whole = sides.select("g", "node", "linked", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+        lone = sides.where("not linked").select("g", "node", "linked", F.pmod(F.xxhash64(F.lit("rest"), "node"), F.col("parts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("j"))
+        dealt = whole.select(pair("i", "j"), "node", F.col("linked").alias("known")).union(lone.select(pair("i", "j"), "node", F.col("linked").alias("known")))
+        links = links.union(star).union(verified(saved(dealt, "rest-pairs"), sets, similar, shuffle_partitions(spark) * 4))
+    links = saved(links.distinct(), "near-edges")
+    return own.select("row", "k1", "k2"), links
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group, that of the smallest doc_id (of these the first; rows without a doc_id come last); all columns stay. Every row that goes is tied to the one that stays by a chain of verified links."""
+    whole = numbered(docs)
+    rows = whole.select(F.col("__row").alias("row"), "text")
+    prints = near_groups(rows.withColumnRenamed("row", "doc_id"))
+    groups = prints.select(F.col("doc_id").alias("row"), F.xxhash64(F.lit("simhash"), "component_id").alias("g"))
+    of, edges = similar_links(rows, groups)
+    tied = components(edges)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("row").alias("kept"))).alias("first")
+    ids = whole.select(F.col("__row").alias("row"), "doc_id")
+    # Rows of equal shingles are summed up before they meet, so very many of them are no task's burden.
+    nodes = of.join(ids, "row").groupBy("k1", "k2").agg(F.min("row").alias("node"), first)
+    roots = nodes.join(tied, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = saved(roots.select(F.col("first.kept").alias("__row")), "kept-rows")
+    discard(edges)
+    return whole.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
