@@ -9,7 +9,7 @@ from tidemark.llm.decontaminate import without_leaks
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.private import sanitised
 from tidemark.llm.quality import keep_good
-from tidemark.llm.simhash import one_of_each
+from tidemark.llm.similar import one_of_each
 from tidemark.session import table
 
 
