@@ -39,7 +39,7 @@ MU = 100.0
 FOLDS, HELD_OUT = 5, 1
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
-SPARE_BITS = 24
+SPARE_BITS = 16
 SEGMENT = 512
 END_HASH = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -69,9 +69,14 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             ids = table.column("doc_id").to_pylist()
             out = [zlib.crc32(str("null" if i is None else i).encode()) % FOLDS == HELD_OUT for i in ids]
             hashes = np.append(hashes_of(words, 0), END_HASH)
+            # The most frequent words get the smallest codes, of which all but the first byte deflate to little.
+            frequent = np.argsort(-np.bincount(tokens, minlength=len(hashes)), kind="stable")
+            rank = np.empty(len(frequent), dtype=np.uint32)
+            rank[frequent] = np.arange(len(frequent))
+            tokens, hashes = rank[tokens], hashes[frequent]
             known = np.array([i is not None for i in ids], dtype=bool)
             values = np.array([i or 0 for i in ids], dtype=np.int64)
-            row = [first + number, np.concatenate([values, known.astype(np.int64)]).tobytes(), np.array(out, dtype=bool).tobytes(), lengths.astype(np.int64).tobytes(), zlib.compress(tokens.tobytes(), 1), hashes.tobytes(), len(tokens)]
+            row = [first + number, np.concatenate([values, known.astype(np.int64)]).tobytes(), np.array(out, dtype=bool).tobytes(), lengths.astype(np.int64).tobytes(), zlib.compress(tokens.view(np.uint8).reshape(-1, 4).T.tobytes(), 1), hashes.tobytes(), len(tokens)]
             number, held, size = number + 1, [], 0
             trim()
             return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in row], names=[c.split()[0] for c in BLOCK.split(", ")])
@@ -96,7 +101,7 @@ class Block:
         self.ids, self.has_id = ids[: len(ids) // 2], ids[len(ids) // 2 :].astype(bool)
         self.held_out = np.frombuffer(row["held_out"], dtype=bool)
         self.lengths = np.frombuffer(row["lengths"], dtype=np.int64)
-        self.tokens = np.frombuffer(zlib.decompress(row["codes"]), dtype=np.uint32)
+        self.tokens = np.ascontiguousarray(np.frombuffer(zlib.decompress(row["codes"]), dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
         words = np.frombuffer(row["words"], dtype=np.uint64)[self.tokens]
         at = spans_of(self.lengths)
         train = np.repeat(~self.held_out, self.lengths)
@@ -158,7 +163,7 @@ def sparse(data: bytes, bits: int) -> np.ndarray:
 
 
 def totals(made: DataFrame, order: int, power: int, size: int = 64) -> DataFrame:
-    """Rows (block, shard, answers): training counts of what each block asked for; block -1 bears the shard's own sums. There are 2 ** power shards, and n-grams are told by the first `size` bits of their hashes."""
+    """Rows (block, shard, answers): training counts of what each block asked for, less its own; block -1 bears the shard's own sums. There are 2 ** power shards, and n-grams are told by the first `size` bits of their hashes."""
     fields = ", ".join(f"g{n} binary, c{n} binary" for n in range(1, order + 1))
     names = ["block", "shard", *[f"{x}{n}" for n in range(1, order + 1) for x in "gc"]]
     kinds = [pa.int64(), pa.int64()] + [pa.binary()] * (2 * order)
@@ -192,7 +197,7 @@ def totals(made: DataFrame, order: int, power: int, size: int = 64) -> DataFrame
             total = np.bincount(of, weights=counts, minlength=len(keys)).astype(np.int64)
             ends = np.cumsum([len(g) for g in grams])
             for k, (b, g) in enumerate(zip(ends, grams)):
-                out[k].append(packed(total[of[b - len(g) : b]]))
+                out[k].append(packed((total[of[b - len(g) : b]] - counts[b - len(g) : b])))
             sums += [int(total.sum()), int((total > 0).sum())]
         answers = [b"".join(some) for some in out]
         return pd.DataFrame({"block": [*rows["block"], -1], "shard": [shard] * (len(rows) + 1), "answers": [*answers, b""], "n": [0] * len(rows) + [sums[0]], "v": [0] * len(rows) + [sums[1]]})
@@ -317,7 +322,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, mu: float = MU) -> Data
                     values, size = unpacked(data)
                     parts[n].append(values)
                     data = data[size:]
-            known = [np.concatenate(p) for p in parts]
+            known = [np.concatenate(p) + own for p, own in zip(parts, block.counts)]
             machine = Automaton(block, known, n_all, v_all, mu)
             words, lengths = block.of[0], block.lengths
             text = np.repeat(np.arange(len(lengths)), lengths)
