@@ -168,7 +168,7 @@ def test_leaks_tolerate_substitutions(spark, docs):
     changed[6], changed[15] = "other", "words"
     extra = [(900, prose(50, 7) + " " + " ".join(item).upper() + " " + prose(9, 8)), (901, prose(31, 9) + " " + " ".join(changed)), (902, prose(20, 10) + " " + " ".join(item[:7]) + " " + prose(20, 11)), (None, " ".join(item))]
     more = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "too short"), (4, prose(20, 501))], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "too short for once"), (4, prose(20, 501)), (5, "  ")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_words, r.n_same, r.doc_start) for r in decontaminate.leaks(more, bench).collect()}
     assert got == {(900, 1): (24, 24, 50), (901, 1): (24, 22, 31), (None, 1): (24, 24, 0)}
     kept = decontaminate.without_leaks(docs, bench)
@@ -182,6 +182,64 @@ def test_leaks_of_eight_words_at_odd_places(spark):
     assert got == {(k, 20 + k) for k in range(4)}
 
 
+def leak_by_brute_force(doc: str, item: str):
+    """The best overlap over all diagonals: (same, -words, -doc start, -item start), or None."""
+    d, w = (WORD.findall(lowered(x)) for x in (doc, item))
+    best = None
+    if w and len(w) < 8:
+        starts = [k for k in range(len(d) - len(w) + 1) if d[k : k + len(w)] == w]
+        return (len(w), -len(w), -starts[0], 0) if starts else None
+    for diagonal in range(-len(w), len(d)):
+        lo, hi = max(0, -diagonal), min(len(w), len(d) - diagonal)
+        score = top = 0
+        begin = first = lo
+        last = lo - 1
+        for j in range(lo, hi):
+            if score <= 0:
+                score, begin = 0, j
+            score += 1 if d[j + diagonal] == w[j] else -3
+            if score > top:
+                top, first, last = score, begin, j
+        n = last - first + 1
+        same = sum(d[j + diagonal] == w[j] for j in range(first, last + 1))
+        if n >= min(12, len(w)) and n > 0 and same >= 0.8 * n:
+            best = max(best or (0,), (same, -n, -(first + diagonal), -first))
+    return best
+
+
+@pytest.mark.parametrize("light", [True, False])
+def test_leaks_equal_brute_force(spark, light, monkeypatch):
+    if not light:
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    r = random.Random(6)
+    items = [(k, prose(n, 600 + k)) for k, n in enumerate([1, 3, 5, 7, 7, 8, 9, 12, 14, 20, 30, 45, 59, 30])] + [(20, None), (21, ""), (13, prose(30, 613))]
+    rows = []
+    for k in range(150):
+        parts = [prose(r.randint(0, 25), 700 + k)]
+        for _ in range(r.randint(0, 2)):
+            w = r.choice(items)[1]
+            w = (w or "").split()
+            w = [f"sub{r.randint(0, 99)}" if r.random() < r.choice([0, 0, 0.05, 0.12]) else x for x in w]
+            cut = r.randint(0, max(0, len(w) - 12)) if r.random() < 0.3 else 0
+            parts += [" ".join(w[cut:]), prose(r.randint(0, 25), 900 + k)]
+        rows.append((k if k % 10 else None, " ".join(parts).upper() if k % 4 == 0 else " ".join(parts)))
+    rows += [rows[1], (1, prose(30, 3)), (2, None), (3, "")]
+    expected = {}
+    for i, t in rows:
+        for n, w in items:
+            if w and t and (b := leak_by_brute_force(t, w)):
+                expected[i, n] = max(b, expected.get((i, n), (0,)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "no", "item", "seed")})
+    got = {(x.doc_id, x.item_id): (x.n_same, -x.n_words, -x.doc_start, -x.item_start) for x in decontaminate.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(expected.get(k) == v for k, v in got.items())
+    assert len(got) >= 0.97 * len(expected) and {k for k in expected if k[1] < 5} <= set(got) and len(expected) > 60
+
+
+def test_no_documents_leak_nothing(spark, docs):
+    items = spark.createDataFrame([(1, prose(20, 1))], "item_id long, text string")
+    assert decontaminate.leaks(docs.where("false"), items).count() == 0 and decontaminate.without_leaks(docs.where("false"), items).count() == 0
+
+
 def test_leaks_go_by_row(spark):
     item = prose(24, 500)
     rows = [(None, item), (None, prose(40, 1)), (7, item), (7, prose(40, 2)), (8, prose(40, 3))]
