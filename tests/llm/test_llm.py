@@ -248,25 +248,70 @@ def test_leaks_go_by_row(spark):
     assert Counter(map(tuple, kept)) == Counter([rows[1], rows[3], rows[4]])
 
 
-def test_packing_tiles_every_document(docs, plain):
-    enc = tokens.encoder(tokens.DEFAULT)
-    rows = packing.pack_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()
-    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+def pieces_of(text):
+    """(start, length, checksum) of each piece of a document."""
+    ids = np.array([*tokens.encoder(tokens.DEFAULT).library.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+    return [(s, min(2048, len(ids) - s), zlib.crc32(ids[s : s + 2048].tobytes())) for s in range(0, len(ids), 2048)]
+
+
+def sequences_of(rows) -> dict:
+    """Rows by sequence, after a look at their places: gapless from 0, at most 2048 long."""
+    by_sequence = defaultdict(list)
     for r in rows:
-        by_doc[r.doc_id].append(r)
         by_sequence[r.sequence_id].append(r)
-    for i, t in dict(plain).items():
-        if i is None:
-            continue
-        ids = np.array([*enc.library.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
-        pieces = sorted(by_doc[i], key=lambda r: r.piece)
-        assert [(r.start, r.length) for r in pieces] == [(s, min(2048, len(ids) - s)) for s in range(0, len(ids), 2048)]
-        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in pieces)
     for some in by_sequence.values():
         some.sort(key=lambda r: r.offset)
         assert [r.offset for r in some] == np.cumsum([0, *(r.length for r in some)])[:-1].tolist() and sum(r.length for r in some) <= 2048
+    return by_sequence
+
+
+def test_packing_tiles_every_document(docs, plain):
+    """Repeated rows, repeated and null ids included: each row's pieces are there once."""
+    rows = packing.pack_documents(docs).collect()
+    expected = Counter((i, k, *piece) for i, t in plain for k, piece in enumerate(pieces_of(t)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected
     lower = packing.lower_bound(np.array([r.length for r in rows]), 2048)
-    assert lower <= len(by_sequence) <= 1.1 * lower + 1
+    assert lower <= len(sequences_of(rows)) <= lower + 1
+
+
+@pytest.mark.parametrize("spread", [(1, 2047), (600, 1100), (700, 700), (1025, 1300)])
+def test_exchange_comes_near_the_bound(spark, spread):
+    """Many small groups, which leave room only others can fill; equal rows spread over them; certified groups keep all but their emptiest bin."""
+    r = random.Random(sum(spread))
+    rows = [(None if k % 9 == 0 else k % 50, 0, 0, r.randint(*spread), 7) for k in range(3000)] + [(1, 0, 0, 2048, 1)] * 3
+    pieces = packing.saved(spark.createDataFrame(rows, packing.PIECE).repartition(4), "test-pieces")
+    out = packing.pack(pieces, group_pieces=400).collect()
+    assert Counter((x.doc_id, x.length) for x in out) == Counter((x[0], x[3]) for x in rows)
+    lengths = np.array([x[3] for x in rows])
+    bound, plain_fit = packing.lower_bound(lengths, 2048), len(packing.best_fit_decreasing(lengths, 2048)[2])
+    assert bound <= len(sequences_of(out)) <= max(1.02 * plain_fit, bound + 2)
+    assert packing.whole_bound(pieces, 2048) == bound
+
+
+def least_bins(lengths: list[int], limit: int) -> int:
+    """The fewest bins, by trying."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(bins)
+            return
+        for i in {b: i for i, b in enumerate(bins) if b + lengths[k] <= limit}.values():
+            place(k + 1, bins[:i] + [bins[i] + lengths[k]] + bins[i + 1 :])
+        place(k + 1, [*bins, lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bounds_never_exceed_the_fewest_bins():
+    r = random.Random(2)
+    for _ in range(200):
+        lengths = [r.randint(1, 20) for _ in range(r.randint(1, 9))]
+        fewest = least_bins(lengths, 20)
+        assert packing.lower_bound(np.array(lengths), 20) <= fewest <= len(packing.best_fit_decreasing(np.array(lengths), 20)[2])
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])

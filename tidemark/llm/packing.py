@@ -1,12 +1,15 @@
 """Best-fit packing with certified bounds.
 
 Documents become token sequences (an end token after each) that are cut only where longer than a sequence. Pieces are
-dealt over groups of bounded size; each group packs its pieces by best-fit decreasing and is certified where its bin count
-equals a lower bound from dual feasible functions. Groups with a gap release the pieces of bins that are not full; these are
-exchanged (dealt anew over fewer groups) and packed again, for a fixed number of rounds or until one group holds them all.
-
-Contract: a null text is an empty one and still has its end token; repeated rows and repeated ids are packed each on its own
-(rows are carried through, never joined back); an empty table packs to an empty table; other columns stay unread.
+dealt over groups of bounded size; each group packs its pieces by best-fit decreasing, and a lower bound from dual feasible
+functions certifies it where its bin count equals the bound. Certified groups are done. Groups with a gap give back the
+pieces of their bins that aren't full; these are dealt anew over fewer groups and packed again, for a fixed number of rounds
+or until one group holds them all. At the end the same bound over all pieces (they have few lengths) tells whether the whole
+has a gap; only if so, bins of certified groups that have room, which only other groups can use, go into a last exchange.
+
+Contract: a null text is an empty one and still has its end token; repeated rows and repeated or null ids are packed each on
+its own (rows are carried through, never joined back, and dealt by row, so equal ones spread); an empty table packs to an
+empty table; other columns stay unread.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from .tokens import BATCH_BYTES, DEFAULT, LIMIT, encoder
 
 GROUP_PIECES = 8192
 ROUNDS = 4
+#: Exchanges among all groups where the whole has a gap.
+LAST_ROUNDS = 4
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = f"{PIECE}, part long, bin int, offset long, open boolean, bound int"
+PLACED = f"{PIECE}, part long, bin int, offset long, fill long, certified boolean"
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str = DEFAULT, limit: int = LIMIT, end_id: int = 0) -> DataFrame:
@@ -54,15 +59,15 @@ def cut_pieces(docs: DataFrame, tokenizer: str = DEFAULT, limit: int = LIMIT, en
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
 
 
-def lower_bound(lengths: np.ndarray, limit: int) -> int:
-    """The best of two families of dual feasible functions: no packing of these lengths uses fewer bins.
+def lower_bound(lengths: np.ndarray, limit: int, counts: np.ndarray | None = None) -> int:
+    """counts: how often each length is there, once where none are given. The best of two families of dual feasible functions: no packing of these lengths uses fewer bins.
 
     For a threshold k: lengths above limit - k count as a whole bin, those below k as nothing, the rest as they are. For a
     divisor p: a length counts floor((p + 1) * length / limit) / p, or length / limit where that product is whole.
     """
     if not len(lengths):
         return 0
-    sizes, n = np.unique(lengths, return_counts=True)
+    sizes, n = np.unique(lengths, return_counts=True) if counts is None else (lengths, counts)
     best = -(-int((sizes * n).sum()) // limit)
     for k in np.unique(np.minimum(sizes, limit - sizes))[:512]:
         if 0 < k <= limit // 2:
@@ -101,43 +106,65 @@ def best_fit_decreasing(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
+def whole_bound(pieces: DataFrame, limit: int) -> int:
+    """The lower bound for all pieces; a row for each length, of which there are `limit` at most, comes to the driver."""
+    counts = pieces.groupBy("length").agg(F.count("*").alias("n")).toPandas()
+    return lower_bound(counts["length"].to_numpy(np.int64), limit, counts["n"].to_numpy(np.int64))
+
+
 def pack(pieces: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """Adds sequence_id and offset to pieces. Also `certified`: its group's bin count met the bound."""
+    """Adds sequence_id and offset to pieces (a saved table). Also `certified`: its group's bin count met the bound."""
+    names = [c.split()[0] for c in PIECE.split(", ")]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         lengths = rows["length"].to_numpy(np.int64)
         bins, offsets, fill = best_fit_decreasing(lengths, limit)
-        bound = lower_bound(lengths, limit)
-        gap = len(fill) > bound
-        # Even a certified group has a bin that others could fill: the bins with room are what is exchanged.
-        rows["bin"], rows["offset"] = bins, offsets
-        rows["open"] = (fill < limit)[bins] if len(fill) else False
-        rows["bound"] = np.int32(bound if not gap else -1)
+        rows["bin"], rows["offset"], rows["fill"] = bins, offsets, fill[bins]
+        rows["certified"] = len(fill) == lower_bound(lengths, limit)
         return rows
 
+    def packed(rest: DataFrame, number: int, groups: int) -> DataFrame:
+        """Row numbers of a saved table take part in the dealing, so equal rows spread."""
+        dealt = rest.select(*names).withColumn("part", F.pmod(F.xxhash64(F.lit(number), F.monotonically_increasing_id()), F.lit(groups)))
+        return saved(dealt.groupBy("part").applyInPandas(run, PLACED), "packed")
+
+    def kept(placed: DataFrame, number: int) -> DataFrame:
+        return placed.select(*names, "part", "bin", "offset", "certified", F.lit(number).alias("round"), F.lit(0).cast("long").alias("own"))
+
     alone = pieces.where(F.col("length") >= limit)
-    rest = pieces.where(F.col("length") < limit)
-    done = [alone.select("*", F.xxhash64(F.lit("alone"), "doc_id", "piece", "start", "ids_crc32").alias("part"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"), F.lit(0).alias("round"), F.monotonically_increasing_id().alias("own"))]
-    n = rest.count()
-    for k in range(rounds):
+    done = [alone.select("*", F.lit(0).cast("long").alias("part"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"), F.lit(0).alias("round"), F.monotonically_increasing_id().alias("own"))]
+    rest, closed = pieces.where(F.col("length") < limit), []
+    for k in range(1, rounds + 1):
+        n = rest.count()
         if not n:
             break
         groups = max(1, -(-n // group_pieces))
-        dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.lit(k), "doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
-        placed = saved(dealt.groupBy("part").applyInPandas(run, PLACED), "packed")
-        final = k + 1 == rounds or groups == 1
-        kept = placed if final else placed.where(~F.col("open"))
-        done.append(kept.select(*[c.split()[0] for c in PIECE.split(", ")], "part", "bin", "offset", (F.col("bound") >= 0).alias("certified"), F.lit(k + 1).alias("round"), F.lit(0).cast("long").alias("own")))
-        if final:
+        placed = packed(rest, k, groups)
+        if k == rounds or groups == 1:
+            closed.append((placed, k))
             break
-        rest = placed.where("open").select(*[c.split()[0] for c in PIECE.split(", ")])
-        n = rest.count()
+        gap = ~F.col("certified") & (F.col("fill") < limit)
+        closed.append((placed.where(~gap), k))
+        rest = saved(placed.where(gap).select(*names), "open-pieces")
+    bound = whole_bound(pieces, limit) - alone.count()
+    for k in range(rounds + 1, rounds + 1 + LAST_ROUNDS):
+        if sum(placed.where("offset = 0").count() for placed, _ in closed) <= bound:
+            break
+        open_ = [placed.where(F.col("fill") < limit).select(*names) for placed, _ in closed]
+        for more in open_[1:]:
+            open_[0] = open_[0].union(more)
+        rest = saved(open_[0], "open-pieces")
+        groups = max(1, -(-rest.count() // group_pieces))
+        closed = [*((placed.where(F.col("fill") == limit), k) for placed, k in closed), (packed(rest, k, groups), k)]
+        if groups == 1:
+            break
+    done += [kept(placed, k) for placed, k in closed]
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     # Unique by construction: full pieces take their row number (below 2^62), packed ones 2^62 plus round, group and bin.
     number = F.when(F.col("round") == 0, F.col("own")).otherwise(F.lit(1 << 62) + F.col("round") * F.lit(1 << 56) + F.col("part") * F.lit(1 << 20) + F.col("bin"))
-    return out.select(*[c.split()[0] for c in PIECE.split(", ")], number.cast("long").alias("sequence_id"), "offset", "certified")
+    return out.select(*names, number.cast("long").alias("sequence_id"), "offset", "certified")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = DEFAULT, limit: int = LIMIT, end_id: int = 0) -> DataFrame:
