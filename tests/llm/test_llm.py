@@ -142,26 +142,40 @@ def test_trie_join_and_chunks(spark):
     assert sorted(map(sorted, parts.values())) == sorted(map(sorted, expected.values()))
 
 
-def test_cascade_is_exact(spark):
-    every = spark.range(4000).select(*urls.hashes(F.concat(F.lit("k"), F.col("id"))))
-    listed = spark.range(0, 4000, 7).select(*urls.hashes(F.concat(F.lit("k"), F.col("id"))))
-    cascade = urls.build_cascade(listed, every)
-    pick = lambda df: [np.array(c, dtype=np.int64) for c in zip(*[(r.a, r.b) for r in df.collect()])]
-    assert cascade.has(*pick(listed)).all()
-    assert not cascade.has(*pick(every.join(listed, ["a", "b"], "left_anti"))).any()
-
-
-@pytest.mark.parametrize("joined", [False, True])
-def test_urls(spark, monkeypatch, joined):
-    if joined:
-        monkeypatch.setattr(urls, "MAX_LISTED", 1)
-    given = ["https://WWW.Example.com/en/a?b", "http://example.com/en/", "http://x.example.com/fr", "http://a.net/es/1#x", "a.net/es/", None, "http://b.org/x", "http://com", "x://Ä.com/y"]
-    pages = spark.createDataFrame([(k, u) for k, u in enumerate(given)], "page_id long, url string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages, urls.rule_table(spark)).collect()}
-    assert [got[k][2:] for k in range(9)] == [("www.example.com/en/", "allow"), ("example.com/en/", "block"), ("com/", "allow"), ("net/es/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("com/", "allow")]
+@pytest.mark.parametrize(("listed", "others"), [(0, 100), (1, 0), (10, 100_000), (1000, 100_000), (50_000, 300), (3, 3)])
+def test_cascade_is_exact(listed, others):
+    draw = np.random.default_rng(listed + others)
+    a, b = (draw.integers(-(1 << 63), 1 << 63, listed + others, dtype=np.int64) for _ in "ab")
+    mark = np.arange(len(a)) < listed
+    made = urls.Cascade.of_bytes(urls.Cascade.built(a, b, mark).to_bytes())
+    assert (made.has(a, b) == mark).all()
+    # Some bits for each listed key: the size follows the list, and the universe by its logarithm only.
+    assert 8 * len(made.to_bytes()) <= listed * (8 + 2 * math.log2(1 + others / max(1, listed))) + 64 * 64
+
+
+GIVEN = ["https://WWW.Example.com/en/a?b", "http://example.com/en/", "http://x.example.com/fr", "http://a.net/es/1#x", "a.net/es/", None, "http://b.org/x", "http://com", "x://Ä.com/y", "http://q.net/fr/" + "z/" * 20_000, "http://" + "l." * 3000 + "com/"]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_urls(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(urls, "ASKED_KEYS", 3)
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(GIVEN)] + [(0, GIVEN[0])], "page_id long, url string").withColumns({c: F.lit(1) for c in ("row", "host", "path", "keys", "shard", "key")})
+    rows = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(pages, urls.rule_table(spark)).collect()]
+    got = {r[0]: r[1:] for r in rows}
+    assert len(rows) == len(GIVEN) + 1
+    assert [got[k][2:] for k in range(11)] == [("www.example.com/en/", "allow"), ("example.com/en/", "block"), ("com/", "allow"), ("net/es/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("com/", "allow"), ("net/fr/", "block"), ("com/", "allow")]
     assert got[8][0] == "Ä.com" and got[5][:2] == ("", "") and got[7][:2] == ("com", "")
 
 
+def test_urls_of_conflicting_and_no_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.com/x")], "page_id long, url string")
+    rules = urls.rule_table(spark, [("a.com", "/", "allow"), ("a.com", "/", "block"), ("a.com", "/", "block"), ("b.com", "/", "allow")])
+    assert {(r.page_id, r.rule, r.verdict) for r in urls.judge_urls(pages, rules).collect()} == {(1, "a.com/", "block"), (2, "b.com/", "allow")}
+    assert {(r.page_id, r.rule, r.verdict) for r in urls.judge_urls(pages, rules.where("false")).collect()} == {(1, None, "allow"), (2, None, "allow")}
+
+
 def test_leaks_tolerate_substitutions(spark, docs):
     item = prose(24, 500).split()
     changed = list(item)
