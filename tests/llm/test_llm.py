@@ -330,14 +330,24 @@ def test_bounds_never_exceed_the_fewest_bins():
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts_equal_the_library(docs, plain, name, monkeypatch):
-    monkeypatch.setattr(tokens, "SEGMENT_CHARS", 500)
-    enc = tokens.encoder(name)
-    odd = ["<|endoftext|>x <|startoftext|>", "it's 12a3 naïve café ǅ İstanbul e\u0301", "a\u00a0b\u2003c", "ﬁn ½ 日本語 👩‍👩‍👧", "x" * 3000, "don't!!! (ok)..."]
+    monkeypatch.setattr(tokens, "SEGMENT_CHARS", 40)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    enc = tokens.Encoder(name)
+    odd = ["<|endoftext|>x <|startoftext|>", "it's 12a3 naïve café ǅ İstanbul e\u0301", "a\u00a0b\u2003c", "ﬁn ½ 日本語 👩‍👩‍👧", "x" * 3000, "don't!!! (ok)...", "word1 2word3's " * 300, "abc123" * 2000, "12 34  ab  cd " * 400, "<|endoftext|>7a" * 200, "a b" * 900]
     for t in [*odd, *(t or "" for _, t in plain)]:
-        assert enc.counts(tokens.text_array(__import__("pyarrow").array([t])))[0] == len(enc.library.encode(t) if enc.pieces else enc.library.encode(t, add_special_tokens=False).ids), t
+        expected = enc.library.encode(t) if enc.pieces else enc.library.encode(t, add_special_tokens=False).ids
+        given = tokens.text_array(__import__("pyarrow").array([t]))
+        assert enc.counts(given)[0] == len(expected) and enc.encoded(given)[0].tolist() == list(expected), t[:50]
+    assert enc.cut is not tokens.NEVER
     assert tokens.count_tokens(docs, name).count() == docs.count()
 
 
+def test_long_strings_are_cut_only_where_tokens_end(monkeypatch):
+    monkeypatch.setattr(tokens, "SEGMENT_CHARS", 100)
+    for name, text, parts in [("word_bpe_49k.json", "abc123" * 200, 11), ("word_bpe_49k.json", "x" * 1000, 1), ("byte_bpe_50k.json", "ab cd " * 200, 11), ("piece_bpe_32k.model", "ab cd " * 200, 11)]:
+        assert len(tokens.cut_at(tokens.Encoder(name).cut, text, 100)) >= parts
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

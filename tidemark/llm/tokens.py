@@ -3,11 +3,15 @@
 Contract: a null text counts as empty (0 tokens); no row is dropped; repeated rows are counted each on its own; other
 columns stay unread. No text is truncated. An empty table gives an empty table.
 
-Two ways to encode, with the same result:
-* A tokenizer that drops white space and never looks across it (its file says so: the pre-tokenizer keeps what its
-  pattern matches, the pattern excludes white space, and no special token holds or eats any) gives each white-space
-  separated chunk its tokens whatever stands around it. Such chunks are encoded once per batch and worker.
-* Any other tokenizer gets whole texts, in batches of equal bytes. Its long texts are cut only by `safe_cuts`.
+Input partitions are balanced by bytes by Spark's file splits, and Arrow batches within them by `by_bytes`. The library
+encodes a batch of strings at a time, which are
+* the distinct white-space separated chunks of an Arrow batch, if the tokenizer drops white space and never looks across it
+  (its file says so: the pre-tokenizer keeps what its pattern matches, the pattern excludes white space, and no special token
+  holds or eats any), so that a chunk's tokens don't depend on what stands around it; lengths of chunks seen before are kept,
+  up to CACHE_BYTES;
+* whole texts with any other tokenizer.
+Either is cut, where it is longer than SEGMENT_CHARS, at the first place beyond that where tokens must end: `Encoder.cut`
+names it for each kind of tokenizer. A string without such a place (a million letters in a row) stays whole.
 """
 
 from __future__ import annotations
@@ -28,12 +32,17 @@ DEFAULT = "word_bpe_49k.json"
 LIMIT = 2048
 BATCH_BYTES = 4 << 20
 SEGMENT_CHARS = 1 << 20
-CACHE_ENTRIES = 400_000
+#: Bytes of chunks and of what is kept for them, in each worker.
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 160
 
-#: A run of precomposed Latin letters, then ASCII marks without an apostrophe, a digit or "<": two pre-tokens of a word tokenizer.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?-@\\[-`{-~]*)")
 #: Between a letter or digit and a single space that a letter follows, byte-level tokenizers always start a new pre-token.
-SAFE = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")
+BEFORE_SPACE = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")
+#: That space itself: a sentence-piece tokenizer puts it before the second part by itself.
+AT_SPACE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
+#: Between a letter and a digit, either way: letters are runs of their own.
+AT_DIGIT = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+NEVER = re.compile(r"(?!)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -50,22 +59,15 @@ def drops_space(spec: dict) -> bool:
     return bool(split) and split["behavior"] == "Removed" and split["invert"] and r"[^\s" in split["pattern"].get("Regex", "") and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(r"\s", a["content"]) for a in special) and spec.get("post_processor") is None
 
 
-def byte_symbols() -> dict[int, str]:
-    """The printable stand-in that byte-level tokenizers use for each byte: printable Latin-1 bytes stand for themselves, the rest are numbered from 256."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-def safe_cuts(text: str, most: int) -> list[str]:
-    """The text in segments of about `most` characters, cut only where a pre-token must end; one segment where no such place is found."""
+def cut_at(pattern: re.Pattern, text: str, most: int) -> list[str]:
+    """The text in parts of about `most` characters, cut only at matches of the pattern, which are left out."""
     parts, at = [], 0
     while len(text) - at > most:
-        found = SAFE.search(text, at + most)
+        found = pattern.search(text, at + most)
         if not found:
             break
         parts.append(text[at : found.start()])
-        at = found.start()
+        at = found.end()
     return [*parts, text[at:]]
 
 
@@ -74,12 +76,17 @@ class Encoder:
 
     def __init__(self, name: str):
         path = tokenizer_path(name)
-        self.pieces = path.endswith(".model")
-        self.by_word = False
+        self.pieces, self.by_word = path.endswith(".model"), False
+        self.sizes: dict[str, int] = {}
+        self.ids: dict[str, bytes] = {}
+        self.kept = 0
         if self.pieces:
             import sentencepiece
 
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+            names = map(self.library.id_to_piece, range(self.library.get_piece_size()))
+            alone = not any("\u2581" in p.lstrip("\u2581") for p in names) and self.library.encode("ab cd") == self.library.encode("ab") + self.library.encode("cd")
+            self.cut = AT_SPACE if alone else NEVER
             return
         from tokenizers import Tokenizer
 
@@ -90,49 +97,46 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.by_word = drops_space(spec)
-        kinds = json.dumps(spec.get("normalizer")) + json.dumps(spec.get("pre_tokenizer"))
-        self.plain = self.by_word and '"NFC"' in kinds and '"Lowercase"' in kinds and r"[\\p{L}]+|" in kinds and '"ByteLevel"' in kinds
-        self.symbols = str.maketrans({k: v for k, v in byte_symbols().items()})
-        self.model = self.library.model
-        self.special = any("<" not in a["content"] for a in spec.get("added_tokens") or [])
-        self.cache: dict[str, np.ndarray] = {}
+        special = [a["content"] for a in spec.get("added_tokens") or []]
+        if self.by_word:  # the pattern keeps letters apart from all else, and no special token holds a digit
+            self.cut = AT_DIGIT if r"[\\p{L}]+|[\\p{N}]" in json.dumps(spec["pre_tokenizer"]) and not any(re.search("[0-9]", a) for a in special) else NEVER
+        else:
+            self.cut = BEFORE_SPACE if not any(" " in a for a in special) else NEVER
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        """Token ids of whole texts, by the library."""
-        if self.pieces:
-            return [self.library.encode(t, num_threads=1) if len(t) else [] for t in texts]
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def run(self, word: str) -> np.ndarray:
-        """Ids of one pre-token."""
-        ids = self.cache.get(word)
-        if ids is None:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            symbols = word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
-            ids = self.cache[word] = np.array([t.id for t in self.model.tokenize(symbols)], dtype=np.uint32).tobytes()
-        return ids
-
-    def chunk(self, chunk: str) -> bytes:
-        """Ids of one chunk without white space, as little-endian 32-bit numbers."""
-        found = PLAIN.fullmatch(chunk) if self.plain and not self.special else None
-        if found:
-            letters, marks = found.groups()
-            return self.run(letters.lower()) + self.run(marks) if marks else self.run(letters.lower())
-        ids = self.cache.get(chunk)
-        if ids is None:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            ids = self.cache[chunk] = np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype=np.uint32).tobytes() if chunk else b""
-        return ids
+        """Token ids of each text, by the library; long ones in parts."""
+        parts = [cut_at(self.cut, t, SEGMENT_CHARS) if len(t) > SEGMENT_CHARS else [t] for t in texts]
+        flat = [p for some in parts for p in some]
+        found = self.library.encode(flat, num_threads=1) if self.pieces else [e.ids for e in self.library.encode_batch_fast(flat, add_special_tokens=False)]
+        if len(flat) == len(texts):
+            return found
+        out, at = [], 0
+        for some in parts:
+            out.append([i for ids in found[at : at + len(some)] for i in ids])
+            at += len(some)
+        return out
+
+    def of_chunks(self, chunks: list[str], kept: dict, keep) -> list:
+        """keep(ids) of each distinct chunk; what is kept from earlier batches isn't encoded again."""
+        missing = [c for c in chunks if c not in kept]
+        new = dict(zip(missing, map(keep, self.whole(missing))))
+        out = [kept[c] if c in kept else new[c] for c in chunks]
+        self.kept += sum(ENTRY_BYTES + 4 * len(c) for c in missing)
+        if self.kept > CACHE_BYTES:
+            self.sizes.clear()
+            self.ids.clear()
+            self.kept = 0
+        else:
+            kept.update(new)
+        return out
 
     def encoded(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
         if not self.by_word:
-            found = [[i for part in self.whole(safe_cuts(t, SEGMENT_CHARS) if not self.pieces else [t]) for i in part] for t in texts.to_pylist()]
+            found = self.whole(texts.to_pylist())
             return np.array([i for ids in found for i in ids], dtype=np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
         codes, words, offsets = words_of(texts, lower=False)
-        each = [self.chunk(w) for w in words.to_pylist()]
+        each = self.of_chunks(words.to_pylist(), self.ids, lambda ids: np.array(ids, dtype="<u4").tobytes())
         flat = np.frombuffer(b"".join(each), dtype="<u4")
         sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
         starts = np.cumsum(sizes) - sizes
@@ -142,15 +146,11 @@ class Encoder:
         return flat[at], np.concatenate([[0], ends])[offsets]
 
     def counts(self, texts: pa.LargeStringArray) -> np.ndarray:
-        """Tokens in each text; the ids are never put together."""
+        """Tokens in each text; ids are dropped at once."""
         if not self.by_word:
-            if self.pieces:
-                return np.array([len(x) for x in self.whole(texts.to_pylist())], dtype=np.int64)
-            parts = [safe_cuts(t, SEGMENT_CHARS) for t in texts.to_pylist()]
-            sizes = np.array([len(x) for x in self.whole([p for some in parts for p in some])], dtype=np.int64)
-            return np.add.reduceat(sizes, np.cumsum([0, *map(len, parts)])[:-1]) if parts else np.zeros(0, np.int64)
+            return np.array([len(x) for x in self.whole(texts.to_pylist())], dtype=np.int64)
         codes, words, offsets = words_of(texts, lower=False)
-        sizes = np.array([len(self.chunk(w)) // 4 for w in words.to_pylist()], dtype=np.int64)
+        sizes = np.array(self.of_chunks(words.to_pylist(), self.sizes, len), dtype=np.int64)
         return np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[offsets])
 
 
