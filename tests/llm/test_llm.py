@@ -610,7 +610,6 @@ def near_texts(seed: int) -> list[str]:
 @pytest.mark.parametrize("chunk", [4096, 4])
 def test_one_of_each_equals_brute_force(spark, docs, plain, chunk, monkeypatch):
     monkeypatch.setattr(similar, "CHUNK", chunk)
-    monkeypatch.setattr(similar.similar_links, "__defaults__", (None, 0.8, chunk))
     rows = list(plain) + [(1000 + k, t) for k, t in enumerate(near_texts(1))] + [(1000, "another text under one id, not alike"), (None, None), (None, prose(50, 77)), (None, prose(50, 77))]
     got = Counter((r.doc_id, r.text) for r in similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "node", "g", "k1", "size", "known")})).collect())
     expected = kept_by_brute_force(rows)

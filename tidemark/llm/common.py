@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: What counts as white space between words everywhere in this folder: space and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 MASK64 = (1 << 64) - 1
+#: Tables that saved() has written and that are still there.
+TABLES: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +36,7 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_path = path
+    TABLES.append(out)
     return out
 
 
@@ -43,6 +46,15 @@ def discard(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        TABLES[:] = [t for t in TABLES if t is not df]
+
+
+def discard_since(mark: int, *keep: DataFrame) -> None:
+    """Deletes what saved() has written since there were `mark` TABLES, but for those to keep, and lets shuffle files go."""
+    gone = [df for df in TABLES[mark:] if all(df is not k for k in keep)]
+    discard(*gone)
+    if gone:
+        release(gone[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:

@@ -3,13 +3,16 @@
 Similarity is the cosine of the two sets of five-word shingles, shared / sqrt(size * size), which is what SimHash estimates;
 a link needs 0.8. Sixty-four bits of SimHash put such texts some ten bits apart, beyond what masks of a trie join can carry,
 so besides the groups of the trie join every text has bands of four MinHash values (at a cosine of 0.8 two texts share one
-of the 32 bands with a probability of 0.997 or more). Texts of one candidate group meet in a task with their shingles, where
-links are verified exactly until all that are linked are connected; only a spanning forest leaves it.
+of the 32 bands with a probability of 0.997 or more). All pairs that share a group are candidates, and each is settled by
+its exact similarity or by both being connected already:
 
-A group beyond a size is first compared with its most typical member, which a salted join brings to all of them. What isn't
-linked with that member is dealt over chunks, and so is the whole group; every chunk of the rest meets every chunk of the
-group, where members known to be linked with each other aren't compared again. So copies of one text cost their number, and
-only texts that are not alike though they share a band cost more.
+1. Every text is compared with the most typical one of its groups (the member of most and largest groups), its center.
+   Those linked with one center are a cluster; one set of shingles travels for each text.
+2. Texts that share a group with a cluster but aren't in it visit it: the cluster's members are dealt over chunks, visitors
+   go to all of them, and each visitor is compared with the members until it is linked. Of two clusters the smaller visits.
+3. Texts without a cluster that share a group meet in a task, or chunk by chunk where they are many.
+
+So copies of one text cost their number; only texts that share groups and yet aren't alike cost more.
 
 Contract: a null text is an empty one, and all texts without words are one group; fewer than five words are one shingle;
 equal sets of shingles are one node; a null doc_id takes part like any other; an empty table has no groups; other columns
@@ -21,18 +24,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, discard, hashes_of, mix, numbered, saved, shuffle_partitions, spans_of, text_array, words_of
+from .common import TABLES, by_bytes, discard_since, hashes_of, mix, numbered, saved, shuffle_partitions, spans_of, text_array, words_of
 from .simhash import components, near_groups
 
 SHINGLE = 5
 VALUES = 128
 BAND = 4
 SIMILAR = 0.8
-#: Most members, and bytes of shingles, of a group that is compared in one step.
-CHUNK, CHUNK_BYTES = 4096, 32 << 20
+#: Most members of a group that are compared in one step.
+CHUNK = 4096
 TASK_BYTES = 64 << 20
 SEED = 42
 
@@ -96,14 +99,14 @@ def described(rows: DataFrame) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """rows (node, text) to (node, set): the shingles' hashes, in order."""
+    """rows (node, text) to (node, set): the first 32 bits of the shingles' hashes, in order, as often as they are there; another text's shingle is taken for one of them with a probability of one in 2 ** 32 for each."""
 
     def run(batches):
         for batch in batches:
             for part in by_bytes(batch, "text", 1 << 20):
                 hashes, offsets = shingles_of(text_array(part.column("text")))
-                data = memoryview(hashes.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([data[8 * a : 8 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary())], names=["node", "set"])
+                data = memoryview((hashes >> np.uint64(32)).astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([data[4 * a : 4 * b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.binary())], names=["node", "set"])
 
     return rows.mapInArrow(run, "node long, set binary")
 
@@ -139,21 +142,18 @@ def connected(sets: list[np.ndarray], label: np.ndarray, similar: float) -> np.n
     return label
 
 
-def verified(met: DataFrame, sets: DataFrame, similar: float, tasks: int) -> DataFrame:
-    """met (g, node, known): edges (a, b) of a spanning forest of the exact links inside each group; nodes with `known` are linked with each other already."""
+def within(met: DataFrame, sets: DataFrame, similar: float, tasks: int) -> DataFrame:
+    """met (g, node): edges (a, b) of a spanning forest of the exact links inside each group."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["g", "node", "known"], ascending=[True, True, False]).drop_duplicates(["g", "node"])
-        group, node, known = rows["g"].to_numpy(), rows["node"].to_numpy(), rows["known"].to_numpy(bool)
-        values = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"]]
+        rows = rows.sort_values(["g", "node"]).drop_duplicates(["g", "node"])
+        group, node = rows["g"].to_numpy(), rows["node"].to_numpy()
+        values = [np.frombuffer(x, dtype=np.uint32) for x in rows["set"]]
         edges = np.append(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])), len(group))
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for lo, hi in zip(edges, edges[1:]):
             if hi - lo > 1:
-                label = np.arange(hi - lo)
-                if known[lo:hi].any():
-                    label[known[lo:hi]] = np.flatnonzero(known[lo:hi])[0]
-                label = connected(values[lo:hi], label, similar)
+                label = connected(values[lo:hi], np.arange(hi - lo), similar)
                 other = np.flatnonzero(label != np.arange(hi - lo))
                 a.append(node[lo:hi][other])
                 b.append(node[lo:hi][label[other]])
@@ -163,68 +163,113 @@ def verified(met: DataFrame, sets: DataFrame, similar: float, tasks: int) -> Dat
     return dealt.groupBy("task").applyInPandas(run, "a long, b long")
 
 
-def near_center(hot: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """hot (g, node, chunks, center) with `linked`: whether the node is the group's center or linked with it. The center's shingles are sent to each chunk."""
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    centers = hot.select("g", "chunks", F.col("center").alias("node")).distinct().join(sets, "node").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("set").alias("whole"))
-    both = hot.withColumn("chunk", chunk).join(centers, ["g", "chunk"]).join(sets, "node").select("g", "node", "chunks", "center", "set", "whole")
+def visited(met: DataFrame, sets: DataFrame, similar: float, tasks: int) -> DataFrame:
+    """met (g, node, member): edges (a, b) from each node of a group that is no member of it to one member that it is linked with, if there is one."""
 
-    def run(batches):
-        for batch in batches:
-            linked = []
-            for mine, whole in zip(batch.column("set"), batch.column("whole")):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (mine, whole))
-                linked.append(len(x) > 0 and len(y) > 0 and bool(alike(shared(y, x, np.zeros(1, dtype=np.int64)), np.array([len(x)]), len(y), similar)[0]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("g", "node", "chunks", "center")), pa.array(linked, pa.bool_())], names=["g", "node", "chunks", "center", "linked"])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, some in rows.sort_values(["g", "node"]).groupby("g", sort=False):
+            inside = some["member"].to_numpy(bool)
+            node = some["node"].to_numpy()
+            values = [np.frombuffer(x, dtype=np.uint32) for x in some["set"]]
+            members = np.flatnonzero(inside)
+            if not len(members):
+                continue
+            flat, sizes = np.concatenate([values[k] for k in members]), np.array([len(values[k]) for k in members])
+            starts = np.cumsum(sizes) - sizes
+            for u in np.flatnonzero(~inside).tolist():
+                if len(values[u]):
+                    near = np.flatnonzero(alike(shared(values[u], flat, starts), sizes, len(values[u]), similar))
+                    if len(near):
+                        out.append((node[u], node[members[near[0]]]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return both.mapInArrow(run, "g long, node long, chunks int, center long, linked boolean")
+    dealt = met.join(sets, "node").withColumn("task", F.pmod(F.xxhash64("g"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(run, "a long, b long")
 
 
 def candidates(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(g, node, n, bytes): members of every group of two nodes or more; of groups with the same members one. nodes: (node, size, bands); groups: (node, g)."""
-    rows = nodes.select("node", F.explode("bands").alias("g")).union(groups.select("node", "g")).join(nodes.select("node", "size"), "node")
-    members = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
-    met = rows.groupBy("g").agg(F.count("*").cast("int").alias("n"), F.sum(F.col("size") * 8).alias("bytes"), members).where("n > 1")
-    one = met.groupBy("n", "members").agg(F.min("g").alias("g"), F.first("bytes").alias("bytes")).select("g", "n", "bytes")
-    return rows.join(one, "g").select("g", "node", "n", "bytes")
+    """(g, node, n): members of every group of two nodes or more; of groups with the same members one. nodes: (node, size, bands); groups: (node, g). Nodes without shingles have no links."""
+    rows = nodes.select("node", F.explode("bands").alias("g")).union(groups.join(nodes.where("size > 0").select("node"), "node", "left_semi").select("node", "g"))
+    return candidates_again(rows)
+
+
+def centers(met: DataFrame) -> DataFrame:
+    """(node, center): of the most typical members of a node's groups the most typical one; the node itself is left out."""
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    rank = F.struct("weight", (-F.col("node")).alias("m"))
+    best = met.join(weight, "node").groupBy("g").agg(F.max(rank).alias("best"))
+    chosen = met.select("g", "node").join(best, "g").groupBy("node").agg(F.max("best").alias("best"))
+    return chosen.select("node", (-F.col("best.m")).alias("center")).where("node <> center")
 
 
-def similar_links(rows: DataFrame, groups: DataFrame | None = None, similar: float = SIMILAR, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def parts_of(count: str, most: int) -> Column:
+    return F.ceil(F.col(count) / most).cast("long")
+
+
+def upto(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def dealt(node: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(node), parts)
+
+
+def similar_links(rows: DataFrame, groups: DataFrame | None = None, similar: float = SIMILAR, chunk: int | None = None) -> tuple[DataFrame, DataFrame]:
     """rows (row, text; saved), groups (row, g) that may hold links too. Returns (row, k1, k2), equal for rows of equal shingles, and (a, b), edges whose components are those of all links; of rows of equal shingles only the least is in an edge."""
-    spark = rows.sparkSession
+    spark, chunk = rows.sparkSession, chunk or CHUNK
     own = saved(described(rows), "shingles")
     nodes = saved(own.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.min_by("bands", "row").alias("bands")), "shingle-nodes")
-    more = groups.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "g") if groups is not None else nodes.select("node", F.lit(0).cast("long").alias("g")).where("false")
+    more = groups.select(F.col("row").alias("node"), "g") if groups is not None else nodes.select("node", F.lit(0).cast("long").alias("g")).where("false")
     met = saved(candidates(nodes, more), "candidates")
-    wanted = met.select("node").distinct()
-    sets = saved(shingle_sets(rows.join(wanted.withColumnRenamed("node", "row"), "row", "left_semi").select(F.col("row").alias("node"), "text")), "shingle-sets")
-    chunks = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
-    met = met.withColumn("chunks", chunks)
-    small = met.where("chunks = 1").select("g", "node", F.lit(False).alias("known"))
-    load = met.where("chunks = 1").select("g", "n", "bytes").distinct().agg(F.sum("bytes")).first()[0] or 0
-    tasks = max(shuffle_partitions(spark), -(-load // TASK_BYTES))
-    links = verified(small, sets, similar, tasks)
-    hot = met.where("chunks > 1")
-    if not hot.isEmpty():
-        weight = met.groupBy("node").agg(F.sum("n").alias("weight"))  # a member of many large groups is typical
-        center = hot.join(weight, "node").groupBy("g").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("center"))
-        told = saved(near_center(hot.join(center, "g").select("g", "node", "chunks", "center"), sets, similar), "near-center")
-        star = told.where("linked and node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))
-        rest = told.where("not linked")
-        rests = rest.groupBy("g").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-        sides = told.join(rests, "g").select("g", "node", "linked", "chunks", "parts")
-        pair = lambda i, j: F.xxhash64(F.lit("pair"), "g", i, j).alias("g")
-        whole = sides.select("g", "node", "linked", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
-        lone = sides.where("not linked").select("g", "node", "linked", F.pmod(F.xxhash64(F.lit("rest"), "node"), F.col("parts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("j"))
-        dealt = whole.select(pair("i", "j"), "node", F.col("linked").alias("known")).union(lone.select(pair("i", "j"), "node", F.col("linked").alias("known")))
-        links = links.union(star).union(verified(saved(dealt, "rest-pairs"), sets, similar, shuffle_partitions(spark) * 4))
-    links = saved(links.distinct(), "near-edges")
+    wanted = met.select(F.col("node").alias("row")).distinct()
+    sets = saved(shingle_sets(rows.join(wanted, "row", "left_semi").select(F.col("row").alias("node"), "text")), "shingle-sets")
+    load = nodes.join(wanted.withColumnRenamed("row", "node"), "node", "left_semi").agg(F.sum("size")).first()[0] or 0
+    tasks = max(shuffle_partitions(spark), -(-4 * load // TASK_BYTES))
+    # 1. Stars: chunks of each center's nodes, with the center.
+    chosen = saved(centers(met), "centers")
+    size = chosen.groupBy("center").agg(F.count("*").alias("n")).select("center", parts_of("n", chunk).alias("parts"))
+    own_key = lambda key, part: F.xxhash64(key, part).alias("g")
+    sides = chosen.join(size, "center")
+    star = sides.select(own_key("center", dealt("node", F.col("parts"))), "node", F.lit(False).alias("member"))
+    heads = size.select("center", upto(F.col("parts")).alias("part")).select(own_key("center", "part"), F.col("center").alias("node"), F.lit(True).alias("member"))
+    stars = saved(visited(star.union(heads), sets, similar, tasks), "star-links")
+    # Of each linked node the label is its center, or that center's.
+    one = stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    two = one.join(one.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    labels = saved(two.union(two.select("label", "label").distinct().join(two.select(F.col("node").alias("known")), F.col("label") == F.col("known"), "left_anti")), "cluster-labels")
+    named = met.select("g", "node").join(labels, "node", "left")
+    named = saved(named.select("g", "node", "label"), "labelled")
+    # 2. Visits: nodes that share a group with another cluster; of two clusters the smaller visits.
+    count = labels.groupBy("label").agg(F.count("*").alias("n"))
+    there = named.where("label is not null").select("g", F.col("label").alias("cluster")).distinct().join(count.withColumnRenamed("label", "cluster"), "cluster").select("g", "cluster", "n")
+    guests = named.join(count.withColumnRenamed("n", "own_n"), "label", "left").join(there, "g").where("label is null or (cluster <> label and struct(n, cluster) > struct(own_n, label))")
+    guests = saved(guests.select("node", "cluster").distinct(), "visits")
+    hosts = guests.select("cluster").distinct().join(count.withColumnRenamed("label", "cluster"), "cluster").select("cluster", parts_of("n", chunk).alias("parts"))
+    inside = labels.join(hosts.withColumnRenamed("cluster", "label"), "label").select(own_key("label", dealt("node", F.col("parts"))), "node", F.lit(True).alias("member"))
+    outside = guests.join(hosts, "cluster").select("node", "cluster", upto(F.col("parts")).alias("part")).select(own_key("cluster", "part"), "node", F.lit(False).alias("member"))
+    visits = visited(inside.union(outside), sets, similar, tasks)
+    # 3. The rest among themselves.
+    lone = saved(candidates_again(named.where("label is null").select("g", "node")).withColumn("parts", parts_of("n", chunk)), "lone")
+    small = lone.where("parts = 1").select("g", "node")
+    large = lone.where("parts > 1").select("g", "node", "parts", dealt("node", F.col("parts")).alias("i")).select("g", "node", "i", upto(F.col("parts")).alias("j"))
+    large = large.select(F.xxhash64("g", F.least("i", "j"), F.greatest("i", "j")).alias("g"), "node")
+    links = saved(stars.union(visits).union(within(small.union(large), sets, similar, tasks)).distinct(), "near-edges")
     return own.select("row", "k1", "k2"), links
 
 
+def candidates_again(rows: DataFrame) -> DataFrame:
+    """(g, node, n) of groups with two nodes or more left, of groups with the same members one."""
+    members = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
+    met = rows.groupBy("g").agg(F.count("*").cast("int").alias("n"), members).where("n > 1")
+    one = met.groupBy("n", "members").agg(F.min("g").alias("g")).select("g", "n")
+    return rows.join(one, "g").select("g", "node", "n")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group, that of the smallest doc_id (of these the first; rows without a doc_id come last); all columns stay. Every row that goes is tied to the one that stays by a chain of verified links."""
     whole = numbered(docs)
+    mark = len(TABLES)
     rows = whole.select(F.col("__row").alias("row"), "text")
     prints = near_groups(rows.withColumnRenamed("row", "doc_id"))
     groups = prints.select(F.col("doc_id").alias("row"), F.xxhash64(F.lit("simhash"), "component_id").alias("g"))
@@ -236,5 +281,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     nodes = of.join(ids, "row").groupBy("k1", "k2").agg(F.min("row").alias("node"), first)
     roots = nodes.join(tied, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = saved(roots.select(F.col("first.kept").alias("__row")), "kept-rows")
-    discard(edges)
+    discard_since(mark, kept)
     return whole.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
