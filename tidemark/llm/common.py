@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 #: What counts as white space between words everywhere in this folder: space and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 MASK64 = (1 << 64) - 1
+#: Whether Spark deletes the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables that saved() has written and that are still there.
 TABLES: list[DataFrame] = []
 
@@ -31,10 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read from there: the lineage ends here, and a lost executor costs no more than its own tasks."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of df, written once to the shared folder and read from there: the lineage ends here, and a lost executor costs no more than its own tasks. Shuffle files go once the table is written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     TABLES.append(out)
     return out
@@ -50,17 +57,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def discard_since(mark: int, *keep: DataFrame) -> None:
-    """Deletes what saved() has written since there were `mark` TABLES, but for those to keep, and lets shuffle files go."""
-    gone = [df for df in TABLES[mark:] if all(df is not k for k in keep)]
-    discard(*gone)
-    if gone:
-        release(gone[0].sparkSession)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what is written already: its cleaner waits for the driver's JVM to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Deletes what saved() has written since there were `mark` TABLES, but for those to keep."""
+    discard(*[df for df in TABLES[mark:] if all(df is not k for k in keep)])
 
 
 def numbered(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
