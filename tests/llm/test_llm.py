@@ -369,15 +369,96 @@ def test_private_spans_equal_plain_patterns(spark):
         assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(x[2] == n for x in found) for n in PATTERNS]
 
 
-def test_revealing_terms_go_and_copies_do_not_count(spark):
-    rows = [(k, prose(30, k)) for k in range(100)]
-    rows += [(100 + k, f"{prose(9, 200 + k)} Zorblax me@x.org {prose(9, 300 + k)}") for k in range(4)]
-    rows += [(200 + k, f"{prose(9, 400)} Quuxley you@x.org {prose(9, 401)}" + " end" * k) for k in range(4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    clean = {r.doc_id: r.text for r in private.sanitised(docs).collect()}
-    assert all("Zorblax" not in clean[100 + k] and "<EMAIL>" in clean[100 + k] for k in range(4))
-    assert all("Quuxley <EMAIL>" in clean[200 + k] for k in range(4))
-    assert all(clean[k] == t for k, t in rows[:100]) and len(clean) == len(rows)
+def sanitised_by_brute_force(texts: list[str]) -> list[str]:
+    """What disclosure asks for, by counting documents one by one."""
+    spans = [sorted((m.start(), k, n, m.end(), m[0]) for k, (n, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, t) if good(n, m[0])) for t in texts]
+    split = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+
+    def entities(found):
+        out = {}
+        for start, _, kind, end, value in found:
+            digits = re.sub("[^0-9]", "", value)
+            own = value.lower() if kind in ("email", "ip") else digits
+            group = {"email": "domain:" + value.lower().partition("@")[2], "ip": "network:" + value.rpartition(".")[0], "card": "issuer:" + digits[:6], "phone": "area:" + digits[:6]}[kind]
+            for e in (f"{kind}:{own}", group):
+                out.setdefault(e, (start, end))
+        return out
+
+    said = [entities(f) for f in spans]
+    outside = []
+    for t, f in zip(texts, spans):
+        at, kept = 0, ""
+        for start, _, _, end, _ in f:
+            if start >= at:
+                kept += t[at:start] + " "
+            at = max(at, end)
+        outside.append(set(split(kept + t[at:])))
+    every = [set(split(t)) for t in texts]
+
+    def around(k, e):
+        start, end = said[k][e]
+        left, right = split(texts[k][max(0, start - 160) : start]), split(texts[k][end : end + 160])
+        return (left[1] if len(left) > 1 else "", right[-2] if len(right) > 1 else "")
+
+    total, put = len(texts), {}
+    docs_of = defaultdict(list)
+    for k, e in enumerate(said):
+        for name in e:
+            docs_of[name].append(k)
+    share = lambda both, df, n: math.log(min(1, both / df) * total / n) / math.log(total / n)
+    for e, ks in docs_of.items():
+        if len({around(k, e) for k in ks}) < 3 or len(ks) == total:
+            continue
+        for term in set().union(*(outside[k] for k in ks)):
+            held = [k for k in ks if term in outside[k]]
+            support = len({around(k, e) for k in held})
+            if support < 3 or support < 0.5 * len(held) or share(len(held), sum(term in w for w in every), len(ks)) < 0.8:
+                continue
+            put[e, term] = ""
+            for n in range(len(term) - 1, 1, -1):
+                both = sum(any(w.startswith(term[:n]) for w in outside[k]) for k in ks)
+                if share(both, sum(any(x.startswith(term[:n]) for x in w) for w in every), len(ks)) < 0.8:
+                    put[e, term] = term[:n] + "*"
+                    break
+    out = []
+    for k, t in enumerate(texts):
+        more = list(spans[k])
+        for m in re.finditer(r"[^\W_]+", t):
+            asked = [put[e, m[0].lower()] for e in said[k] if (e, m[0].lower()) in put]
+            if asked and not any(s[0] < m.end() and s[3] > m.start() for s in spans[k]):
+                more.append((m.start(), 9, "term", m.end(), min(asked, key=lambda p: (len(p), p))))
+        at, new = 0, ""
+        for start, _, kind, end, value in sorted(more):
+            if start >= at:
+                new += t[at:start] + (value if kind == "term" else f"<{kind.upper()}>")
+            at = max(at, end)
+        out.append(new + t[at:])
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    rows = [prose(30, k) for k in range(100)]
+    rows += [f"{prose(60, 200 + k)} Zorblax {prose(40, 250 + k)} me@x.org {prose(60, 300 + k)} q7" for k in range(4)]
+    rows += [f"{prose(60, 400)} Quuxley you@x2.org {prose(60, 401)}" + " end" * k for k in range(4)]
+    rows += [f"{prose(60, 500 + k)} Maruvian {prose(9, 600 + k)} p{k}@maru.example.org {prose(60, 650 + k)}" for k in range(5)]
+    rows += [f"{prose(20, 700 + k)} maruti marble {prose(5, 800 + k)}" for k in range(8)]
+    rows += [f"{prose(50, 850 + k)} +1 (988) 555-24{10 + k} {prose(40, 870 + k)} 10.2.3.{k} {prose(50, 890 + k)}" for k in range(4)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in private.sanitised(frame).collect()}
+    expected = sanitised_by_brute_force(rows)
+    assert [clean[k] for k in range(len(rows))] == expected
+    assert all("Zorblax" not in clean[100 + k] and "<EMAIL>" in clean[100 + k] for k in range(4)), "revealed by a name far from the address"
+    assert all("Quuxley <EMAIL>" in clean[104 + k] for k in range(4)), "copies don't count"
+    assert all("Maruvian" not in clean[108 + k] and "mar" in clean[108 + k] for k in range(5)), "generalised to what other words share"
+    assert all(clean[k] == t for k, t in enumerate(rows[:100]))
+
+
+def test_running_sums(spark):
+    r = random.Random(1)
+    lists = [[r.randint(0, 9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 200, 5000)]
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(lists)], "k int, v array<long>")
+    got = {x.k: x.s for x in frame.select("k", private.running(F.col("v"), lambda a, x: a + x, F.lit(0).cast("long")).alias("s")).collect()}
+    assert all(got[k] == np.cumsum(v).tolist() for k, v in enumerate(lists))
 
 
 def test_passages_with_edits(spark, docs):
