@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from tidemark.operators import align, cues, release, text
+from pyspark.sql import functions as F
+
+from tidemark.operators import align, cues, refine, release, state, text, timing
 
 
 def test_rank_golden(spark):
@@ -64,10 +66,13 @@ def windows_of(spoken, begins, length):
     return out
 
 
-def aligned(spark, starts, ends, windows, most=20_000):
+def aligned(spark, starts, ends, windows, most=180_000):
     rows = [(1, starts.tolist(), ends.tolist(), [(i, float(b), float(n), s) for i, (b, n, s) in enumerate(windows)])]
-    schema = "track_id long, starts array<double>, ends array<double>, windows array<struct<ix:int,from_ms:double,length_ms:double,speech:array<struct<start_ms:double,end_ms:double>>>>"
-    return align.align_to_activity(spark.createDataFrame(rows, schema), most).first()
+    schema = "track_id long, starts array<double>, ends array<double>, windows array<struct<window_ix:int,from_ms:double,length_ms:double,speech:array<struct<start_ms:double,end_ms:double>>>>"
+    tracks = spark.createDataFrame(rows, schema)
+    cues = tracks.select("track_id", F.explode(F.arrays_zip(F.col("starts").alias("start_ms"), F.col("ends").alias("end_ms"))).alias("c")).select("track_id", "c.*")
+    heard = tracks.select("track_id", F.explode("windows").alias("w")).select("track_id", "w.*")
+    return refine.activity_confidence(align.align_to_activity(tracks, most), cues, heard).first()
 
 
 def test_constant_offset_is_found(spark):
@@ -82,14 +87,62 @@ def test_unrelated_activity_is_refused(spark):
     assert aligned(spark, t[:, 0], t[:, 1], windows_of(other, range(0, 121_000, 30_000), 24_000)).confidence < 58
 
 
+def test_padded_cues_move_onto_their_speech(spark):
+    """Cues that begin 300 ms before and end 1,100 ms after their speech: the shift finds where dialogue begins."""
+    spoken = track(200, 10_000, 4100, 3900, 1777, 2600)
+    cues = np.stack([spoken[:, 0] - 5000 - 300, spoken[:, 1] - 5000 + 1100], axis=1)
+    got = aligned(spark, cues[:, 0], cues[:, 1], windows_of(spoken, (20_000, 220_000, 460_000, 700_000), 25_000))
+    assert got.confidence > 0 and abs(got.offset_ms - 5000) <= 450
+
+
+def referenced(spark, starts, there, most=180_000):
+    df = spark.createDataFrame([(1, starts.tolist(), there.tolist())], "track_id long, starts array<double>, reference array<double>")
+    each = lambda c: df.select("track_id", F.explode(c).alias("at_ms"))
+    return refine.reference_confidence(align.align_to_reference(df, most), each("starts"), each("reference")).first()
+
+
 def test_reference_drift(spark):
     t = track(240, 4000, 1800, 4900, 1237, 1100)[:, 0]
-    df = spark.createDataFrame([(1, t.tolist(), (t * 1.0007 + 275).tolist())], "track_id long, starts array<double>, reference array<double>")
-    got = align.align_to_reference(df, 10_000).first()
-    assert got.confidence > 58 and np.abs(t * got.rate + got.offset_ms - (t * 1.0007 + 275)).max() < 75
+    got = referenced(spark, t, t * 1.0007 + 275)
+    assert got.confidence > 58 and np.abs(t * got.rate + got.offset_ms - (t * 1.0007 + 275)).max() < 150
+
+
+def test_reference_frame_rate_and_offset(spark):
+    t = track(180, 8000, 1700, 5300, 1777, 900)[:, 0]
+    for rate, offset in ((1.0, -3000.0), (1.042709, 1500.0), (1.0, 15_000.0)):
+        got = referenced(spark, t, t * rate + offset, 20_000)
+        assert got.confidence > 58 and np.abs(t * got.rate + got.offset_ms - t * rate - offset).max() < 150, (rate, offset, got)
+
+
+def test_kernels_equal_the_joins(spark):
+    """The search's scores of a map are those of the joins."""
+    t = track(60, 500, 1900, 4300, 1777, 900)
+    windows = windows_of(t * 1.001 + 700, (0, 30_050, 61_010, 90_000), 24_000)
+    scorer = align.Activity(t[:, 0], t[:, 1], windows)
+    cues = spark.createDataFrame([(1, float(a), float(b)) for a, b in t], "track_id long, start_ms double, end_ms double")
+    heard = spark.createDataFrame([(1, i, float(b), float(n), s) for i, (b, n, s) in enumerate(windows)], "track_id long, window_ix int, from_ms double, length_ms double, speech array<struct<start_ms:double,end_ms:double>>")
+    tried = [(1, k, r, o) for k, (r, o) in enumerate([(1.0, 0.0), (1.001, 700.0), (0.96, -333.0), (1.041667, 1950.0)])]
+    got = {(r.map_id, r.window_ix): r.score for r in align.activity_scores(cues, heard, spark.createDataFrame(tried, "track_id long, map_id int, rate double, offset_ms double")).collect()}
+    for _, k, r, o in tried:
+        assert np.allclose([got[k, i] for i in range(4)], scorer.windowed(r, o))
+    reference = align.Reference(t[:, 0], t[:, 0] * 1.001 + 400)
+    frame = lambda v: spark.createDataFrame([(1, float(x)) for x in v], "track_id long, at_ms double")
+    for _, _, r, o in tried:
+        told = {x.section: x.score for x in align.proximity_scores(frame(t[:, 0] * r + o), frame(t[:, 0] * 1.001 + 400)).collect()}
+        assert np.allclose([told.get(i, 0.0) for i in range(6)], reference.windowed(r, o))
+
+
+def test_one_hot_track_and_client(spark):
+    """A track, and a client, of 100,000 events: windows and folds take one pass."""
+    hot = spark.range(100_000).select(F.lit(1).alias("track_id"), (F.col("id") * 700).alias("at_ms"))
+    near = timing.nearest_onsets(hot.where("at_ms % 2100 = 0"), hot.where("at_ms % 1400 = 0"))
+    assert near.count() == 33334
+    assert align.proximity_scores(hot, hot.withColumn("at_ms", F.col("at_ms") + 10)).count() == 6
+    visits = spark.range(100_000).select(F.lit(7).alias("client"), F.col("id").alias("event_id"), (F.col("id") * 10).alias("at_ms"))
+    assert state.rate_limit(visits, 5).where("allowed").count() == 5 * -(-1_000_000 // 60_000)
 
 
 @pytest.mark.parametrize("n", [0, 5])
 def test_too_little_evidence(spark, n):
     df = spark.createDataFrame([(1, [1.0] * n, [1.0] * n)], "track_id long, starts array<double>, reference array<double>")
-    assert align.align_to_reference(df).first().confidence == 0
+    assert align.align_to_reference(df).first().refused

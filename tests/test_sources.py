@@ -31,9 +31,22 @@ def test_archives_and_encodings(spark):
             z.writestr(name, "x" * size)
     files = spark.createDataFrame([(1, "a.zip", bytearray(data.getvalue())), (2, "b.srt", bytearray("مرحبا".encode("cp1256"))), (3, "c.zip", bytearray(b"PKbroken")), (4, "d", None)], "file_id int, name string, content binary")
     entries = formats.unpack(files)
-    chosen = formats.choose_file(entries.select("file_id", "ordinal", "name", F.length("content").alias("bytes"), F.lit(2).alias("episode")))
+    chosen = formats.choose_file(entries.select("file_id", "ordinal", "name", F.length("content").alias("bytes"), F.lit(2).alias("episode"), F.lit(None).cast("string").alias("language")))
     assert sorted((r.file_id, r.name) for r in chosen.collect()) == [(1, "show.e02.srt"), (2, "b.srt")]
-    assert entries.where("file_id = 2").select(formats.decoded("content").alias("t")).first().t == "مرحبا"
+    assert entries.where("file_id = 2").select(formats.decoded("content", F.lit("ar")).alias("t")).first().t == "مرحبا"
+
+
+@pytest.mark.parametrize(("text", "encoding", "language"), [("El niño mañana", "cp1252", "es"), ("مرحبا يا صديقي العزيز", "cp1256", "ar"), ("مرحبا يا صديقي العزيز", "iso8859_6", "ar"), ("plain", "utf-16", "en"), ("plain text", "utf-16-le", "en"), ("naïve café", "utf-8", "fr"), ("", "utf-8", None)])
+def test_encodings(spark, text, encoding, language):
+    df = spark.createDataFrame([(bytearray(text.encode(encoding)), language)], "content binary, language string")
+    assert df.select(formats.decoded("content", "language").alias("t")).first().t == text
+
+
+def test_files_are_chosen_by_episode_then_language(spark):
+    names = ["Scene1.s01e02.srt", "Scene1.s01e01.en.srt", "x.s01e02.Arabic.srt", "x.s01e02.Arabic.sample.srt", "x.e20.ar.srt", "readme.txt", "._x.s01e02.ar.srt"]
+    rows = [(1, k, n, 100 + k, 2, "ara") for k, n in enumerate(names)] + [(2, k, n, 100 + k, None, None) for k, n in enumerate(names)] + [(3, 0, "only.sample.srt", 5, 7, "fr")]
+    got = formats.choose_file(spark.createDataFrame(rows, "file_id int, ordinal int, name string, bytes long, episode int, language string"))
+    assert {r.file_id: r.name for r in got.collect()} == {1: "x.s01e02.Arabic.srt", 2: "x.e20.ar.srt", 3: "only.sample.srt"}
 
 
 def test_catalogues(spark):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Status codes and messages of faults that pass, prefixes of translated variants, the width of a menu label.
 PASSING_STATUS = [408, 425, 429, 500, 502, 503, 504]
@@ -12,6 +16,12 @@ VARIANT_PREFIX = "^(translated|gemini):"
 LABEL_WIDTH = 18
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Compatibility form; Spark has no function for it."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
 def stable_key(*parts: Column) -> Column:
     """SHA-256 of the JSON list of string parts."""
     return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)

@@ -6,14 +6,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import nfkc
+
 # Fixed values, in milliseconds.
 VISIBLE, DROP, SAME_TEXT_GAP, SMALL_OVERLAP, CLEARANCE = 500, 160, 250, 180, 20
-CONTROL, ZERO_WIDTH = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", r"[​-‏⁠﻿]"
+CONTROL, ZERO_WIDTH = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "[\u200b\u200c\u200d\u2060\ufeff]"
 
 
 def text_key(text):
-    """What two cues must share to be the same: tags, invisible characters, case and spacing aside."""
-    plain = F.regexp_replace(F.regexp_replace(text, "<[^>]+>|\\{[^}]*\\}", ""), ZERO_WIDTH, "")
+    """What two cues must share to be the same: compatibility forms, tags, invisible characters, case and spacing aside."""
+    plain = F.regexp_replace(F.regexp_replace(nfkc(text), "<[^>]+>", ""), ZERO_WIDTH, "")
     return F.lower(F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), "^ +| +$", ""))
 
 

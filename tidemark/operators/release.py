@@ -47,10 +47,13 @@ def name_similarity(left: Column, right: Column) -> Column:
 
 
 def rank_candidates(requests: DataFrame, candidates: DataFrame, keep: int | None = None) -> DataFrame:
-    """Every candidate with its score from 0 to 100, its reasons and its position; equal scores keep the order of `ordinal`."""
-    video = requests.select("request_id", F.col("season").alias("want_season"), F.col("episode").alias("want_episode"), F.col("filename").alias("video_name"), signature(F.col("filename")).alias("v"))
+    """candidates may have filename, fps and ai_translated too. Every candidate with its score from 0 to 100, its reasons and its position; equal scores keep the order of `ordinal`."""
+    video = requests.select("request_id", F.col("season").alias("want_season"), F.col("episode").alias("want_episode"), F.col("filename").alias("video_name"), F.explode(F.array(signature(F.col("filename")))).alias("v"))
     video = video.withColumn("video_tokens", name_tokens(F.col("v.normalized")))
-    found = candidates.withColumn("s", signature(F.col("release"))).withColumn("tokens", name_tokens(F.col("s.normalized")))
+    own = lambda c: F.nullif(F.col(c), F.lit("")) if c in candidates.columns else F.lit(None).cast("string")
+    named = candidates.withColumn("release", F.coalesce(own("release"), own("filename")))
+    # One row for each name: its parts are long expressions, which Spark would else repeat for every place that reads them.
+    found = named.withColumn("s", F.explode(F.array(signature(F.col("release"))))).withColumn("tokens", name_tokens(F.col("s.normalized")))
     both = found.join(video, "request_id").withColumn("similarity", F.when(F.col("video_name").isNotNull() & F.col("release").isNotNull(), name_similarity(F.col("video_tokens"), F.col("tokens"))))
     v, s = (lambda c: F.col(f"v.{c}")), (lambda c: F.col(f"s.{c}"))
     if_ = lambda test, yes, no=0: F.when(F.coalesce(test, F.lit(False)), yes).otherwise(no)
@@ -67,7 +70,7 @@ def rank_candidates(requests: DataFrame, candidates: DataFrame, keep: int | None
         F.when(v("edition").isNotNull() & s("edition").isNotNull(), if_(v("edition") == s("edition"), 18, -35)).otherwise(if_(v("edition").isNotNull() | s("edition").isNotNull(), -15)),
         if_((v("fps") != 0) & (gap < 0.01), 8) + if_((v("fps") != 0) & (gap > 0.5), -12),
         if_(wrong(F.col("want_season"), s("season")), -100) + if_(wrong(F.col("want_episode"), s("episode")), -100),
-        if_(F.col("machine_translated"), -8),
+        if_(F.col("machine_translated") | (F.coalesce("ai_translated", F.lit(False)) if "ai_translated" in candidates.columns else F.lit(False)), -8),
         F.when(F.col("rating").isNotNull(), F.least(F.lit(8), whole(F.col("rating")))).otherwise(0),
         F.when(F.col("downloads") > 0, F.least(F.lit(5), F.floor(F.log10(F.col("downloads") + 1)).cast("int"))).otherwise(0),
     ]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def dashboard(runs: DataFrame) -> DataFrame:
@@ -20,8 +21,8 @@ def dashboard(runs: DataFrame) -> DataFrame:
 def failure_reasons(runs: DataFrame) -> DataFrame:
     """(reason, n, position): most frequent first, ties by first occurrence."""
     reasons = runs.where("outcome = 'failed'").groupBy(F.coalesce("failure", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"), F.min(F.struct("at_ms", "run_id")).alias("first"))
-    ordered = reasons.select(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "first", "reason"))).alias("all"))
-    return ordered.select(F.posexplode("all").alias("p", "r")).select("r.reason", (-F.col("r.m")).alias("n"), (F.col("p") + 1).alias("position"))
+    order = Window.orderBy(F.desc("n"), "first")  # one row for each reason
+    return reasons.select("reason", "n", F.row_number().over(order).alias("position"))
 
 
 def newest_runs(runs: DataFrame, keep: int = 25) -> DataFrame:

@@ -129,7 +129,7 @@ def stages(spark, sf_dir):
     return service.stage_timings(steps.select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("stage"), F.floor("l_extendedprice").cast("long").alias("ms"), F.col("l_linenumber").alias("ordinal")))
 
 
-@query("R4_not_rejected", f"WITH c AS ({CANDIDATES}) SELECT request_id, provider, provider_id, ordinal FROM c WHERE (request_id, provider_id) NOT IN (SELECT (request_id, provider_id) FROM c WHERE machine_translated OR downloads % 9 = 0)")
+@query("R4_not_rejected", f"WITH c AS ({CANDIDATES}) SELECT request_id, provider, provider_id, ordinal FROM c ANTI JOIN (SELECT DISTINCT request_id, provider_id FROM c WHERE machine_translated OR downloads % 9 = 0) r USING (request_id, provider_id)")
 def not_rejected(spark, sf_dir):
     found = adapter(spark, sf_dir, dialect.candidates)
     return service.without(found, found.where("machine_translated or downloads % 9 = 0")).select("request_id", "provider", "provider_id", "ordinal")

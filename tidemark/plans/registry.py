@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import align, batches, cues, policy, release, report, state, text
+from ..operators import align, batches, cues, policy, refine, release, report, state, text
 from ..sources import formats
 from . import dialect
 from .dialect import Dialect
@@ -138,31 +138,31 @@ def stabilised(spark, sf_dir):
     return cues.stabilise(times.select("track_id", (F.col("k") + 1).cast("int").alias("id"), start.alias("start_ms"), (start + length).alias("end_ms"), said.alias("text")))
 
 
-WINDOWS = "SELECT track_id, w AS window_ix, 30000 * w AS from_ms, 24000 AS length_ms FROM tracks, (VALUES (0), (1), (2), (3), (4)) x(w)"
+WINDOWS = "SELECT track_id, w AS window_ix, CAST(floor(last * w / 500.0) AS BIGINT) * 100 AS from_ms, 24000 AS length_ms FROM tracks, (VALUES (0), (1), (2), (3), (4)) x(w)"
+PLANTED = f"""t AS (SELECT track_id, start_ms, start_ms + length_ms AS end_ms, (track_id % 5) * 700 AS shift FROM ({TIMES})), tracks AS (SELECT track_id, max(start_ms) AS last FROM t GROUP BY 1), w AS ({WINDOWS}),
+x AS (SELECT w.track_id, window_ix, from_ms, start_ms + shift - from_ms AS s, end_ms + shift - from_ms AS e FROM w JOIN t USING (track_id) WHERE start_ms + shift <= from_ms + length_ms AND end_ms + shift >= from_ms)"""
 
 
 def planted(spark, sf_dir):
-    """(cues, windows, maps): speech is the cues shifted by a planted offset."""
+    """(cues, windows, maps): speech is the cues shifted by a planted offset; five windows over each track's whole length."""
     times = adapter(spark, sf_dir, dialect.cue_times).select("track_id", "start_ms", (F.col("start_ms") + F.col("length_ms")).alias("end_ms"))
     shift = (F.col("track_id") % 5) * 700
-    near = times.where("start_ms <= 160000").select("track_id", (F.col("start_ms") + shift).alias("s"), (F.col("end_ms") + shift).alias("e"))
-    tracks = times.select("track_id").distinct().select("track_id", F.explode(F.array(*[F.lit(k) for k in range(5)])).alias("window_ix"))
-    grid = tracks.select("track_id", "window_ix", (F.col("window_ix") * 30000).alias("from_ms"), F.lit(24000).alias("length_ms"))
-    spoken = grid.join(near, "track_id").where("s <= from_ms + length_ms and e >= from_ms")
+    moved = times.select("track_id", (F.col("start_ms") + shift).alias("s"), (F.col("end_ms") + shift).alias("e"))
+    tracks = times.groupBy("track_id").agg(F.max("start_ms").alias("last"))
+    grid = tracks.select("track_id", "last", F.explode(F.array(*[F.lit(k) for k in range(5)])).alias("window_ix"))
+    grid = grid.select("track_id", "window_ix", (F.floor(F.col("last") * F.col("window_ix") / 500.0) * 100).alias("from_ms"), F.lit(24000).alias("length_ms"))
+    spoken = grid.join(moved, "track_id").where("s <= from_ms + length_ms and e >= from_ms")
     speech = F.struct(F.greatest(F.lit(0), F.col("s") - F.col("from_ms")).alias("start_ms"), F.least(F.col("length_ms"), F.col("e") - F.col("from_ms")).alias("end_ms"))
     heard = spoken.groupBy("track_id", "window_ix").agg(F.array_sort(F.collect_list(speech)).alias("speech"))
     windows = grid.join(heard, ["track_id", "window_ix"], "left").withColumn("speech", F.coalesce("speech", F.array().cast("array<struct<start_ms:bigint,end_ms:bigint>>")))
-    maps = times.select("track_id").distinct().select("track_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("map_id")).select("track_id", "map_id", F.lit(1.0).alias("rate"), ((F.col("track_id") % 5) * 700 + F.col("map_id") * 900).alias("offset_ms"))
-    return times.where("start_ms <= 160000"), windows, maps
+    maps = tracks.select("track_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("map_id")).select("track_id", "map_id", F.lit(1.0).alias("rate"), ((F.col("track_id") % 5) * 700 + F.col("map_id") * 900).alias("offset_ms"))
+    return times, windows, maps
 
 
-@query("J1_activity_score", f"""WITH t AS (SELECT track_id, start_ms, start_ms + length_ms AS end_ms FROM ({TIMES}) WHERE start_ms <= 160000), tracks AS (SELECT DISTINCT track_id FROM ({TIMES})), w AS ({WINDOWS}),
-mp AS (SELECT track_id, m AS map_id, (track_id % 5) * 700 + m * 900 AS o FROM tracks, (VALUES (0), (1)) x(m)),
-b AS (SELECT unnest(range(0, 240)) AS bin),
-sp AS (SELECT DISTINCT w.track_id, window_ix, bin FROM w JOIN t USING (track_id), b WHERE start_ms + (w.track_id % 5) * 700 <= from_ms + length_ms AND end_ms + (w.track_id % 5) * 700 >= from_ms
-  AND bin >= floor(greatest(0, start_ms + (w.track_id % 5) * 700 - from_ms) / 100.0) AND bin <= least(239, floor(least(length_ms, end_ms + (w.track_id % 5) * 700 - from_ms) / 100.0))),
-me AS (SELECT DISTINCT w.track_id, window_ix, map_id, bin FROM w JOIN mp USING (track_id) JOIN t USING (track_id), b WHERE start_ms + o <= from_ms + length_ms AND end_ms + o >= from_ms
-  AND bin >= greatest(0, floor((start_ms + o - from_ms) / 100.0)) AND bin <= least(239, floor((end_ms + o - from_ms) / 100.0))),
+@query("J1_activity_score", f"""WITH {PLANTED}, mp AS (SELECT track_id, m AS map_id, (track_id % 5) * 700 + m * 900 AS o FROM tracks, (VALUES (0), (1)) x(m)),
+sp AS (SELECT DISTINCT track_id, window_ix, unnest(range(CAST(floor(greatest(0, s) / 100.0) AS BIGINT), CAST(least(239, floor(least(24000, e) / 100.0)) AS BIGINT) + 1)) AS bin FROM x),
+mc AS (SELECT w.track_id, window_ix, map_id, start_ms + o - from_ms AS s, end_ms + o - from_ms AS e FROM w JOIN mp USING (track_id) JOIN t USING (track_id) WHERE start_ms + o <= from_ms + length_ms AND end_ms + o >= from_ms),
+me AS (SELECT DISTINCT track_id, window_ix, map_id, unnest(range(CAST(greatest(0, floor(s / 100.0)) AS BIGINT), CAST(least(239, floor(e / 100.0)) AS BIGINT) + 1)) AS bin FROM mc),
 n AS (SELECT track_id, window_ix, map_id, count(*) AS nm, count(sp.bin) AS nb FROM me LEFT JOIN sp USING (track_id, window_ix, bin) GROUP BY ALL), a AS (SELECT track_id, window_ix, count(*) AS na FROM sp GROUP BY ALL)
 SELECT track_id, window_ix, map_id, round(CASE WHEN nm >= 4 AND na >= 4 THEN 0.72 * nb / nm + 0.28 * nb / na ELSE 0 END, 6) AS score FROM w JOIN mp USING (track_id) LEFT JOIN n USING (track_id, window_ix, map_id) LEFT JOIN a USING (track_id, window_ix)""")
 def activity(spark, sf_dir):
@@ -192,11 +192,11 @@ def nearest(spark, sf_dir):
 
 @query("X11_align_activity")
 def by_activity(spark, sf_dir):
-    """The full search over rates and offsets up to 20 s, for every track."""
+    """The full search over rates and offsets up to 180 s, for every track and all its cues, with the shift onto speech."""
     found, windows, _ = planted(spark, sf_dir)
     arrays = found.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("c")).select("track_id", F.col("c.start_ms").alias("starts"), F.col("c.end_ms").alias("ends"))
     heard = windows.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("window_ix", "from_ms", "length_ms", "speech"))).alias("windows"))
-    return align.align_to_activity(arrays.join(heard, "track_id"), 20_000)
+    return refine.activity_confidence(align.align_to_activity(arrays.join(heard, "track_id")).persist(), found, windows)
 
 
 @query("X13_align_reference")
@@ -204,7 +204,8 @@ def by_reference(spark, sf_dir):
     times = adapter(spark, sf_dir, dialect.cue_times)
     starts = times.groupBy("track_id").agg(F.sort_array(F.collect_list("start_ms")).alias("starts"))
     there = reference_of(times).groupBy("track_id").agg(F.sort_array(F.collect_list("at_ms")).alias("reference"))
-    return align.align_to_reference(starts.join(there, "track_id"), 10_000)
+    found = align.align_to_reference(starts.join(there, "track_id")).persist()
+    return refine.reference_confidence(found, times.select("track_id", F.col("start_ms").alias("at_ms")), reference_of(times))
 
 
 @query("G1_dashboard", f"""WITH r AS ({RUNS}) SELECT count(*) AS runs, count(*) FILTER (WHERE outcome <> 'cached') AS prepared, count(*) FILTER (WHERE outcome = 'failed') AS failed, round((count(*) FILTER (WHERE outcome <> 'cached') - count(*) FILTER (WHERE outcome = 'failed'))::DOUBLE / count(*) FILTER (WHERE outcome <> 'cached'), 6) AS success_rate,
@@ -274,11 +275,14 @@ def unchanged(spark, sf_dir):
 
 
 ENTRIES = lambda d: f"""SELECT l_orderkey AS file_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS ordinal, CASE WHEN l_suppkey % 11 = 0 THEN '__MACOSX/' ELSE '' END || 'show.s01e0' || CAST(1 + l_partkey % 4 AS STRING)
-  || CASE WHEN l_suppkey % 5 = 0 THEN '.Sample' ELSE '' END || {d.at('.srt,.ass,.nfo', '1 + l_partkey % 3')} AS name, CAST(floor(l_extendedprice * 80) AS BIGINT) AS bytes, CAST(1 + l_orderkey % 4 AS INT) AS episode FROM {d.table('lineitem')}"""
+  || CASE WHEN l_suppkey % 5 = 0 THEN '.Sample' ELSE '' END || {d.at('.en,.Arabic,.FRE-forced,,.pt-BR', '1 + CAST(l_quantity AS BIGINT) % 5')} || {d.at('.srt,.ass,.nfo,.VTT,.sub', '1 + l_partkey % 5')} AS name, CAST(floor(l_extendedprice * 80) AS BIGINT) AS bytes, CAST(1 + l_orderkey % 4 AS INT) AS episode, {d.at('en,ar,fra,pt,xx', '1 + l_orderkey % 5')} AS language FROM {d.table('lineitem')}"""
 
 
-@query("D3_choose_file", f"""WITH e AS (SELECT *, coalesce(TRY_CAST(regexp_extract(lower(name), 'e0*(\\d+)', 1) AS INT) = episode, false) AS fits FROM ({ENTRIES(PLAIN)}) WHERE name NOT LIKE '%.nfo' AND name NOT LIKE '\\_\\_MACOSX%' ESCAPE '\\' AND bytes <= 5242880),
-n AS (SELECT *, bool_or(fits) OVER (PARTITION BY file_id) AS anyfit FROM e) SELECT file_id, ordinal, name, bytes FROM n WHERE fits OR NOT anyfit QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY contains(lower(name), 'sample'), bytes DESC, ordinal) = 1""")
+@query("D3_choose_file", """WITH e AS (SELECT * FROM ({ENTRIES}) WHERE regexp_matches(name, '\\.(srt|vtt|ass|ssa)$', 'i') AND NOT regexp_matches(name, '(^|/)(__MACOSX/|\\._)') AND bytes <= 5242880),
+a AS (SELECT *, regexp_matches(name, '(s[0-9]{1,3}e|e|episode[ ._-]*)0?' || episode || '([^0-9]|$)', 'i') AS f1 FROM e), b AS (SELECT *, bool_or(f1) OVER (PARTITION BY file_id) AS any1 FROM a),
+c AS (SELECT *, regexp_matches(name, '(^|[^\\p{L}\\p{N}])(' || CASE language WHEN 'en' THEN 'en|eng|english' WHEN 'ar' THEN 'ar|ara|arabic|العربية' WHEN 'fra' THEN 'fr|fra|fre|french' WHEN 'pt' THEN 'pt' ELSE 'xx' END || ')($|[^\\p{L}\\p{N}])', 'i') AS f2 FROM b WHERE f1 OR NOT any1),
+d AS (SELECT *, bool_or(f2) OVER (PARTITION BY file_id) AS any2 FROM c), f AS (SELECT *, NOT regexp_matches(name, '\\b(sample|trailer|preview)\\b', 'i') AS f3 FROM d WHERE f2 OR NOT any2), g AS (SELECT *, bool_or(f3) OVER (PARTITION BY file_id) AS any3 FROM f)
+SELECT file_id, ordinal, name, bytes FROM g WHERE f3 OR NOT any3 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY bytes DESC, ordinal) = 1""".replace("{ENTRIES}", ENTRIES(PLAIN)))
 def chosen_file(spark, sf_dir):
     return formats.choose_file(adapter(spark, sf_dir, ENTRIES))
 

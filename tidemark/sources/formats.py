@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import re
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 
@@ -12,10 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from ..operators.text import language
+
 # Size limits in bytes, extensions, encodings in the order in which they are tried.
 MOST_ARCHIVE, MOST_FILE = 15 << 20, 5 << 20
-EXTENSIONS = ("srt", "ass", "ssa", "vtt", "sub", "txt")
-ENCODINGS = ("utf-8", "cp1256", "cp1252", "iso8859_6")
+EXTENSIONS = ("srt", "vtt", "ass", "ssa")
+JUNK, SAMPLE = r"(?:^|/)(?:__MACOSX/|\._)", r"(?i)\b(?:sample|trailer|preview)\b"
+EPISODE = ("(?i)(?:s\\d{1,3}e|e|episode[ ._-]*)0?", "(?:\\D|$)")
+LANGUAGE_NAMES = {"ar": ["ar", "ara", "arabic", "العربية"], "en": ["en", "eng", "english"], "ja": ["ja", "jpn", "japanese"], "fr": ["fr", "fra", "fre", "french"], "es": ["es", "spa", "spanish"]}
+ENCODINGS = ("cp1256", "cp1252", "iso8859_6", "utf-8")
 
 
 def unpack(files: DataFrame) -> DataFrame:
@@ -41,34 +48,62 @@ def unpack(files: DataFrame) -> DataFrame:
     return files.select("file_id", "name", "content").mapInPandas(run, f"file_id {kind}, ordinal int, name string, content binary")
 
 
-def choose_file(entries: DataFrame, episode: str = "episode") -> DataFrame:
-    """One entry (file_id, ordinal, name, bytes, and the wanted episode's number) per archive: those that name the episode if any do, full ones before samples, then the largest, then the first."""
-    plain = F.lower("name")
-    good = entries.where(F.regexp_extract(plain, r"\.([a-z]+)$", 1).isin(*EXTENSIONS) & ~plain.rlike(r"(^|/)(__macosx|\._)") & (F.col("bytes") <= MOST_FILE))
-    fits = F.coalesce(plain.rlike(r"e0*\d") & (F.regexp_extract(plain, r"e0*(\d+)", 1).try_cast("int") == F.col(episode)), F.lit(False))
+def names_language(name: Column, language: Column) -> Column:
+    """Whether a file name has one of a language's names as a word of its own."""
+    markers = F.create_map(*[F.lit(x) for k, v in LANGUAGE_NAMES.items() for x in (k, "|".join(v))])
+    pattern = F.concat(F.lit(r"(?iu)(?:^|[^\p{L}\p{N}])(?:"), F.coalesce(F.try_element_at(markers, language), language), F.lit(r")(?:$|[^\p{L}\p{N}])"))
+    return F.coalesce(F.regexp_like(name, pattern), F.lit(False))
+
+
+def choose_file(entries: DataFrame) -> DataFrame:
+    """One entry (file_id, ordinal, name, bytes, the wanted episode's number and the language, which may be null) per archive: those that name the episode if any do, of these those that name the language if any do, full ones before samples, then the largest, then the first."""
+    good = entries.where(F.col("name").rlike(rf"(?i)\.(?:{'|'.join(EXTENSIONS)})$") & ~F.col("name").rlike(JUNK) & (F.col("bytes") <= MOST_FILE))
+    marker = F.concat(F.lit(EPISODE[0]), F.col("episode").cast("string"), F.lit(EPISODE[1]))
+    tests = [F.coalesce(F.regexp_like("name", marker), F.lit(False)), names_language(F.col("name"), language(F.col("language"))), ~F.col("name").rlike(SAMPLE)]
     group = Window.partitionBy("file_id")
-    narrowed = good.withColumn("fits", fits).withColumn("any", F.max("fits").over(group)).where(F.col("fits") | ~F.col("any"))
-    order = group.orderBy(plain.contains("sample"), F.desc("bytes"), "ordinal")
-    return narrowed.withColumn("n", F.row_number().over(order)).where("n = 1").select("file_id", "ordinal", "name", "bytes")
+    for test in tests:
+        told = good.withColumn("fits", test)
+        good = told.withColumn("any", F.max("fits").over(group)).where(F.col("fits") | ~F.col("any")).drop("fits", "any")
+    order = group.orderBy(F.desc("bytes"), "ordinal")
+    return good.withColumn("n", F.row_number().over(order)).where("n = 1").select("file_id", "ordinal", "name", "bytes")
+
+
+def damage_of(text: str, arabic: bool) -> float:
+    """As functions.values.decoding_score: the share of replacement characters, and for Arabic the letters of other scripts."""
+    letters = [c for c in text if c.isalpha()] if arabic else []
+    own = sum("ARABIC" in unicodedata.name(c, "") for c in letters)
+    return text.count("\ufffd") / max(1, len(text)) + ((1 - own / len(letters)) * 0.25 if len(letters) >= 10 else 0.0)
+
+
+def likely_encoding(data: bytes) -> str:
+    """UTF-16 by its mark or its zero bytes, UTF-8 if it is valid; else the code page under which no word mixes Latin and Arabic letters."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    head = data[:4096]
+    for name, zeros in (("utf-16-le", head[1::2]), ("utf-16-be", head[0::2])):
+        if len(zeros) > 3 and zeros.count(0) > 0.4 * len(zeros):
+            return name
+    try:
+        data.decode("utf-8")
+        return "utf-8"
+    except UnicodeDecodeError:
+        mixed = re.search("[A-Za-z][\u0600-\u06ff]|[\u0600-\u06ff][A-Za-z]", data.decode("cp1256", "replace"))
+        return "cp1252" if mixed else "cp1256"
 
 
 @F.pandas_udf(StringType())
-def decoded(content: pd.Series) -> pd.Series:
-    """Text of bytes: by a byte-order mark if there is one, else the first encoding without a bad byte."""
+def decoded(content: pd.Series, language: pd.Series) -> pd.Series:
+    """Text of bytes: by the likely encoding, unless another one does less damage."""
 
-    def one(data):
+    def one(data, tag):
         if data is None:
             return None
-        if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            return data.decode("utf-16", "replace")
-        for encoding in ENCODINGS:
-            try:
-                return data.decode(encoding).removeprefix("﻿")
-            except UnicodeDecodeError:
-                continue
-        return data.decode("utf-8", "replace")
-
-    return content.map(one)
+        arabic = (tag or "").lower()[:2] == "ar"
+        first = likely_encoding(data)
+        tried = [data.decode(e, "replace") for e in (first, *(e for e in ENCODINGS if e != first))]
+        return min(tried, key=lambda t: damage_of(t, arabic)).removeprefix("\ufeff")
+
+    return pd.Series([one(d, t) for d, t in zip(content, language)])
 
 
 def vtt_to_srt(content: Column) -> Column:
