@@ -146,3 +146,17 @@ def test_one_hot_track_and_client(spark):
 def test_too_little_evidence(spark, n):
     df = spark.createDataFrame([(1, [1.0] * n, [1.0] * n)], "track_id long, starts array<double>, reference array<double>")
     assert align.align_to_reference(df).first().refused
+
+
+def test_snap_and_settle(spark):
+    """Cues 900 ms early move onto their speech; what can't be measured stays, and passes."""
+    t = track(150, 15_000, 5000, 2100, 1777, 2500)
+    speech = windows_of(t, range(20_000, 700_000, 60_000), 40_000)
+    heard = spark.createDataFrame([(k, i, float(b), float(n), s) for k in (1, 2) for i, (b, n, s) in enumerate(speech)] + [(3, 0, 0.0, 1000.0, [])], "track_id long, window_ix int, from_ms double, length_ms double, speech array<struct<start_ms:double,end_ms:double>>")
+    rows = [(k, i, float(a + d), float(b + d)) for k, d in ((1, -1100), (2, -250), (3, 0)) for i, (a, b) in enumerate(t)]
+    cues = spark.createDataFrame(rows, "track_id long, k int, start_ms double, end_ms double")
+    errors = {r.track_id: r.error_ms for r in refine.offset_error(cues, heard).collect()}
+    assert errors == {1: 900, 2: 50}
+    shifts = {r.track_id: r.shift_ms for r in refine.snap(cues, heard).select("track_id", "shift_ms").distinct().collect()}
+    assert shifts == {1: 900, 2: 0, 3: 0}
+    assert {r.track_id: r.accepted for r in refine.settled(cues.select("track_id").distinct(), cues.withColumn("start_ms", F.col("start_ms") - F.when(F.col("track_id") == 2, 1600).otherwise(0)), heard).collect()} == {1: True, 2: False, 3: True}

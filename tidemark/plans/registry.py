@@ -123,11 +123,6 @@ def parsed(spark, sf_dir):
     return text.parse_srt(adapter(spark, sf_dir, FILES))
 
 
-@query("D11_write_srt")
-def written(spark, sf_dir):
-    return text.write_srt(parsed(spark, sf_dir))
-
-
 @query("C5_stabilise_cues")
 def stabilised(spark, sf_dir):
     """Cues with planted repeats, one-frame cues and overlaps, cleaned."""
@@ -330,4 +325,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: v.replace("{J1}", SQL["J1_activity_score"]) for k, v in SQL.items()}
 
 
-from . import more  # noqa: E402, F401 (adds its queries to the registry)
+from . import more, wide  # noqa: E402, F401 (they add their queries to the registry)
