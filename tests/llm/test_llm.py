@@ -653,6 +653,44 @@ def test_content():
     assert content.main_text("") == "" and content.main_text("<p></p>") == ""
 
 
+def every_region(scores):
+    """The best run by trying all: highest sum, then first to end, then shortest; none if nothing is above zero."""
+    runs = [(-round(sum(scores[i:j]), 9), j, -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+    best = min(runs, default=(0, 0, 0))
+    return (-best[2], best[1]) if best[0] < 0 else (0, 0)
+
+
+def test_regions_equal_brute_force():
+    r = random.Random(11)
+    for _ in range(400):
+        scores = [float(r.choice([-3, -2, -1, 1, 2, 3])) for _ in range(r.randint(0, 14))]
+        assert content.best_region(scores) == every_region(scores)
+    blocks = ["<p>{}</p>", "<div class='ad'>{}</div>", "<nav><a>{}</a></nav>", "<footer>{}</footer>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "{}<br>", "<script>{}</script>", "<form><input>{}</form>"]
+    for k in range(120):
+        page = "".join(r.choice(blocks).format(prose(r.randint(0, 6), 100 * k + n)) for n in range(r.randint(0, 7)))
+        seen, scores = content.scored(page)
+        begin, end = every_region(scores)
+        mine = content.best_region(scores)
+        assert abs(sum(scores[slice(*mine)]) - sum(scores[begin:end])) < 1e-9
+        words = [w for what, kind, worth in seen[slice(*mine)] if not kind and worth > 0 for w in what.split()]
+        assert content.main_text(page).split() == words
+
+
+def test_equal_regions_and_long_pages():
+    assert content.best_region([2.0, -5.0, 2.0]) == (0, 1) and content.best_region([1.0, -1.0, 1.0]) == (0, 1) and content.best_region([]) == (0, 0)
+    page = "<article>" + "<p>some words of it &amp; more</p>" * 60_000 + "</article><footer>end</footer>"
+    assert len(content.main_text(page)) == 60_000 * 24 - 1
+
+
+def test_pages_of_the_given_table(spark):
+    """Against the article element of the generated pages, which the operator doesn't look for by name."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url", "html")
+    got = {r.page_id: r.text for r in content.extract(pages).collect()}
+    with_article = [r for r in pages.collect() if r.html and "<article" in r.html]
+    same = sum(bool(got[r.page_id]) and got[r.page_id].split()[:3] == " ".join(re.sub("<[^>]+>", " ", re.search(r"<article[^>]*>(.*?)</article>", r.html, re.S)[1]).split()).split()[:3] for r in with_article)
+    assert len(got) == pages.count() and same >= 0.9 * len(with_article)
+
+
 def test_extract_nulls(spark):
     pages = spark.createDataFrame([(1, None, None), (1, None, None), (2, "u", "<p>some words here</p>")], "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("text", F.lit(2))
     assert sorted((r.page_id, r.text, r.n_chars) for r in content.extract(pages).collect()) == [(1, "", 0), (1, "", 0), (2, "some words here", 15)]
@@ -748,6 +786,19 @@ def test_pipeline_stages(spark):
     assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in whole.collect()) == Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in seen.collect())
 
 
+def test_pipeline_of_odd_rows(spark, docs, monkeypatch):
+    """Nulls in any column, empty, blank and long texts, repeated rows and ids, clashing columns; and no rows at all."""
+    stages = corpus_pipeline.STAGES
+    more = docs.withColumn("__n", F.lit(1))
+    for given in (more, more.where("false")):
+        seen = given
+        for k, (_, stage) in enumerate(stages):
+            before, seen = seen, corpus_pipeline.saved(stage(spark, seen, SMALL), f"odd-{k}")
+            if k + 1 < len(stages):
+                assert seen.columns == before.columns and seen.count() <= before.count()
+        assert (seen.count() > 0) == (given.count() > 0)
+
+
 def test_held_out_likelihood_is_better_than_base(spark):
     rows = [r for r in queries.op1_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)

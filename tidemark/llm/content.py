@@ -7,7 +7,7 @@ character references decoded and white space collapsed, are the text.
 
 Each page is worked on alone, whole, in Arrow batches bounded by bytes. Contract: a null page is an empty one, and its text is
 empty, as is that of a page without words; markup that is cut off is dropped; unclosed elements end with the element around
-them; repeated rows are worked on each on its own; an empty table gives an empty table; other columns stay unread.
+them; of equally good regions the first to end counts; repeated rows are worked on each on its own; an empty table gives an empty table; other columns stay unread.
 """
 
 from __future__ import annotations
@@ -113,17 +113,28 @@ def weights_of(pages: tuple[str, ...] = tuple(LABELLED)) -> tuple[dict[str, floa
     return of_words, of_tags
 
 
-def main_text(page: str) -> str:
-    of_words, of_tags = weights_of()
-    seen = list(units(page, of_words))
-    best, best_span, total, begin = 0.0, (0, 0), 0.0, 0
-    for k, (what, kind, worth) in enumerate(seen):
-        total += of_tags.get(what, -0.1) if kind else worth * len(what.split())
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """(begin, end) of the contiguous run of highest sum, end exclusive; of equally good ones the one that ends first, and of these the shortest. (0, 0) if no run is above zero."""
+    best, span, total, begin = 0.0, (0, 0), 0.0, 0
+    for k, score in enumerate(scores):
+        total += score
         if total <= 0:
             total, begin = 0.0, k + 1
         elif total > best:
-            best, best_span = total, (begin, k + 1)
-    kept = [(" " if kind > 0 else "") if kind else html.unescape(what) if worth > 0 else " " for what, kind, worth in seen[slice(*best_span)]]
+            best, span = total, (begin, k + 1)
+    return span
+
+
+def scored(page: str) -> tuple[list[tuple[str, int, float]], list[float]]:
+    """The page's words and tags, and the score of each."""
+    of_words, of_tags = weights_of()
+    seen = list(units(page, of_words))
+    return seen, [of_tags.get(what, -0.1) if kind else worth * len(what.split()) for what, kind, worth in seen]
+
+
+def main_text(page: str) -> str:
+    seen, scores = scored(page)
+    kept = [(" " if kind > 0 else "") if kind else html.unescape(what) if worth > 0 else " " for what, kind, worth in seen[slice(*best_region(scores))]]
     return " ".join("".join(kept).split())
 
 
