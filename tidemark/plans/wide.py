@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels, values
-from ..operators import flow, refine, text
+from ..operators import align, flow, refine, text, transcripts
 from . import dialect
-from .registry import CANDIDATES, FILES, PLAIN, REQUESTS, RUNS, SQL, TAGS, TIMES, VISITS, adapter, planted, query, reference_of
+from .registry import CANDIDATES, FILES, PLAIN, PLANTED, REQUESTS, RUNS, SQL, TAGS, TIMES, VISITS, adapter, planted, query, reference_of
 
 NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.LANGUAGES.items())
 
@@ -308,3 +308,57 @@ def rejected_for(spark, sf_dir):
     """How many rejections of its item stand at each request."""
     seen = adapter(spark, sf_dir, dialect.visits)
     return flow.standing(seen, F.col("kind") == "error").select("event_id", F.col("n").alias("rejected"))
+
+
+SAID = f"""{PLANTED}, cu AS (SELECT track_id, k, start_ms, start_ms + length_ms AS end_ms, 'alpha' || k % 37 AS a, 'beta' || k % 19 AS b FROM ({TIMES})), ct AS (SELECT track_id, k, start_ms + (track_id % 5) * 700 AS s, end_ms + (track_id % 5) * 700 AS e, unnest([a, b]) AS token FROM cu),
+wd AS (SELECT w.track_id, window_ix, from_ms, 2 * k + j AS word_ix, token, start_ms + (w.track_id % 5) * 700 + 500 * j + (k * 131) % 900 - from_ms AS ws FROM w JOIN (SELECT track_id, k, start_ms, unnest([a, b]) AS token, unnest([0, 1]) AS j FROM cu) u USING (track_id) WHERE start_ms + (w.track_id % 5) * 700 BETWEEN from_ms AND from_ms + 22000 AND k % 10 > 1)"""
+J4 = """wn AS (SELECT wd.track_id, window_ix, word_ix, max(CASE WHEN d <= 150 THEN 1 WHEN d <= 350 THEN 0.78 WHEN d <= 700 THEN 0.4 WHEN d <= 1200 THEN 0.12 END) AS best FROM (SELECT wd.*, greatest(0, s - (from_ms + ws + 200), from_ms + ws + 200 - e) AS d FROM wd JOIN ct USING (track_id, token) WHERE e >= from_ms - 2000 AND s <= from_ms + 26000) wd GROUP BY ALL),
+wt AS (SELECT wd.track_id, wd.window_ix, count(*) AS n, avg(coalesce(best, 0)) AS mean FROM wd LEFT JOIN wn USING (track_id, window_ix, word_ix) GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+def said(spark, sf_dir):
+    """(cues, windows, words, transcripts, maps): two words of each cue, spoken a little late; one cue in five is too unsure."""
+    times, windows, maps = planted(spark, sf_dir)
+    k = F.col("k")
+    cues = adapter(spark, sf_dir, dialect.cue_times).select("track_id", "k", F.col("start_ms"), (F.col("start_ms") + F.col("length_ms")).alias("end_ms"), F.array(F.concat(F.lit("alpha"), (k % 37).cast("string")), F.concat(F.lit("beta"), (k % 19).cast("string"))).alias("tokens"))
+    shift = (F.col("track_id") % 5) * 700
+    spoken = windows.select("track_id", "window_ix", "from_ms").join(cues, "track_id").where((F.col("start_ms") + shift).between(F.col("from_ms"), F.col("from_ms") + 22000))
+    each = spoken.select("track_id", "window_ix", "from_ms", "k", "start_ms", F.posexplode("tokens").alias("j", "token"))
+    at = F.col("start_ms") + shift + 500 * F.col("j") + (k * 131) % 900 - F.col("from_ms")
+    words = each.select("track_id", "window_ix", (2 * k + F.col("j")).alias("word_ix"), at.alias("start_ms"), (at + 400).alias("end_ms"), F.when(k % 10 > 5, None).otherwise(k % 10 / 4.0).alias("confidence"), F.array("token").alias("tokens"))
+    told = words.where(F.coalesce("confidence", F.lit(1.0)) >= 0.45).groupBy("track_id", "window_ix").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    return cues, windows, words, told, maps.where("map_id = 0")
+
+
+@query("J4_word_timing", f"WITH {SAID}, {J4} SELECT track_id, window_ix, round(mean, 6) AS score FROM wt")
+def word_timing(spark, sf_dir):
+    """How near words stand to cues that hold them."""
+    cues, windows, words, _, maps = said(spark, sf_dir)
+    return transcripts.word_timing(cues, windows, words, maps).withColumn("score", F.round("score", 6))
+
+
+@query("J9_word_anchors", f"""WITH {SAID}, d AS (SELECT wd.track_id, window_ix, word_ix, from_ms + ws AS t, k, s, greatest(0, s - (from_ms + ws), from_ms + ws - e) AS d FROM wd JOIN ct USING (track_id, token)),
+o AS (SELECT * FROM d WHERE d <= 1500 QUALIFY row_number() OVER (PARTITION BY track_id, window_ix, word_ix ORDER BY d, CASE WHEN d = 0 THEN k ELSE -k END) = 1) SELECT track_id, k, CAST(min(t) - any_value(s) AS DOUBLE) AS residual FROM o GROUP BY ALL""")
+def word_anchors(spark, sf_dir):
+    cues, windows, words, _, maps = said(spark, sf_dir)
+    return transcripts.word_anchors(cues, windows, words, maps)
+
+
+@query("J3_transcript_scores", f"""WITH {SAID}, {J4}, tr AS (SELECT track_id, window_ix, list(DISTINCT token) AS l FROM wd GROUP BY ALL), sh AS (SELECT w.track_id, window_ix, list(DISTINCT token) AS r FROM w JOIN ct USING (track_id) WHERE s <= from_ms + length_ms AND e >= from_ms GROUP BY ALL), ac AS (SELECT track_id, window_ix, score FROM ({{J1}}) WHERE map_id = 0),
+z AS (SELECT tr.track_id, tr.window_ix, CASE WHEN r IS NULL THEN 0 ELSE len(list_intersect(l, r)) / sqrt(len(l)::DOUBLE * len(r)) END AS a, coalesce(mean, 0) AS t, coalesce(score, 0) AS v FROM tr LEFT JOIN sh USING (track_id, window_ix) LEFT JOIN wt USING (track_id, window_ix) LEFT JOIN ac USING (track_id, window_ix))
+SELECT track_id, window_ix, round(CASE WHEN t > 0 THEN 0.55 * a + 0.3 * t + 0.15 * v ELSE 0.76 * a + 0.24 * v END, 5) AS score FROM z""".replace("{J1}", SQL["J1_activity_score"]))
+def transcript_scores(spark, sf_dir):
+    cues, windows, words, told, maps = said(spark, sf_dir)
+    active = align.activity_scores(cues, windows, maps).select("track_id", "window_ix", F.round("score", 6).alias("score"))
+    return transcripts.transcript_scores(cues, windows, words, told, active, maps).withColumn("score", F.round("score", 5))
+
+
+@query("X8_speech_shift", f"""WITH {SAID}, d AS (SELECT wd.track_id, window_ix, word_ix, from_ms + ws AS t, k, s, greatest(0, s - (from_ms + ws), from_ms + ws - e) AS d FROM wd JOIN ct USING (track_id, token)),
+o AS (SELECT * FROM d WHERE d <= 1500 QUALIFY row_number() OVER (PARTITION BY track_id, window_ix, word_ix ORDER BY d, CASE WHEN d = 0 THEN k ELSE -k END) = 1), r AS (SELECT track_id, k, min(t) - any_value(s) AS r FROM o GROUP BY ALL), g AS (SELECT track_id, median(r) - 150 AS m FROM r GROUP BY 1 HAVING count(*) >= 6)
+SELECT track_id, CASE WHEN abs(m) < 250 THEN 0 ELSE greatest(-900, least(900, m)) END::DOUBLE AS shift FROM g""")
+def speech_shift(spark, sf_dir):
+    """Of tracks with enough words: how far cues should move for their lines to begin just after them."""
+    cues, windows, words, _, maps = said(spark, sf_dir)
+    anchors = transcripts.word_anchors(cues, windows, words, maps)
+    enough = anchors.groupBy("track_id").count().where("count >= 6").select("track_id")
+    return refine.speech_shift(cues, windows, maps, anchors.select("track_id", "residual")).join(enough, "track_id", "left_semi")
