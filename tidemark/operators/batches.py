@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import nfkc
+
 # How far back a batch looks for a pause to end at, and how long that is, in ms.
 LOOK_BACK, PAUSE_MS = 12, 2500
+# How many cues make a comparison, and the share of them that may stay unchanged.
+COMPARABLE, UNCHANGED = 10, 0.25
 ROWS = "array<struct<id:bigint,text:string>>"
 
 
@@ -42,3 +46,17 @@ def translated(cues: DataFrame, rows: DataFrame) -> DataFrame:
     """Cues with the first non-blank answer for their id as text, or their own."""
     good = rows.where("id is not null and trim(text) <> ''").groupBy("track_id", "id").agg(F.min_by("text", F.struct("batch", "pos")).alias("new"))
     return cues.join(good, ["track_id", "id"], "left").withColumn("text", F.coalesce("new", "text")).drop("new")
+
+
+def plain_text(text: Column) -> Column:
+    """Compatibility forms, without tags, punctuation and case, for a comparison."""
+    bare = F.regexp_replace(F.regexp_replace(nfkc(text), "<[^>]+>", ""), r"[\p{P}\p{S}]+", " ")
+    return F.lower(F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), "^ | $", ""))
+
+
+def unchanged(cues: DataFrame, answers: DataFrame) -> DataFrame:
+    """cues, answers (track_id, id, text) to (track_id, n, same, refused): how many cues with a run of four letters a translation left as they were; refused if over a quarter of COMPARABLE or more."""
+    asked = cues.where(F.col("text").rlike(r"\p{L}{4}")).select("track_id", "id", plain_text(F.col("text")).alias("own"))
+    both = asked.join(answers.select("track_id", "id", plain_text(F.col("text")).alias("new")), ["track_id", "id"], "left")
+    out = both.groupBy("track_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("own") == F.col("new"), F.lit(False))).alias("same"))
+    return out.withColumn("refused", (F.col("n") >= COMPARABLE) & (F.col("same") > UNCHANGED * F.col("n")))

@@ -259,14 +259,18 @@ def starts(spark, sf_dir):
     return each.select("probe_id", "k", F.floor(first + (last - first) * F.col("k") / 3.0 + 0.5).cast("long").alias("start_ms"))
 
 
-@query("T4_unchanged_share", """WITH p AS (SELECT a.conv_id, a.turn, a.text AS x, CASE WHEN a.turn % 3 = 0 THEN ' ' || a.text ELSE a.text || ' x' END AS y FROM conversations a WHERE regexp_matches(a.text, '\\p{L}{4}'))
-SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE lower(trim(x)) = lower(trim(y))) AS same, count(*) >= 3 AND count(*) FILTER (WHERE lower(trim(x)) = lower(trim(y))) > 0.25 * count(*) AS refused FROM p GROUP BY conv_id""")
+PLAINLY = r"trim(regexp_replace(lower(regexp_replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '[\p{{P}}\p{{S}}]+', ' ', 'g')), '\s+', ' ', 'g'))"
+
+
+@query("T4_unchanged_share", f"""WITH p AS (SELECT conv_id % 25 AS track_id, text AS x, CASE WHEN (conv_id + turn) % 3 = 0 THEN '<i>' || text || '</i>!' ELSE text || ' x' END AS y FROM conversations WHERE regexp_matches(text, '\\p{{L}}{{4}}')),
+c AS (SELECT track_id, count(*) AS n, count(*) FILTER (WHERE {PLAINLY.format("x")} = {PLAINLY.format("y")}) AS same FROM p GROUP BY 1) SELECT *, n >= 10 AND same > 0.25 * n AS refused FROM c""")
 def unchanged(spark, sf_dir):
     """Share of cues that a translation left as they were."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("text").rlike(r"\p{L}{4}"))
-    after = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), F.col("text"))).otherwise(F.concat("text", F.lit(" x")))
-    out = turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.lower(F.trim("text")) == F.lower(F.trim(after))).alias("same"))
-    return out.withColumn("refused", (F.col("n") >= 3) & (F.col("same") > 0.25 * F.col("n")))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    number = F.col("conv_id") * 100 + F.col("turn")
+    cues = turns.select((F.col("conv_id") % 25).alias("track_id"), number.alias("id"), "text").dropDuplicates(["track_id", "id"])
+    new = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.concat(F.lit("<i>"), F.col("text"), F.lit("</i>!"))).otherwise(F.concat("text", F.lit(" x")))
+    return batches.unchanged(cues, turns.select((F.col("conv_id") % 25).alias("track_id"), number.alias("id"), new.alias("text")).dropDuplicates(["track_id", "id"]))
 
 
 ENTRIES = lambda d: f"""SELECT l_orderkey AS file_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS ordinal, CASE WHEN l_suppkey % 11 = 0 THEN '__MACOSX/' ELSE '' END || 'show.s01e0' || CAST(1 + l_partkey % 4 AS STRING)
