@@ -95,7 +95,7 @@ TOKENS = r"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_rep
 
 @query("F2_token_similarity", f"WITH t AS (SELECT conv_id, turn, {TOKENS.format('text')} AS a FROM conversations), u AS (SELECT t.conv_id, t.turn, t.a, n.a AS b FROM t JOIN t n ON n.conv_id = t.conv_id AND n.turn = t.turn + 1) SELECT conv_id, turn, len(a) AS n_left, len(b) AS n_right, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / sqrt(len(a)::DOUBLE * len(b)) END, 6) AS similarity FROM u")
 def similarity(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", text.spoken_tokens(values.nfkc(F.col("text"))).alias("a"))
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", values.nfkc(F.col("text")).alias("text")).select("conv_id", "turn", text.spoken_tokens(F.col("text")).alias("a"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.size("a").cast("long").alias("n_left"), F.size("b").cast("long").alias("n_right"), F.round(text.token_cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
 
