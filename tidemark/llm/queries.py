@@ -69,11 +69,29 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle import fill_in_middle
+
+    return fill_in_middle(table(spark, sf_dir, "documents"), outputs=False)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True, outputs=False)
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import alike_groups
+
+    return alike_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality, urls
+    from . import middle, quality, urls
 
-    return {"op3_url_filter": urls.ORACLE, "op9_quality_rules": quality.ORACLE}
+    return {"op3_url_filter": urls.ORACLE, "op9_quality_rules": quality.ORACLE, "op11_fill_in_middle": middle.ORACLE}

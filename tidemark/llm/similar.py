@@ -40,15 +40,15 @@ TASK_BYTES = 64 << 20
 SEED = 42
 
 
-def shingles_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingles_of(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): the distinct shingles of text i are hashes[offsets[i]:offsets[i + 1]], in order."""
     codes, vocabulary, offsets = words_of(texts)
     n = np.diff(offsets)
-    shingles = np.where(n > 0, np.maximum(1, n - SHINGLE + 1), 0)
+    shingles = np.where(n > 0, np.maximum(1, n - width + 1), 0)
     words = hashes_of(vocabulary, SEED)[codes]
     at, end = np.repeat(offsets[:-1], shingles) + spans_of(shingles), np.repeat(offsets[1:], shingles)
     hashes = np.zeros(len(at), dtype=np.uint64)
-    for k in range(SHINGLE):
+    for k in range(width):
         here = np.where(at + k < end, words[np.minimum(at + k, len(words) - 1)], np.uint64(0)) if len(at) else hashes
         hashes = mix(hashes ^ here)
     row = np.repeat(np.arange(len(n)), shingles)
