@@ -1,10 +1,11 @@
 """Fill-in-middle transformation over an index of distinct texts.
 
 Identical texts are one entry of the index: Spark groups by the whole text, so contents themselves are compared, and no two
-entries are equal. For each entry the places where its code points begin, in bytes, are listed once, as an Elias-Fano list:
-about two bits for each code point, with a directory of how many set bits come before each block, so the byte of any code
-point is found without decoding the text. Documents find their entry by the SHA-256 of their text, and select the two
-bytes where their own seeded cut falls; what they put together is parsed back, and must have that SHA-256 again.
+entries are equal. Documents are joined to their entry by the SHA-256 of their text. For each entry the places where its
+code points begin, in bytes, are listed once, as it meets the first of its documents, which follow each other: an Elias-Fano
+list of about two bits for each code point, with a directory of how many set bits come before each block, so the byte of any
+code point is found without decoding the text. Each document selects the two bytes where its own seeded cut falls; what it
+puts together is parsed back, and must have that SHA-256 again.
 
 Texts move once, to the index; documents travel as an id and a digest. A text with very many documents is parted: its entry
 goes to as many parts as it needs, and its documents are dealt over them. Such texts are fewer than MOST_HOT whatever the
@@ -23,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import by_bytes, saved, text_array
+from .common import by_bytes, saved
 
 #: Fixed values of the output format.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -68,24 +68,9 @@ def select(k: int, universe: int, points: int, high: bytes, lower: bytes, direct
     return place
 
 
-LIST = T.StructType([T.StructField("points", T.LongType()), *[T.StructField(name, T.BinaryType()) for name in ("high", "lower", "directory")]])
-
-
-@F.arrow_udf(LIST)
-def boundaries(texts: pa.Array) -> pa.Array:
-    texts = text_array(texts)
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[: len(texts) + 1].tolist() if len(texts) else [0]
-    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
-    lists = [boundary_list(raw[a:b]) for a, b in zip(offsets, offsets[1:])]
-    kinds = pa.int64(), pa.binary(), pa.binary(), pa.binary()
-    columns = [pa.array([entry[k] for entry in lists], kind) for k, kind in enumerate(kinds)]
-    return pa.StructArray.from_arrays(columns, names=["points", "high", "lower", "directory"])
-
-
 def text_index(texts: DataFrame) -> DataFrame:
-    """texts (digest, text) to (digest, text, copies, list): one row for each distinct text."""
-    return texts.groupBy("digest", "text").agg(F.count("*").alias("copies")).withColumn("list", boundaries("text"))
+    """texts (digest, text) to (digest, text, copies): one row for each distinct text."""
+    return texts.groupBy("digest", "text").agg(F.count("*").alias("copies"))
 
 
 def assemble(form: str, prefix: bytes, middle: bytes, suffix: bytes) -> bytes:
@@ -105,15 +90,15 @@ def restored(form: str, output: bytes) -> bytes:
     return prefix + middle + suffix
 
 
-def cut(key: int | None, text: bytes, entry: dict, seed: int) -> tuple[str, int | None, int | None, bytes]:
+def cut(key: int | None, text: bytes, entry: tuple[int, bytes, bytes, bytes], seed: int) -> tuple[str, int | None, int | None, bytes]:
     """(form, code points of prefix, of middle, output) of one document."""
-    points = entry["points"]
+    points = entry[0]
     drawn = sha256(f"{seed}:{'null' if key is None else key}".encode()).hexdigest()
     h1, h2, h3, h4 = (int(drawn[8 * k : 8 * k + 8], 16) for k in range(4))
     if not points or h3 % 100 >= PLAIN_FROM or any(mark.encode() in text for mark in (PREFIX, SUFFIX, MIDDLE)):
         return "plain", None, None, text
     first, second = sorted((h1 % (points + 1), h2 % (points + 1)))
-    a, b = (select(k, len(text), points, entry["high"], entry["lower"], entry["directory"]) for k in (first, second))
+    a, b = (select(k, len(text), *entry) for k in (first, second))
     form = "spm" if h4 % 100 < SPM_BELOW else "psm"
     return form, first, second - first, assemble(form, text[:a], text[a:b], text[b:])
 
@@ -130,29 +115,33 @@ def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", see
     # The exchange by digest serves both the grouping and the join.
     met = rare.select("id", "digest").join(text_index(rare.select("digest", "text").repartition("digest")), "digest")
     dealt = often.select("id", "digest", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), "parts").cast("int").alias("part"))
-    entries = text_index(often.select("digest", "text")).join(crowded, "digest").select("digest", "text", "copies", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    columns = ["id", "digest", "text", "list"]
-    met = met.select(columns).union(dealt.join(entries, ["digest", "part"]).select(columns))
+    entries = text_index(often.select("digest", "text")).join(crowded, "digest").select("digest", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met, shared = met.select("id", "digest", "text"), dealt.join(entries, ["digest", "part"]).select("id", "digest", "text")
     kind = docs.schema[key].dataType.simpleString()
     shape = f"`{key}` {kind}, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string" + ", output string" * outputs
 
     def run(batches):
         names = [key, "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256", "output"]
+        last, entry = None, None
         for batch in batches:
             for some in by_bytes(batch, "text", BATCH_BYTES):
                 texts = some.column("text").cast(pa.large_binary()).to_pylist()
                 rows = []
-                for k, (digest, raw, entry) in enumerate(zip(some.column("digest").to_pylist(), texts, some.column("list").to_pylist())):
+                for k, (digest, raw) in enumerate(zip(some.column("digest").to_pylist(), texts)):
+                    if digest != last:
+                        last, entry = digest, boundary_list(np.frombuffer(raw, dtype=np.uint8))
                     form, prefix, middle, output = cut(some.column("id")[k].as_py(), raw, entry, seed)
                     again = sha256(restored(form, output))
                     if again.digest() != digest:
                         raise ValueError(f"document {some.column('id')[k]}: its output doesn't give its text back")
-                    rows.append((entry["points"], form, prefix, middle, sha256(output).hexdigest(), again.hexdigest(), *[output] * outputs))
+                    rows.append((entry[0], form, prefix, middle, sha256(output).hexdigest(), again.hexdigest(), *[output] * outputs))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.string()] * outputs]
                 arrays = [some.column("id"), *[pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
 
-    return met.mapInArrow(run, shape)
+    # A merged join gives rows in this order already; it lets an entry's list be made once for all documents that follow.
+    whole = [rows.sortWithinPartitions("digest").mapInArrow(run, shape) for rows in (met, shared)]
+    return whole[0].union(whole[1])
 
 
 #: The query's rows in SQL.
