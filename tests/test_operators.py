@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, cues, refine, release, state, text, timing
+from tidemark.operators import align, cues, refine, release, search, state, text, timing
 
 
 def test_rank_golden(spark):
@@ -72,7 +72,7 @@ def aligned(spark, starts, ends, windows, most=180_000):
     tracks = spark.createDataFrame(rows, schema)
     cues = tracks.select("track_id", F.explode(F.arrays_zip(F.col("starts").alias("start_ms"), F.col("ends").alias("end_ms"))).alias("c")).select("track_id", "c.*")
     heard = tracks.select("track_id", F.explode("windows").alias("w")).select("track_id", "w.*")
-    return refine.activity_confidence(align.align_to_activity(tracks, most), cues, heard).first()
+    return refine.activity_confidence(search.align_to_activity(tracks, most), cues, heard).first()
 
 
 def test_constant_offset_is_found(spark):
@@ -98,7 +98,7 @@ def test_padded_cues_move_onto_their_speech(spark):
 def referenced(spark, starts, there, most=180_000):
     df = spark.createDataFrame([(1, starts.tolist(), there.tolist())], "track_id long, starts array<double>, reference array<double>")
     each = lambda c: df.select("track_id", F.explode(c).alias("at_ms"))
-    return refine.reference_confidence(align.align_to_reference(df, most), each("starts"), each("reference")).first()
+    return refine.reference_confidence(search.align_to_reference(df, most), each("starts"), each("reference")).first()
 
 
 def test_reference_drift(spark):
@@ -118,18 +118,17 @@ def test_kernels_equal_the_joins(spark):
     """The search's scores of a map are those of the joins."""
     t = track(60, 500, 1900, 4300, 1777, 900)
     windows = windows_of(t * 1.001 + 700, (0, 30_050, 61_010, 90_000), 24_000)
-    scorer = align.Activity(t[:, 0], t[:, 1], windows)
+    track_ = {"starts": t[:, 0], "ends": t[:, 1], "reference": t[:, 0] * 1.001 + 400, "windows": [{"from_ms": b, "length_ms": n, "speech": [dict(zip(("start_ms", "end_ms"), x)) for x in s]} for b, n, s in windows]}
     cues = spark.createDataFrame([(1, float(a), float(b)) for a, b in t], "track_id long, start_ms double, end_ms double")
     heard = spark.createDataFrame([(1, i, float(b), float(n), s) for i, (b, n, s) in enumerate(windows)], "track_id long, window_ix int, from_ms double, length_ms double, speech array<struct<start_ms:double,end_ms:double>>")
     tried = [(1, k, r, o) for k, (r, o) in enumerate([(1.0, 0.0), (1.001, 700.0), (0.96, -333.0), (1.041667, 1950.0)])]
     got = {(r.map_id, r.window_ix): r.score for r in align.activity_scores(cues, heard, spark.createDataFrame(tried, "track_id long, map_id int, rate double, offset_ms double")).collect()}
     for _, k, r, o in tried:
-        assert np.allclose([got[k, i] for i in range(4)], scorer.windowed(r, o))
-    reference = align.Reference(t[:, 0], t[:, 0] * 1.001 + 400)
+        assert np.allclose([got[k, i] for i in range(4)], search.activity_windows(track_, r, np.array([o]))[:, 0])
     frame = lambda v: spark.createDataFrame([(1, float(x)) for x in v], "track_id long, at_ms double")
     for _, _, r, o in tried:
         told = {x.section: x.score for x in align.proximity_scores(frame(t[:, 0] * r + o), frame(t[:, 0] * 1.001 + 400)).collect()}
-        assert np.allclose([told.get(i, 0.0) for i in range(6)], reference.windowed(r, o))
+        assert np.allclose([told.get(i, 0.0) for i in range(6)], search.reference_sections(track_, r, np.array([o]))[:, 0])
 
 
 def test_one_hot_track_and_client(spark):
@@ -145,7 +144,7 @@ def test_one_hot_track_and_client(spark):
 @pytest.mark.parametrize("n", [0, 5])
 def test_too_little_evidence(spark, n):
     df = spark.createDataFrame([(1, [1.0] * n, [1.0] * n)], "track_id long, starts array<double>, reference array<double>")
-    assert align.align_to_reference(df).first().refused
+    assert search.align_to_reference(df).first().refused
 
 
 def test_snap_and_settle(spark):

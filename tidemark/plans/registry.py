@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import values
-from ..operators import align, batches, cues, policy, refine, release, report, state, text
+from ..operators import align, batches, cues, policy, refine, release, report, search, state, text
 from ..sources import formats
 from . import dialect
 from .dialect import Dialect
@@ -186,13 +186,17 @@ def nearest(spark, sf_dir):
     return align.proximity_scores(times.select("track_id", F.col("start_ms").alias("at_ms")), reference_of(times)).withColumn("score", F.round(F.col("score") + 1e-9, 6))  # a tie in the last place falls alike whatever the order of summing
 
 
+def tracks_of(found: DataFrame, windows: DataFrame) -> DataFrame:
+    arrays = found.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("c")).select("track_id", F.col("c.start_ms").alias("starts"), F.col("c.end_ms").alias("ends"))
+    heard = windows.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("window_ix", "from_ms", "length_ms", "speech"))).alias("windows"))
+    return arrays.join(heard, "track_id")
+
+
 @query("X11_align_activity")
 def by_activity(spark, sf_dir):
     """The full search over rates and offsets up to 180 s, for every track and all its cues, with the shift onto speech."""
     found, windows, _ = planted(spark, sf_dir)
-    arrays = found.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("c")).select("track_id", F.col("c.start_ms").alias("starts"), F.col("c.end_ms").alias("ends"))
-    heard = windows.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("window_ix", "from_ms", "length_ms", "speech"))).alias("windows"))
-    return refine.activity_confidence(align.align_to_activity(arrays.join(heard, "track_id")).persist(), found, windows)
+    return refine.activity_confidence(search.align_to_activity(tracks_of(found, windows)).persist(), found, windows)
 
 
 @query("X13_align_reference")
@@ -200,7 +204,7 @@ def by_reference(spark, sf_dir):
     times = adapter(spark, sf_dir, dialect.cue_times)
     starts = times.groupBy("track_id").agg(F.sort_array(F.collect_list("start_ms")).alias("starts"))
     there = reference_of(times).groupBy("track_id").agg(F.sort_array(F.collect_list("at_ms")).alias("reference"))
-    found = align.align_to_reference(starts.join(there, "track_id")).persist()
+    found = search.align_to_reference(starts.join(there, "track_id")).persist()
     return refine.reference_confidence(found, times.select("track_id", F.col("start_ms").alias("at_ms")), reference_of(times))
 
 

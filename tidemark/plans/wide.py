@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels, values
-from ..operators import align, flow, refine, text, transcripts
+from ..operators import align, flow, refine, search, text, transcripts
 from . import dialect
-from .registry import CANDIDATES, FILES, PLAIN, PLANTED, REQUESTS, RUNS, SQL, TAGS, TIMES, VISITS, adapter, planted, query, reference_of
+from .registry import CANDIDATES, FILES, PLAIN, PLANTED, REQUESTS, RUNS, SQL, TAGS, TIMES, VISITS, adapter, planted, query, reference_of, tracks_of
 
 NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.LANGUAGES.items())
 
@@ -362,3 +362,19 @@ def speech_shift(spark, sf_dir):
     anchors = transcripts.word_anchors(cues, windows, words, maps)
     enough = anchors.groupBy("track_id").count().where("count >= 6").select("track_id")
     return refine.speech_shift(cues, windows, maps, anchors.select("track_id", "residual")).join(enough, "track_id", "left_semi")
+
+
+@query("X12_align_transcript")
+def by_transcript(spark, sf_dir):
+    """The full search by what was said, for every track with two transcripts or more; by activity for the others."""
+    cues, windows, words, told, _ = said(spark, sf_dir)
+    lines = cues.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "tokens"))).alias("c")).select("track_id", F.col("c.start_ms").alias("starts"), F.col("c.end_ms").alias("ends"), F.col("c.tokens").alias("tokens"))
+    heard = windows.join(told.withColumnRenamed("tokens", "heard"), ["track_id", "window_ix"], "left").groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("window_ix", "from_ms", "length_ms", "speech", "heard"))).alias("windows"))
+    at = F.col("from_ms") + (F.col("start_ms") + F.col("end_ms")) / 2
+    sure = transcripts.heard_words(words).join(windows.select("track_id", "window_ix", "from_ms"), ["track_id", "window_ix"])
+    spoken = sure.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("window_ix", at.alias("at_ms"), "tokens"))).alias("words"))
+    tracks = lines.join(heard, "track_id").join(spoken, "track_id", "left")
+    tracks = tracks.withColumn("words", F.coalesce("words", F.array().cast(tracks.schema["words"].dataType)))
+    found = refine.transcript_confidence(search.align_to_transcript(tracks).persist(), cues, windows, words, told)
+    rest = tracks.where(F.size(F.filter("windows", lambda w: w["heard"].isNotNull())) < 2)
+    return found.union(refine.activity_confidence(search.align_to_activity(rest).persist(), cues, windows))
