@@ -222,9 +222,11 @@ def test_trees_lose_no_pair(sets, salt):
     sets = [np.sort(jaccard.mix(np.array(sorted(s), dtype=np.uint64) + np.uint64(salt))) for s in sets] * 2
     sets = [s if k % 3 else np.sort(np.append(s, jaccard.mix(np.array([k], dtype=np.uint64) + np.uint64(10**12)))) for k, s in enumerate(sets)]
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
-    tree = jaccard.Tree(sets, 8)
+    tree = jaccard.Tree.of(sets, 8)
     seen = [tuple(sorted(p)) for i, j in jaccard.pairs(tree, tree, 85) for p in zip(i.tolist(), j.tolist())]
     assert want <= set(seen) and len(seen) == len(set(seen))
+    alone = jaccard.with_partner([jaccard.marked(s, jaccard.bits_for(len(s))).tobytes() for s in sets], np.array([len(s) for s in sets]), 85)
+    assert {k for p in want for k in p} <= set(np.flatnonzero(alone).tolist())
     half = len(sets) // 2
     host = jaccard.hosts_of(sets[:half], sets[half:], 85)
     assert [h >= 0 for h in host] == [any((i, half + k) in want for i in range(half)) for k in range(len(sets) - half)]

@@ -8,7 +8,9 @@ Two sets link when the shingles they share are `percent` of their union or more.
 2. Trees. The sets of a group become the leaves of a signature tree: each leaf has a bitmap of hashed shingles and a size,
    each node above it the OR of its children's bitmaps, their range of sizes, and how many shingles at most one of its sets
    has beyond its bits. Two trees (or one with itself) are walked down together; a pair of nodes is dropped once the greatest
-   overlap that any two of their sets can have is too small for their sizes. Pairs of leaves that are left are compared exactly.
+   overlap that any two of their sets can have is too small for their sizes. A group is first walked by bitmaps alone, which
+   are small, and keeps the members that have a partner left; only their sets travel, and pairs of leaves that are left then
+   are compared exactly.
 3. Who meets. Every text is compared with the center of its groups, the member of most and largest groups; texts linked with
    one center are a cluster, and where a group holds texts of two clusters the smaller one's visit the larger one, chunk by
    chunk. Texts of no cluster meet in their groups; of a group beyond a chunk's size the members are told apart by a second
@@ -91,7 +93,7 @@ class Order:
 
 
 def described(rows: DataFrame, order, percent: int, width: int) -> DataFrame:
-    """rows (row, text) to (row, k1, k2, size, tokens): sums that tell equal sets, the number of shingles, and the first ones in the order."""
+    """rows (row, text) to (row, k1, k2, size, tokens, marks): sums that tell equal sets, the number of shingles, the first ones in the order, and the bitmap of a leaf."""
 
     def run(batches):
         ordered = Order(order.value)
@@ -104,9 +106,10 @@ def described(rows: DataFrame, order, percent: int, width: int) -> DataFrame:
                     total = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes + np.uint64(salt)), dtype=np.uint64)])
                     sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
                 tokens, ends = ordered.prefixes(hashes, offsets, percent)
-                yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, sums), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.view(np.int64)))], names=["row", "k1", "k2", "size", "tokens"])
+                marks = [marked(hashes[a:b], bits_for(b - a)).tobytes() if b > a else b"" for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("row"), *map(pa.array, sums), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.view(np.int64))), pa.array(marks, pa.binary())], names=["row", "k1", "k2", "size", "tokens", "marks"])
 
-    return rows.mapInArrow(run, "row long, k1 long, k2 long, size long, tokens array<long>")
+    return rows.mapInArrow(run, "row long, k1 long, k2 long, size long, tokens array<long>, marks binary")
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -122,23 +125,43 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, set binary")
 
 
+def bits_for(size: int) -> int:
+    """The base-2 logarithm of a bitmap's bits: two to four for each shingle."""
+    return max(6, int(2 * size - 1).bit_length())
+
+
+def marked(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The bitmap of some hashes, by their first bits."""
+    marks = np.zeros(1 << bits, dtype=bool)
+    marks[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(marks)
+
+
+def folded(marks: list[bytes], bits: int) -> np.ndarray:
+    """Bitmaps of 2 ** bits bits, or of more, as rows of that many: neighbouring bits become one."""
+    out = np.zeros((len(marks), 1 << bits >> 3), dtype=np.uint8)
+    for k, raw in enumerate(marks):
+        own = np.frombuffer(raw, dtype=np.uint8)
+        out[k] = own if len(own) == out.shape[1] else np.packbits(np.unpackbits(own).reshape(1 << bits, -1).any(axis=1))
+    return out.view(np.uint64)
+
+
 class Tree:
-    """The signature tree of some sets. Level 0 has a leaf for each set, in the order `leaf`; FAN nodes have one above them."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        self.leaf = np.lexsort((np.array([s[0] for s in sets], dtype=np.uint64), np.log(sizes) // 0.1))
-        sizes = sizes[self.leaf]
-        places = np.concatenate([sets[k] for k in self.leaf]) >> np.uint64(64 - bits)
-        marks = np.zeros((len(sets), 1 << bits), dtype=bool)
-        marks[np.repeat(np.arange(len(sets)), sizes), places.astype(np.int64)] = True
-        marks = np.packbits(marks, axis=1).view(np.uint64)
+    """The signature tree of some sets, by their bitmaps and sizes. Level 0 has a leaf for each set, in the order `leaf`; FAN nodes have one above them."""
+
+    def __init__(self, marks: np.ndarray, sizes: np.ndarray):
+        self.leaf = np.lexsort((*marks[:, :4].T[::-1], np.log(sizes) // 0.1))
+        marks, sizes = marks[self.leaf], sizes[self.leaf]
         self.levels = [(marks, sizes, sizes, sizes - np.bitwise_count(marks).sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             marks, least, most, beyond = self.levels[-1]
             edges = np.arange(0, len(marks), FAN)
             self.levels.append((np.bitwise_or.reduceat(marks, edges, axis=0), np.minimum.reduceat(least, edges), np.maximum.reduceat(most, edges), np.maximum.reduceat(beyond, edges)))
 
+    @staticmethod
+    def of(sets: list[np.ndarray], bits: int) -> Tree:
+        return Tree(np.stack([marked(s, bits) for s in sets]).view(np.uint64), np.array([len(s) for s in sets], dtype=np.int64))
+
     def at(self, level: int) -> tuple[np.ndarray, ...]:
         return self.levels[min(level, len(self.levels) - 1)]
 
@@ -201,9 +224,9 @@ def linked(sets: list[np.ndarray], others: list[np.ndarray], one: np.ndarray, ot
     return out
 
 
-def bits_for(sets: list[np.ndarray]) -> int:
-    """The base-2 logarithm of a bitmap's bits: four for each shingle of a middling set."""
-    return int(np.clip(int(4 * np.median([len(s) for s in sets])).bit_length(), 8, 14))
+def middling(sets: list[np.ndarray]) -> int:
+    """Bits for bitmaps of sets of several sizes."""
+    return min(14, bits_for(int(np.median([len(s) for s in sets]))))
 
 
 def by_first(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +242,7 @@ def turns(i: np.ndarray) -> np.ndarray:
 def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the first one that it is connected with by links."""
     label = np.arange(len(sets))
-    tree = Tree(sets, bits_for(sets))
+    tree = Tree.of(sets, middling(sets))
     for i, j in pairs(tree, tree, percent):
         i, j = by_first(i, j)
         while len(i):
@@ -238,8 +261,8 @@ def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
 def hosts_of(members: list[np.ndarray], visitors: list[np.ndarray], percent: int) -> np.ndarray:
     """For each visitor one member that it links with, or -1."""
     host = np.full(len(visitors), -1)
-    bits = bits_for(members)
-    for i, j in pairs(Tree(visitors, bits), Tree(members, bits), percent):
+    bits = middling(members)
+    for i, j in pairs(Tree.of(visitors, bits), Tree.of(members, bits), percent):
         i, j = by_first(i, j)
         while len(i):
             free = host[i] < 0
@@ -251,6 +274,31 @@ def hosts_of(members: list[np.ndarray], visitors: list[np.ndarray], percent: int
     return host
 
 
+def with_partner(marks: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have another one that their bitmaps and sizes allow them to link with. Linked sets' bitmaps are alike in size, or one is twice the other."""
+    found = np.zeros(len(marks), dtype=bool)
+    bits = np.array([8 * len(m) for m in marks])
+    for size in np.unique(bits).tolist():
+        some = np.flatnonzero((bits == size) | (bits == 2 * size))
+        if len(some) > 1:
+            tree = Tree(folded([marks[k] for k in some], size.bit_length() - 1), sizes[some])
+            for i, j in pairs(tree, tree, percent):
+                found[some[i]] = found[some[j]] = True
+    return found
+
+
+def plausible(met: DataFrame, marks: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """met (g, node, size): those that have a partner in their group, as far as bitmaps and sizes tell."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("g", kind="stable")
+        keep = [with_partner(some["marks"].tolist(), some["size"].to_numpy(), percent) for _, some in rows.groupby("g", sort=False)]
+        return rows[np.concatenate(keep)][["g", "node", "size"]]
+
+    dealt_out = met.select("g", "node", "size").join(marks, "node").withColumn("task", F.pmod(F.xxhash64("g"), F.lit(tasks)))
+    return dealt_out.groupBy("task").applyInPandas(run, "g long, node long, size long")
+
+
 def unpacked(rows: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype=np.uint64) for x in rows["set"]]
 
@@ -336,8 +384,13 @@ def jaccard_links(rows: DataFrame, percent: int = PERCENT, width: int = SHINGLE,
     spark = rows.sparkSession
     order = spark.sparkContext.broadcast(frequent(rows, width))
     own = saved(described(rows, order, percent, width), "jaccard-rows")
-    nodes = own.where("size > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.min_by("tokens", "row").alias("tokens"))
-    met = saved(groups(nodes.select(F.explode("tokens").alias("g"), "node", "size")), "jaccard-groups")
+    nodes = own.where("size > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.min_by("tokens", "row").alias("tokens"), F.min_by("marks", "row").alias("marks"))
+    nodes = saved(nodes, "jaccard-nodes")
+    met = saved(groups(nodes.select(F.explode("tokens").alias("g"), "node", "size")).withColumn("parts", parts(F.col("n"), F.col("bytes"), chunk)), "jaccard-groups")
+    # Most groups are of texts that share a passage and no more; their bitmaps tell so before any set travels.
+    whole = met.where("parts = 1").select("g", "node", "size")
+    left = plausible(whole, nodes.select("node", "marks"), percent, tasks_for(spark, (whole.agg(F.sum("size")).first()[0] or 0) // 16))
+    met = saved(groups(left.union(met.where("parts > 1").select("g", "node", "size"))), "jaccard-candidates")
     wanted = saved(met.groupBy("node").agg(F.first("size").alias("size")), "jaccard-wanted")
     sets = saved(shingle_sets(rows.join(wanted.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "text"), width), "jaccard-sets")
     sized = lambda df: tasks_for(spark, df.agg(F.sum("size")).first()[0])
