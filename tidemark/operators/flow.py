@@ -115,8 +115,8 @@ def job_results(asked: DataFrame, jobs: DataFrame, wait_ms: int) -> DataFrame:
     return asked.join(jobs.withColumn("known", F.lit(True)), "job_id", "left").select("ask_id", "job_id", state.alias("state"))
 
 
-def wrapped(listings: DataFrame, refresh_ms: int = REFRESH_MS) -> DataFrame:
-    """listings (key, at_ms, event_id, hint): each key's record as it stands after all of them, (key, seen_ms, hint, refreshed): a listing refreshes the record, and its hint where it brings one, only if the last refresh is over refresh_ms ago. Keys' listings stream past in order."""
+def wrapped(listings: DataFrame, refresh_ms: int = REFRESH_MS, ttl_ms: int | None = None) -> DataFrame:
+    """listings (key, at_ms, event_id, hint): each key's record as it stands after all of them, (key, seen_ms, hint, refreshed): a listing refreshes the record, and its hint where it brings one, only if the last refresh is over refresh_ms ago; after ttl_ms the record is a new one. Keys' listings stream past in order."""
 
     def run(batches):
         key, seen, hint, count = None, 0, None, 0
@@ -127,6 +127,8 @@ def wrapped(listings: DataFrame, refresh_ms: int = REFRESH_MS) -> DataFrame:
                     if key is not None:
                         out.append((key, seen, hint, count))
                     key, seen, hint, count = k, at, h, 0
+                elif ttl_ms is not None and at - seen >= ttl_ms:
+                    seen, hint, count = at, h, 0
                 elif at - seen > refresh_ms:
                     seen, hint, count = at, hint if h is None else h, count + 1
             yield pd.DataFrame(out, columns=["key", "seen_ms", "hint", "refreshed"])
@@ -185,3 +187,21 @@ def standing(events: DataFrame, counted: Column) -> DataFrame:
     """events (item, at_ms, event_id) with n: how many counted events of the item there are up to each one's time, equal times included."""
     upto = Window.partitionBy("item").orderBy("at_ms").rangeBetween(Window.unboundedPreceding, 0)
     return events.withColumn("n", F.count(F.when(counted, 1)).over(upto))
+
+
+def retained_jobs(asked: DataFrame, retention_ms: int = 6 * 3_600_000) -> DataFrame:
+    """asked (key, event_id, at_ms, done_ms, fails) to (event_id, job_id): requests of a key share the job that the first one started, until one comes when it has failed, or when it is finished and older than the retention; that one starts the next. done_ms, fails: how the job ends that a request would start. Keys' requests stream past in order."""
+
+    def run(batches):
+        key, job = None, None
+        for rows in batches:
+            out = []
+            for k, event, at, done, fails in rows.itertuples(index=False):
+                if k != key or (job[2] <= at and (job[3] or at - job[1] > retention_ms)):
+                    key, job = k, (event, at, done, fails)
+                out.append(job[0])
+            yield pd.DataFrame({"event_id": rows["event_id"], "job_id": out})
+
+    kind = asked.schema["event_id"].dataType.simpleString()
+    ordered = asked.select("key", "event_id", "at_ms", "done_ms", "fails").repartition("key").sortWithinPartitions("key", "at_ms", "event_id")
+    return ordered.mapInPandas(run, f"event_id {kind}, job_id {kind}")

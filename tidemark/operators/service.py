@@ -44,3 +44,27 @@ def smoke(cues: DataFrame, first: int = 6) -> DataFrame:
     """(track_id, n, at_zero, head, last_ms): a quick look at each track."""
     head = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") < first, F.struct("k", "start_ms")))), lambda c: c["start_ms"].cast("string")), ",")
     return cues.groupBy("track_id").agg(F.count("*").alias("n"), F.count_if(F.col("start_ms") == 0).alias("at_zero"), head.alias("head"), F.max_by("start_ms", "k").alias("last_ms"))
+
+
+def retry_chain(candidates: DataFrame, most: int = 20) -> DataFrame:
+    """candidates (request_id, position, candidate_id, content, which may be null) to (request_id, attempt, position, candidate_id): what a viewer gets who rejects every delivery, up to `most` times. A rejection excludes the delivered id and its content, so a candidate is delivered unless one before it that was delivered has its id or its content.
+
+    Whether an earlier candidate counts depends on whether it was delivered itself, so this is a fold over a request's candidates, in the JVM; these are one title's, so their number is bounded.
+    """
+    none = F.array().cast("array<string>")
+    each = F.struct("position", F.col("candidate_id").cast("string").alias("id"), F.col("content").cast("string").alias("content"))
+    listed = candidates.groupBy("request_id").agg(F.array_sort(F.collect_list(each)).alias("listed"))
+    start = F.struct(none.alias("ids"), none.alias("contents"), F.array().cast("array<int>").alias("taken"))
+
+    def deliver(so_far, one):
+        known = F.array_contains(so_far["ids"], one["id"]) | F.coalesce(F.array_contains(so_far["contents"], one["content"]), F.lit(False))
+        told = F.struct(
+            F.array_append(so_far["ids"], one["id"]).alias("ids"),
+            F.when(one["content"].isNull(), so_far["contents"]).otherwise(F.array_append(so_far["contents"], one["content"])).alias("contents"),
+            F.array_append(so_far["taken"], one["position"].cast("int")).alias("taken"),
+        )
+        return F.when(known, so_far).otherwise(told)
+
+    chain = listed.select("request_id", F.aggregate("listed", start, deliver).alias("c"))
+    each = chain.select("request_id", F.posexplode(F.arrays_zip(F.slice("c.taken", 1, most + 1).alias("position"), F.slice("c.ids", 1, most + 1).alias("id"))).alias("attempt", "d"))
+    return each.select("request_id", "attempt", "d.position", F.col("d.id").alias("candidate_id"))
