@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import by_bytes, mix, numbered, saved, shuffle_partitions, spans_of, text_array
 from .simhash import components
@@ -349,6 +350,14 @@ def groups(rows: DataFrame) -> DataFrame:
     return rows.join(one, "g").select(*rows.columns, "n", "bytes")
 
 
+def of_like_size(met: DataFrame, percent: int) -> DataFrame:
+    """met (g, node, size): those that have a member of near enough a size in their group, the next smaller or the next larger one."""
+    order = Window.partitionBy("g").orderBy("size", "node")
+    near = lambda a, b: F.coalesce(100 * a >= percent * b, F.lit(False))
+    told = met.withColumns({"less": F.lag("size").over(order), "more": F.lead("size").over(order)})
+    return told.where(near(F.col("less"), F.col("size")) | near(F.col("size"), F.col("more"))).select("g", "node", "size")
+
+
 def parts(n: Column, size: Column, chunk: int) -> Column:
     return F.ceil(F.greatest(n / chunk, size / CHUNK_BYTES)).cast("long")
 
@@ -386,11 +395,15 @@ def jaccard_links(rows: DataFrame, percent: int = PERCENT, width: int = SHINGLE,
     own = saved(described(rows, order, percent, width), "jaccard-rows")
     nodes = own.where("size > 0").groupBy("k1", "k2").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.min_by("tokens", "row").alias("tokens"), F.min_by("marks", "row").alias("marks"))
     nodes = saved(nodes, "jaccard-nodes")
-    met = saved(groups(nodes.select(F.explode("tokens").alias("g"), "node", "size")).withColumn("parts", parts(F.col("n"), F.col("bytes"), chunk)), "jaccard-groups")
+    # Most shingles are one text's alone: their counts go ahead of the rows.
+    each = nodes.select(F.explode("tokens").alias("g"), "node", "size")
+    common = saved(each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "jaccard-common")
+    met = saved(groups(saved(each.join(common, "g", "left_semi"), "jaccard-members")).withColumn("parts", parts(F.col("n"), F.col("bytes"), chunk)), "jaccard-groups")
     # Most groups are of texts that share a passage and no more; their bitmaps tell so before any set travels.
-    whole = met.where("parts = 1").select("g", "node", "size")
+    whole = saved(of_like_size(met.where("parts = 1").select("g", "node", "size"), percent), "jaccard-sized")
     left = plausible(whole, nodes.select("node", "marks"), percent, tasks_for(spark, (whole.agg(F.sum("size")).first()[0] or 0) // 16))
-    met = saved(groups(left.union(met.where("parts > 1").select("g", "node", "size"))), "jaccard-candidates")
+    left = saved(left.union(met.where("parts > 1").select("g", "node", "size")), "jaccard-plausible")
+    met = saved(groups(left), "jaccard-candidates")
     wanted = saved(met.groupBy("node").agg(F.first("size").alias("size")), "jaccard-wanted")
     sets = saved(shingle_sets(rows.join(wanted.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "text"), width), "jaccard-sets")
     sized = lambda df: tasks_for(spark, df.agg(F.sum("size")).first()[0])
