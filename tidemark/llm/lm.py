@@ -163,24 +163,23 @@ def sparse(data: bytes, bits: int) -> np.ndarray:
 
 
 def totals(made: DataFrame, order: int, power: int, size: int = 64) -> DataFrame:
-    """Rows (block, shard, answers): training counts of what each block asked for, less its own; block -1 bears the shard's own sums. There are 2 ** power shards, and n-grams are told by the first `size` bits of their hashes."""
+    """Rows (block, shard, answers): training counts of what each block asked for, less its own; block -1 bears the shard's own sums. There are 2 ** power shards, and n-grams are told by the first `size` bits of their hashes, words by all 64."""
     fields = ", ".join(f"g{n} binary, c{n} binary" for n in range(1, order + 1))
     names = ["block", "shard", *[f"{x}{n}" for n in range(1, order + 1) for x in "gc"]]
     kinds = [pa.int64(), pa.int64()] + [pa.binary()] * (2 * order)
-    bits = size - power
-    cut = lambda grams: grams >> np.uint64(64 - size)
+    sizes = [64] + [size] * (order - 1)
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row, order)
-                shards = [(cut(g) >> np.uint64(bits)).astype(np.int64) if power else np.zeros(len(g), dtype=np.int64) for g in block.grams]
-                inside = [cut(g) & np.uint64((1 << bits) - 1) for g in block.grams]
+                shards = [(g >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(g), dtype=np.int64) for g in block.grams]
+                inside = [(g >> np.uint64(64 - bits)) & np.uint64((1 << (bits - power)) - 1) for g, bits in zip(block.grams, sizes)]
                 met = np.unique(np.concatenate(shards))
                 columns = [[row["block"]] * len(met), met.tolist()]
-                for grams, counts, shard in zip(inside, block.counts, shards):
+                for grams, counts, shard, bits in zip(inside, block.counts, shards, sizes):
                     cuts = list(zip(met.tolist(), np.searchsorted(shard, met).tolist(), np.searchsorted(shard, met, side="right").tolist()))
-                    columns.append([dense(grams[a:b], bits) for _, a, b in cuts])
+                    columns.append([dense(grams[a:b], bits - power) for _, a, b in cuts])
                     columns.append([packed(counts[a:b]) for _, a, b in cuts])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
                 del block, columns, shards, inside
@@ -191,7 +190,7 @@ def totals(made: DataFrame, order: int, power: int, size: int = 64) -> DataFrame
         sums = []
         shard = int(rows["shard"].iloc[0])
         for n in range(1, order + 1):
-            grams = [sparse(x, bits) for x in rows[f"g{n}"]]
+            grams = [sparse(x, sizes[n - 1] - power) for x in rows[f"g{n}"]]
             counts = np.concatenate([unpacked(x)[0] for x in rows[f"c{n}"]])
             keys, of = np.unique(np.concatenate(grams), return_inverse=True)
             total = np.bincount(of, weights=counts, minlength=len(keys)).astype(np.int64)
