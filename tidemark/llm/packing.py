@@ -3,9 +3,10 @@
 Documents become token sequences (an end token after each) that are cut only where longer than a sequence. Pieces are
 dealt over groups of bounded size; each group packs its pieces by best-fit decreasing, and a lower bound from dual feasible
 functions certifies it where its bin count equals the bound. Certified groups are done. Groups with a gap give back the
-pieces of their bins that aren't full; these are dealt anew over fewer groups and packed again, for a fixed number of rounds
-or until one group holds them all. At the end the same bound over all pieces (they have few lengths) tells whether the whole
-has a gap; only if so, bins of certified groups that have room, which only other groups can use, go into a last exchange.
+pieces of their bins that aren't full; these are dealt anew over fewer groups and packed again, until a round needs as many
+bins as the one before or one group holds them all. At the end the same bound over all pieces (they have few lengths) tells
+whether the whole has a gap; only if so, bins of certified groups that have room, which only other groups can use, are
+exchanged as well, until the bound is met or a round gains nothing.
 
 Contract: a null text is an empty one and still has its end token; repeated rows and repeated or null ids are packed each on
 its own (rows are carried through, never joined back, and dealt by row, so equal ones spread); an empty table packs to an
@@ -26,9 +27,6 @@ from .common import by_bytes, saved, text_array
 from .tokens import BATCH_BYTES, DEFAULT, LIMIT, encoder
 
 GROUP_PIECES = 8192
-ROUNDS = 4
-#: Exchanges among all groups where the whole has a gap.
-LAST_ROUNDS = 4
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECE}, part long, bin int, offset long, fill long, certified boolean"
 
@@ -69,7 +67,7 @@ def lower_bound(lengths: np.ndarray, limit: int, counts: np.ndarray | None = Non
         return 0
     sizes, n = np.unique(lengths, return_counts=True) if counts is None else (lengths, counts)
     best = -(-int((sizes * n).sum()) // limit)
-    for k in np.unique(np.minimum(sizes, limit - sizes))[:512]:
+    for k in np.unique(np.minimum(sizes, limit - sizes)):
         if 0 < k <= limit // 2:
             value = np.where(sizes > limit - k, limit, np.where(sizes < k, 0, sizes))
             best = max(best, -(-int((value * n).sum()) // limit))
@@ -112,7 +110,7 @@ def whole_bound(pieces: DataFrame, limit: int) -> int:
     return lower_bound(counts["length"].to_numpy(np.int64), limit, counts["n"].to_numpy(np.int64))
 
 
-def pack(pieces: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to pieces (a saved table). Also `certified`: its group's bin count met the bound."""
     names = [c.split()[0] for c in PIECE.split(", ")]
 
@@ -133,29 +131,33 @@ def pack(pieces: DataFrame, limit: int = LIMIT, group_pieces: int = GROUP_PIECES
 
     alone = pieces.where(F.col("length") >= limit)
     done = [alone.select("*", F.lit(0).cast("long").alias("part"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"), F.lit(0).alias("round"), F.monotonically_increasing_id().alias("own"))]
-    rest, closed = pieces.where(F.col("length") < limit), []
-    for k in range(1, rounds + 1):
-        n = rest.count()
-        if not n:
-            break
+    rest, closed, k, before = pieces.where(F.col("length") < limit), [], 0, None
+    bins = lambda placed: placed.where("offset = 0").count()
+    while n := rest.count():
+        k += 1
         groups = max(1, -(-n // group_pieces))
         placed = packed(rest, k, groups)
-        if k == rounds or groups == 1:
+        gap = ~F.col("certified") & (F.col("fill") < limit)
+        if groups == 1 or (before is not None and bins(placed) >= before):
             closed.append((placed, k))
             break
-        gap = ~F.col("certified") & (F.col("fill") < limit)
         closed.append((placed.where(~gap), k))
         rest = saved(placed.where(gap).select(*names), "open-pieces")
+        before = bins(placed.where(gap))
     bound = whole_bound(pieces, limit) - alone.count()
-    for k in range(rounds + 1, rounds + 1 + LAST_ROUNDS):
-        if sum(placed.where("offset = 0").count() for placed, _ in closed) <= bound:
-            break
+    total = sum(bins(placed) for placed, _ in closed)
+    while total > bound:
+        k += 1
         open_ = [placed.where(F.col("fill") < limit).select(*names) for placed, _ in closed]
         for more in open_[1:]:
             open_[0] = open_[0].union(more)
         rest = saved(open_[0], "open-pieces")
         groups = max(1, -(-rest.count() // group_pieces))
-        closed = [*((placed.where(F.col("fill") == limit), k) for placed, k in closed), (packed(rest, k, groups), k)]
+        tried = [*((placed.where(F.col("fill") == limit), n) for placed, n in closed), (packed(rest, k, groups), k)]
+        now = sum(bins(placed) for placed, _ in tried)
+        if now >= total:
+            break
+        closed, total = tried, now
         if groups == 1:
             break
     done += [kept(placed, k) for placed, k in closed]
