@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +19,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 MASK64 = (1 << 64) - 1
 #: Whether Spark deletes the shuffle files of a query once it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Tables that saved() has written and that are still there.
-TABLES: list[DataFrame] = []
+#: The tables that saved() has written in the innermost scope() of this thread.
+OWN: ContextVar[list[DataFrame] | None] = ContextVar("own", default=None)
+#: How many tables are being written at once, and what the setting was before; of each session.
+WRITING: dict[int, list] = {}
+LOCK = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,30 +41,57 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read from there: the lineage ends here, and a lost executor costs no more than its own tasks. Shuffle files go once the table is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with cleaned_up(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
-    TABLES.append(out)
+    if (own := OWN.get()) is not None:
+        own.append(out)
     return out
 
 
+@contextmanager
+def cleaned_up(spark: SparkSession):
+    """CLEANUP holds inside; the session's own value comes back when the last of several threads has left."""
+    with LOCK:
+        state = WRITING.setdefault(id(spark), [0, None])
+        if not state[0]:
+            state[1] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        state[0] += 1
+    try:
+        yield
+    finally:
+        with LOCK:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(CLEANUP, state[1])
+                del WRITING[id(spark)]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that saved() wrote, once all that was made of them is written itself."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        TABLES[:] = [t for t in TABLES if t is not df]
 
 
-def discard_since(mark: int, *keep: DataFrame) -> None:
-    """Deletes what saved() has written since there were `mark` TABLES, but for those to keep."""
-    discard(*[df for df in TABLES[mark:] if all(df is not k for k in keep)])
+@contextmanager
+def scope():
+    """Gives a function keep(*tables): on leaving, the tables saved inside, by this thread, are deleted but for those kept. What other threads or the code around have saved is never touched; kept tables belong to the scope around, if there is one. Where the code inside fails, its tables stay."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    token = OWN.set(own)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    except BaseException:
+        OWN.reset(token)
+        raise
+    OWN.reset(token)
+    discard(*[df for df in own if all(df is not k for k in kept)])
+    if (around := OWN.get()) is not None:
+        around.extend(kept)
 
 
 def numbered(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:

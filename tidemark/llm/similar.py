@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TABLES, by_bytes, discard_since, hashes_of, mix, numbered, saved, shuffle_partitions, spans_of, text_array, words_of
+from .common import by_bytes, hashes_of, mix, numbered, saved, scope, shuffle_partitions, spans_of, text_array, words_of
 from .simhash import components, near_groups
 
 SHINGLE = 5
@@ -269,17 +269,17 @@ def candidates_again(rows: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each group, that of the smallest doc_id (of these the first; rows without a doc_id come last); all columns stay. Every row that goes is tied to the one that stays by a chain of verified links."""
     whole = numbered(docs)
-    mark = len(TABLES)
-    rows = whole.select(F.col("__row").alias("row"), "text")
-    prints = near_groups(rows.withColumnRenamed("row", "doc_id"))
-    groups = prints.select(F.col("doc_id").alias("row"), F.xxhash64(F.lit("simhash"), "component_id").alias("g"))
-    of, edges = similar_links(rows, groups)
-    tied = components(edges)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("row").alias("kept"))).alias("first")
-    ids = whole.select(F.col("__row").alias("row"), "doc_id")
-    # Rows of equal shingles are summed up before they meet, so very many of them are no task's burden.
-    nodes = of.join(ids, "row").groupBy("k1", "k2").agg(F.min("row").alias("node"), first)
-    roots = nodes.join(tied, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    kept = saved(roots.select(F.col("first.kept").alias("__row")), "kept-rows")
-    discard_since(mark, kept)
+    with scope() as keep:
+        rows = whole.select(F.col("__row").alias("row"), "text")
+        prints = near_groups(rows.withColumnRenamed("row", "doc_id"))
+        groups = prints.select(F.col("doc_id").alias("row"), F.xxhash64(F.lit("simhash"), "component_id").alias("g"))
+        of, edges = similar_links(rows, groups)
+        tied = components(edges)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("row").alias("kept"))).alias("first")
+        ids = whole.select(F.col("__row").alias("row"), "doc_id")
+        # Rows of equal shingles are summed up before they meet, so very many of them are no task's burden.
+        nodes = of.join(ids, "row").groupBy("k1", "k2").agg(F.min("row").alias("node"), first)
+        roots = nodes.join(tied, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+        kept = saved(roots.select(F.col("first.kept").alias("__row")), "kept-rows")
+        keep(kept)
     return whole.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
