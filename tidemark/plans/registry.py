@@ -334,4 +334,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: v.replace("{J1}", SQL["J1_activity_score"]) for k, v in SQL.items()}
 
 
-from . import deep, more, wide  # noqa: E402, F401 (they add their queries to the registry)
+from . import deep, more, routes, wide  # noqa: E402, F401 (they add their queries to the registry)
