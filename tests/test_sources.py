@@ -49,6 +49,13 @@ def test_files_are_chosen_by_episode_then_language(spark):
     assert {r.file_id: r.name for r in got.collect()} == {1: "x.s01e02.Arabic.srt", 2: "x.e20.ar.srt", 3: "only.sample.srt"}
 
 
+def test_languages_are_no_patterns(spark):
+    """A tag that no list has is looked for as it stands, whatever characters it is made of."""
+    rows = [(k, n, name, 100 - n, None, tag) for k, tag in enumerate(["c++", "(", "[x", "a.c"]) for n, name in enumerate(["other.srt", f"film {tag} x.srt", "film abc x.srt"])]
+    got = formats.choose_file(spark.createDataFrame(rows, "file_id int, ordinal int, name string, bytes long, episode int, language string"))
+    assert {r.file_id: r.ordinal for r in got.collect()} == {0: 1, 1: 1, 2: 1, 3: 1}
+
+
 def test_catalogues(spark):
     one = json.dumps({"data": [{"attributes": {"language": "en", "files": [{"file_id": 7, "file_name": "a"}, {"file_id": 8}]}}, {"attributes": {"language": "fr", "files": [{"file_id": 7}]}}]})
     two = json.dumps({"subtitles": [{"url": "/a", "language": "EN", "release_name": "r", "unpack_files": [{"url": "/b", "language": ""}, {"url": ""}]}, {"url": "/c", "language": "de"}, {"url": "/d"}]})

@@ -17,9 +17,13 @@ LABEL_WIDTH = 18
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility form; Spark has no function for it."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+def composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility form. Spark has no function for it, so texts that it can change leave the JVM, and only these: for others a null travels."""
+    return F.coalesce(composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def stable_key(*parts: Column) -> Column:

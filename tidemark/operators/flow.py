@@ -12,31 +12,6 @@ SOURCES, OVERRIDE_BAR, OVERRIDE_STEP, OVERRIDE_RANK, OVERRIDE_ADDS = 5, 75, 5, 3
 REFRESH_MS, WAIT_MS, REMOVED = 60_000, 12_000, 200
 
 
-def first_source(fits: DataFrame, bar: int) -> DataFrame:
-    """fits (release, source_rank, source_confidence, target, target_confidence): the first of SOURCES sources that some target fits, with its best target; confidence is the lesser of both. Sources below the bar, and targets below it, don't count."""
-    good = fits.where((F.col("source_rank") <= SOURCES) & (F.col("source_confidence") >= bar) & (F.col("target_confidence") >= bar))
-    order = Window.partitionBy("release").orderBy("source_rank", F.desc("target_confidence"), "target", F.desc("source_confidence"))
-    best = good.withColumn("n", F.row_number().over(order)).where("n = 1")
-    return best.select("release", "source_rank", "target", F.least("source_confidence", "target_confidence").alias("confidence"))
-
-
-def routes(releases: DataFrame, by_source: DataFrame, by_reference: DataFrame, by_audio: DataFrame, bar: int, audio_bar: int) -> DataFrame:
-    """(release, route, target, confidence): by a source track in the spoken language, else by a reference in another language, else by audio; audio must pass a higher bar, with a good rank, where a trusted track has rejected the targets.
-
-    releases: release, trusted; by_source: release, target, confidence; by_reference: release, target, confidence (combined); by_audio: release, target, confidence, rank.
-    """
-    best = lambda df, *more: df.groupBy("release").agg(F.max_by(F.struct("target", "confidence", *more), F.struct("confidence", "target", *more)).alias("b"))
-    source = best(by_source.where(F.col("confidence") >= bar)).withColumnRenamed("b", "s")
-    reference = best(by_reference.where(F.col("confidence") >= bar)).withColumnRenamed("b", "r")
-    audio = best(by_audio.where(F.col("confidence") >= audio_bar), "rank").withColumnRenamed("b", "a")
-    out = releases.join(source, "release", "left").join(reference, "release", "left").join(audio, "release", "left")
-    above = F.greatest(F.lit(OVERRIDE_BAR), F.lit(audio_bar + OVERRIDE_STEP))
-    heard = F.when(~F.col("trusted"), F.col("a.confidence")).when((F.col("a.confidence") >= above) & (F.col("a.rank") >= OVERRIDE_RANK), F.least(F.col("a.confidence"), F.col("a.rank") + OVERRIDE_ADDS))
-    route = F.when(F.col("s").isNotNull(), "source").when(F.col("r").isNotNull(), "reference").when(heard.isNotNull(), "audio")
-    pick = lambda c: F.when(route == "source", F.col(f"s.{c}")).when(route == "reference", F.col(f"r.{c}"))
-    return out.select("release", route.alias("route"), pick("target").when(route == "audio", F.col("a.target")).alias("target"), pick("confidence").when(route == "audio", heard).cast("int").alias("confidence"))
-
-
 def translation_gate(mode: Column, asked: Column, source_language: Column, target_language: Column) -> Column:
     """null where a translation may go ahead, else why not."""
     return F.when((mode == "off") | ((mode == "manual") & ~F.coalesce(asked, F.lit(False))), "not requested").when(source_language == target_language, "same language")

@@ -26,14 +26,17 @@ def normal_name(name: Column) -> Column:
 
 
 def signature(name: Column) -> Column:
-    """struct(normalized, source, edition, group, fps, season, episode); missing parts are null."""
-    normal = normal_name(name)
-    part = lambda pattern, k: F.nullif(F.regexp_extract(normal, pattern, k), F.lit(""))
-    source = F.coalesce(*[F.when(normal.rlike(p), F.lit(k)) for k, p in SOURCES.items()])
-    edition = F.coalesce(*[F.when(normal.contains(e), F.lit(e)) for e in EDITIONS])
+    """struct(normalized, source, edition, group, fps, season, episode); missing parts are null. The normal form is bound once for all parts that read it."""
     group = F.lower(F.nullif(F.regexp_extract(F.regexp_replace(name, EXTENSION, ""), "-([A-Za-z0-9]{2,20})$", 1), F.lit("")))
     episode = r"\bs(\d{1,3})e(\d{1,3})\b"
-    return F.struct(normal.alias("normalized"), source.alias("source"), edition.alias("edition"), group.alias("group"), part(FPS, 1).cast("double").alias("fps"), part(episode, 1).cast("int").alias("season"), part(episode, 2).cast("int").alias("episode"))
+
+    def parts(normal: Column) -> Column:
+        part = lambda pattern, k: F.nullif(F.regexp_extract(normal, pattern, k), F.lit(""))
+        source = F.coalesce(*[F.when(normal.rlike(p), F.lit(k)) for k, p in SOURCES.items()])
+        edition = F.coalesce(*[F.when(normal.contains(e), F.lit(e)) for e in EDITIONS])
+        return F.struct(normal.alias("normalized"), source.alias("source"), edition.alias("edition"), group.alias("group"), part(FPS, 1).cast("double").alias("fps"), part(episode, 1).cast("int").alias("season"), part(episode, 2).cast("int").alias("episode"))
+
+    return F.get(F.transform(F.array(normal_name(name)), parts), F.lit(0))
 
 
 def name_tokens(normal: Column) -> Column:

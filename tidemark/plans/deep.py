@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import flow, service, sound, state
+from ..operators import text as spoken
+from ..sources import timedtext
 from . import dialect
-from .registry import CANDIDATES, FRAMES, PLAIN, VISITS, adapter, query
+from .registry import CANDIDATES, FILES, FRAMES, PLAIN, SQL, VISITS, adapter, query
 
 RATE = 133  # four samples a frame
 
@@ -70,3 +72,16 @@ def asked_jobs(spark, sf_dir):
     seen = adapter(spark, sf_dir, dialect.visits)
     key = F.concat_ws("|", F.col("item").cast("string"), (F.col("client") % 3).cast("string"), (F.col("kind") == "purchase").cast("string"))
     return seen.select(key.alias("key"), "event_id", "at_ms", (F.col("at_ms") + F.col("event_id") * 37 % 40000).alias("done_ms"), (F.col("event_id") % 6 == 0).alias("fails"))
+
+
+@query("D1_bytes_to_cues", SQL["D8_parse_srt"])
+def cues_of_bytes(spark, sf_dir):
+    """Files as bytes (UTF-8 with and without a mark, UTF-16, WebVTT), decoded, told apart, turned into SRT and parsed: the cues are those of the plain files."""
+    files = adapter(spark, sf_dir, FILES)
+    n, bytes_of = F.col("track_id") % 4, lambda c, e="UTF-8": F.encode(c, e)
+    vtt = F.concat(F.lit("WEBVTT\n\n"), F.regexp_replace("content", r"(\d\d:\d\d:\d\d),(\d{3})", "$1.$2"))
+    content = F.when(n == 1, bytes_of(F.col("content"), "UTF-16")).when(n == 2, bytes_of(vtt)).when(n == 3, F.concat(F.unhex(F.lit("EFBBBF")), bytes_of(F.col("content")))).otherwise(bytes_of(F.col("content")))
+    none = F.lit(None)
+    raw = files.select(F.col("track_id").alias("file_id"), F.lit("file").alias("name"), content.alias("content"), none.cast("string").alias("language"), none.cast("int").alias("episode"))
+    made = timedtext.prepared(raw).where("error is null")
+    return spoken.parse_srt(made.select(F.col("file_id").alias("track_id"), "content"))

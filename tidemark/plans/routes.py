@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import routing
-from .registry import PLAIN, adapter, query
+from .registry import PLAIN, RANKED, SQL, adapter, query
 
 BAR, ACTIVITY_BAR = 58, 70
 COLUMNS = ", ".join(routing.CANDIDATE)
@@ -24,14 +24,14 @@ def tracks(d) -> str:
       CAST(l_quantity AS INT) + 20 AS score, CAST(floor((l_orderkey * 37 + l_linenumber * 11) % 101 * 3 / 4.0) AS INT) AS confidence, l_orderkey % 7 > 0 AS settles FROM {d.table("lineitem")}"""
 
 
-def best(name: str, rows: str, bar: int) -> str:
-    """CTEs whose last one, `name`, has the position that a search in waves through `rows` ends with."""
-    return f"""{name}_l AS (SELECT release, list({{'k': position, 'p': provider, 's': score, 'c': confidence}} ORDER BY position)[1:10] AS rem FROM {rows} GROUP BY release),
-{name}_r AS (SELECT release, rem, list_filter(rem, lambda x: false) AS acc, 0 AS waves, 0 AS d FROM {name}_l UNION ALL
-  SELECT release, list_filter(rem, lambda x: NOT list_contains(wave, x)), got, CASE WHEN len(got) > 0 THEN waves + 1 ELSE 0 END, d + 1 FROM (SELECT *, acc || list_filter(wave, lambda x: x.c >= {bar}) AS got FROM (SELECT *, firsts || others[1:3 - len(firsts)] AS wave
+def best(name: str, rows: str, bar: int, most: int = 10) -> str:
+    """CTEs whose last one, `name`, has the position that a search in waves through the first `most` of `rows` ends with, its wave and its seat."""
+    return f"""{name}_l AS (SELECT release, list({{'k': position, 'p': provider, 's': score, 'c': confidence}} ORDER BY position)[1:{most}] AS rem FROM {rows} GROUP BY release),
+{name}_r AS (SELECT release, rem, []::STRUCT(k BIGINT, s INT, c INT, w INT, seat INT)[] AS acc, 0 AS waves, 0 AS d FROM {name}_l UNION ALL
+  SELECT release, list_filter(rem, lambda x: NOT list_contains(wave, x)), got, CASE WHEN len(got) > 0 THEN waves + 1 ELSE 0 END, d + 1 FROM (SELECT *, acc || list_filter(list_transform(wave, lambda x, i: {{'k': x.k::BIGINT, 's': x.s::INT, 'c': x.c::INT, 'w': d, 'seat': (i - 1)::INT}}), lambda x: x.c >= {bar}) AS got FROM (SELECT *, firsts || others[1:3 - len(firsts)] AS wave
     FROM (SELECT *, list_filter(rem, lambda x: NOT list_contains(firsts, x)) AS others FROM (SELECT *, list_filter(rem, lambda x, i: list_position(list_transform(rem, lambda y: y.p), x.p) = i)[1:3] AS firsts FROM {name}_r
     WHERE len(rem) > 0 AND waves < 2 AND NOT (waves = 1 AND list_max(list_transform(acc, lambda x: x.c)) >= least(90, {bar} + 15))))))),
-{name} AS (SELECT release, x.k AS position FROM (SELECT release, unnest(acc) AS x, generate_subscripts(acc, 1) AS o FROM (SELECT release, arg_max(acc, d) AS acc FROM {name}_r GROUP BY release))
+{name} AS (SELECT release, x.k AS position, x.w AS wave, x.seat AS seat FROM (SELECT release, unnest(acc) AS x, generate_subscripts(acc, 1) AS o FROM (SELECT release, arg_max(acc, d) AS acc FROM {name}_r GROUP BY release))
   QUALIFY row_number() OVER (PARTITION BY release ORDER BY 0.82::DOUBLE * x.c + 0.18::DOUBLE * x.s DESC, o) = 1)"""
 
 
@@ -81,3 +81,8 @@ def completed(spark, sf_dir):
 
     out = routing.complete(adapter(spark, sf_dir, asked), of("source"), of("target"), of("fallback"), against, BAR, ACTIVITY_BAR)
     return out.fillna({"route": "", "candidate": "", "confidence": -1, "reason": ""})
+
+
+WON = f"""WITH RECURSIVE rk AS (SELECT request_id AS release, request_id, provider, provider_id, score, position, CAST((ordinal * 37 + request_id * 11) % 101 AS INT) AS confidence FROM ({RANKED} SELECT * FROM ranked)), {best("b", "rk", BAR, 10**6)}
+SELECT request_id, provider, provider_id, score, confidence, wave, seat FROM rk JOIN b USING (release, position)"""
+SQL["R8_select_winner"] = WON

@@ -146,27 +146,6 @@ def usage(spark, sf_dir):
     return flow.audio_usage(adapter(spark, sf_dir, USAGE))
 
 
-FITS = lambda d: f"SELECT l_orderkey AS release, CAST(l_linenumber AS INT) AS source_rank, CAST(l_partkey * 7 % 101 AS INT) AS source_confidence, l_suppkey AS target, CAST(l_suppkey * 13 % 101 AS INT) AS target_confidence, CAST(l_quantity AS INT) AS rank FROM {d.table('lineitem')}"
-
-
-@query("P2_first_source", f"SELECT release, source_rank, target, least(source_confidence, target_confidence) AS confidence FROM ({FITS(PLAIN)}) WHERE source_rank <= 5 AND source_confidence >= 58 AND target_confidence >= 58 QUALIFY row_number() OVER (PARTITION BY release ORDER BY source_rank, target_confidence DESC, target, source_confidence DESC) = 1")
-def first_source(spark, sf_dir):
-    return flow.first_source(adapter(spark, sf_dir, FITS), 58)
-
-
-@query("P3_routes", f"""WITH f AS ({FITS(PLAIN)}), r AS (SELECT release, bool_or(source_confidence >= 58) AS trusted FROM f GROUP BY 1), s AS ({{P2}}),
-e AS (SELECT release, max_by(target, (least(source_confidence, target_confidence), target)) AS target, max(least(source_confidence, target_confidence)) AS c FROM f WHERE source_rank > 5 AND least(source_confidence, target_confidence) >= 58 GROUP BY 1),
-a AS (SELECT release, max_by(target, (target_confidence, target)) AS target, max(target_confidence) AS c, max_by(rank, (target_confidence, target, rank)) AS rank FROM f WHERE target_confidence >= 70 GROUP BY 1),
-h AS (SELECT r.release, s.target AS st, s.confidence AS sc, e.target AS et, e.c AS ec, a.target AS at_, CASE WHEN NOT trusted THEN a.c WHEN a.c >= 75 AND a.rank >= 35 THEN least(a.c, a.rank + 35) END AS ac FROM r LEFT JOIN s USING (release) LEFT JOIN e ON e.release = r.release LEFT JOIN a ON a.release = r.release)
-SELECT release, CASE WHEN st IS NOT NULL THEN 'source' WHEN et IS NOT NULL THEN 'reference' WHEN ac IS NOT NULL THEN 'audio' ELSE 'none' END AS route, CASE WHEN st IS NOT NULL THEN st WHEN et IS NOT NULL THEN et WHEN ac IS NOT NULL THEN at_ ELSE -1 END AS target, CAST(coalesce(sc, ec, ac, 0) AS INT) AS confidence FROM h""".replace("{P2}", SQL["P2_first_source"]))
-def routes(spark, sf_dir):
-    """The route of each release."""
-    fits = adapter(spark, sf_dir, FITS)
-    releases = fits.groupBy("release").agg(F.max(F.col("source_confidence") >= 58).alias("trusted"))
-    reference = fits.where("source_rank > 5").select("release", "target", F.least("source_confidence", "target_confidence").alias("confidence"))
-    return flow.routes(releases, flow.first_source(fits, 58), reference, fits.select("release", "target", F.col("target_confidence").alias("confidence"), "rank"), 58, 70).fillna({"route": "none", "target": -1, "confidence": 0})
-
-
 @query("P5_translation_gate", f"SELECT run_id, CASE WHEN run_id % 4 = 0 OR (run_id % 4 = 1 AND run_id % 3 > 0) THEN 'not requested' WHEN run_id % 5 = run_id % 6 THEN 'same language' END AS refusal FROM ({RUNS})")
 def gate(spark, sf_dir):
     n = F.col("run_id")

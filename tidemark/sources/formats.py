@@ -20,7 +20,7 @@ from ..operators.text import language
 MOST_ARCHIVE, MOST_FILE = 15 << 20, 5 << 20
 EXTENSIONS = ("srt", "vtt", "ass", "ssa")
 JUNK, SAMPLE = r"(?:^|/)(?:__MACOSX/|\._)", r"(?i)\b(?:sample|trailer|preview)\b"
-EPISODE = ("(?i)(?:s\\d{1,3}e|e|episode[ ._-]*)0?", "(?:\\D|$)")
+EPISODE = r"(?i)(?:s\d{1,3}e|e|episode[ ._-]*)0?{episode}(?:\D|$)"
 LANGUAGE_NAMES = {"ar": ["ar", "ara", "arabic", "العربية"], "en": ["en", "eng", "english"], "ja": ["ja", "jpn", "japanese"], "fr": ["fr", "fra", "fre", "french"], "es": ["es", "spa", "spanish"]}
 ENCODINGS = ("cp1256", "cp1252", "iso8859_6", "utf-8")
 
@@ -51,14 +51,14 @@ def unpack(files: DataFrame) -> DataFrame:
 def names_language(name: Column, language: Column) -> Column:
     """Whether a file name has one of a language's names as a word of its own."""
     markers = F.create_map(*[F.lit(x) for k, v in LANGUAGE_NAMES.items() for x in (k, "|".join(v))])
-    pattern = F.concat(F.lit(r"(?iu)(?:^|[^\p{L}\p{N}])(?:"), F.coalesce(F.try_element_at(markers, language), language), F.lit(r")(?:$|[^\p{L}\p{N}])"))
+    pattern = F.concat(F.lit(r"(?iu)(?:^|[^\p{L}\p{N}])(?:"), F.coalesce(F.try_element_at(markers, language), F.concat(F.lit(r"\Q"), F.replace(language, F.lit(r"\E"), F.lit("")), F.lit(r"\E"))), F.lit(r")(?:$|[^\p{L}\p{N}])"))
     return F.coalesce(F.regexp_like(name, pattern), F.lit(False))
 
 
 def choose_file(entries: DataFrame) -> DataFrame:
     """One entry (file_id, ordinal, name, bytes, the wanted episode's number and the language, which may be null) per archive: those that name the episode if any do, of these those that name the language if any do, full ones before samples, then the largest, then the first."""
     good = entries.where(F.col("name").rlike(rf"(?i)\.(?:{'|'.join(EXTENSIONS)})$") & ~F.col("name").rlike(JUNK) & (F.col("bytes") <= MOST_FILE))
-    marker = F.concat(F.lit(EPISODE[0]), F.col("episode").cast("string"), F.lit(EPISODE[1]))
+    marker = F.replace(F.lit(EPISODE), F.lit("{episode}"), F.col("episode").cast("string"))
     tests = [F.coalesce(F.regexp_like("name", marker), F.lit(False)), names_language(F.col("name"), language(F.col("language"))), ~F.col("name").rlike(SAMPLE)]
     group = Window.partitionBy("file_id")
     for test in tests:
