@@ -8,7 +8,7 @@ from ..operators import flow, service, sound, state
 from ..operators import text as spoken
 from ..sources import timedtext
 from . import dialect
-from .registry import CANDIDATES, FILES, FRAMES, PLAIN, SQL, VISITS, adapter, query
+from .registry import CANDIDATES, FILES, FRAMES, PLAIN, SQL, TIMES, VISITS, adapter, query
 
 RATE = 133  # four samples a frame
 
@@ -85,3 +85,20 @@ def cues_of_bytes(spark, sf_dir):
     raw = files.select(F.col("track_id").alias("file_id"), F.lit("file").alias("name"), content.alias("content"), none.cast("string").alias("language"), none.cast("int").alias("episode"))
     made = timedtext.prepared(raw).where("error is null")
     return spoken.parse_srt(made.select(F.col("file_id").alias("track_id"), "content"))
+
+
+# The cleaning of cues as a loop: kept cues that can't be reached any more leave the state.
+LOOP = f"""WITH RECURSIVE raw AS (SELECT track_id, k + 1 AS id, (start_ms - CASE WHEN k % 7 = 3 THEN 1200 ELSE 0 END)::DOUBLE AS s, (CASE WHEN k % 11 = 5 THEN 90 WHEN k % 13 = 4 THEN 300 ELSE length_ms END)::DOUBLE AS n, 'Line ' || (k - CASE WHEN k % 7 = 3 THEN 1 ELSE 0 END) AS t FROM ({TIMES})),
+c AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY s, s + n, id) AS i, {{'s': s, 'e': s + n, 't': t, 'key': lower(t)}} AS c FROM raw),
+r AS (SELECT track_id, 0::BIGINT AS i, []::STRUCT(s DOUBLE, e DOUBLE, t VARCHAR, key VARCHAR)[] AS kept, []::STRUCT(s DOUBLE, e DOUBLE, t VARCHAR, key VARCHAR)[] AS gone, 0 AS merges FROM c GROUP BY 1 UNION ALL
+  SELECT track_id, i, CASE WHEN spot IS NULL THEN list_append(live, c) ELSE list_transform(live, lambda x, j: CASE WHEN j = spot THEN {{'s': least(x.s, c.s), 'e': greatest(x.e, c.e), 't': CASE WHEN fuller THEN c.t ELSE x.t END, 'key': CASE WHEN fuller THEN c.key ELSE x.key END}} ELSE x END) END, gone, CASE WHEN spot IS NULL THEN 0 ELSE 1 END
+  FROM (SELECT *, coalesce(twin, CASE WHEN len(live) > 0 AND abs(live[-1].s - c.s) <= 250 AND (starts_with(live[-1].key, c.key) OR starts_with(c.key, live[-1].key)) THEN len(live) END) AS spot, twin IS NULL AND length(c.key) > length(live[-1].key) AS fuller
+    FROM (SELECT *, list_max(list_filter(generate_series(1, len(live)), lambda j: live[j].key = c.key)) AS twin FROM (SELECT *, kept[early + 1:] AS live, kept[1:early] AS gone
+      FROM (SELECT c.track_id, c.i, c.c, r.kept, coalesce(list_max(list_filter(generate_series(1, len(r.kept)), lambda j: r.kept[j].e + 250 < c.c.s)), 0) AS early FROM r JOIN c ON c.track_id = r.track_id AND c.i = r.i + 1))))),
+m AS (SELECT track_id, sum(merges) AS merged, max(i) AS last FROM r GROUP BY 1),
+k AS (SELECT track_id, i, generate_subscripts(gone, 1) AS j, unnest(gone) AS x FROM r UNION ALL SELECT r.track_id, i + 1, generate_subscripts(kept, 1), unnest(kept) FROM r JOIN m ON r.track_id = m.track_id AND i = last),
+v AS (SELECT track_id, i, j, x.s AS s, x.e AS e, x.t AS t, x.e - x.s < 160 AS gone, least(x.s + 500, coalesce(lead(x.s) OVER (PARTITION BY track_id ORDER BY i, j) - 20, x.s + 500)) AS wanted FROM k),
+h AS (SELECT *, NOT gone AND e - s < 500 AND wanted > e AS held, sum(gone::INT) OVER (PARTITION BY track_id) AS removed FROM v), y AS (SELECT track_id, i, j, s, CASE WHEN held THEN wanted ELSE e END AS e, t, held, removed FROM h WHERE NOT gone),
+z AS (SELECT *, lead(s) OVER (PARTITION BY track_id ORDER BY i, j) AS after, row_number() OVER (PARTITION BY track_id ORDER BY i, j) AS id FROM y), q AS (SELECT *, coalesce(e > after AND e - after <= 180 AND after - s >= 500, false) AS cut FROM z)
+SELECT track_id, CAST(id AS INT) AS id, s AS start_ms, CASE WHEN cut THEN after ELSE e END AS end_ms, t AS text, CAST(removed AS INT) AS removed, CAST(merged AS INT) AS merged, CAST(sum(held::INT + cut::INT) OVER (PARTITION BY track_id) AS INT) AS adjusted FROM q JOIN m USING (track_id)"""
+SQL["C5_stabilise_cues"] = LOOP
