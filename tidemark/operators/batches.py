@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.values import nfkc
 
@@ -12,27 +12,42 @@ from ..functions.values import nfkc
 LOOK_BACK, PAUSE_MS = 12, 2500
 # How many cues make a comparison, and the share of them that may stay unchanged.
 COMPARABLE, UNCHANGED = 10, 0.25
+NEWEST = "array<struct<size:int,pause:boolean>>"
 ROWS = "array<struct<id:bigint,text:string>>"
 
 
+def split_at(state: Column, cue: Column, most_cues: int, most_chars: int) -> Column:
+    """The state of batching after one more cue: starts of batches so far, place, cues and characters of the open batch, and the size of its newest LOOK_BACK cues, each with whether a long pause comes before it."""
+    n, newest = state["n"], state["newest"]
+    m = F.size(newest)
+    full = (n >= most_cues) | ((n > 0) & (state["chars"] + cue["size"] > most_chars))
+    # A batch's own first cue is no place to end it.
+    places = F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
+    pause = F.array_max(F.filter(places, lambda p: F.element_at(newest, p)["pause"] & ((p > 1) | (m < n))))
+    tail = F.when(pause.isNull(), F.array().cast(NEWEST)).otherwise(F.slice(newest, F.coalesce(pause, F.lit(1)), m))
+    kept = F.when(full, tail).otherwise(newest)
+    longer = F.array_append(kept, F.struct(cue["size"].alias("size"), cue["pause"].alias("pause")))
+    return F.struct(
+        F.when(full, F.array_append(state["starts"], state["at"] - F.size(tail))).otherwise(state["starts"]).alias("starts"),
+        (state["at"] + 1).alias("at"),
+        (F.when(full, F.size(tail)).otherwise(n) + 1).alias("n"),
+        (F.when(full, F.aggregate(tail, F.lit(0), lambda x, c: x + c["size"])).otherwise(state["chars"]) + cue["size"]).alias("chars"),
+        F.slice(longer, F.greatest(F.lit(1), F.size(longer) - LOOK_BACK + 1), LOOK_BACK).alias("newest"),
+    )
+
+
 def batch_cues(cues: DataFrame, most_cues: int, most_chars: int) -> DataFrame:
-    """Adds batch (from 0) to a track's cues: full batches end at the last long pause among their newest cues, whose rest starts the next."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").reset_index(drop=True)
-        start, end, size = rows["start_ms"].tolist(), rows["end_ms"].tolist(), [len(t or "") for t in rows["text"]]
-        batch, number, first = [0] * len(rows), 0, 0
-        for i in range(len(rows)):
-            n = i - first
-            if n and (n >= most_cues or sum(size[first:i]) + size[i] > most_chars):
-                pauses = [k for k in range(first + max(1, n - LOOK_BACK), i) if start[k] - end[k - 1] >= PAUSE_MS]
-                first, number = pauses[-1] if pauses else i, number + 1
-            batch[first : i + 1] = [number] * (i + 1 - first)
-        rows["batch"] = batch
-        return rows
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cues.schema) + ", batch int"
-    return cues.groupBy("track_id").applyInPandas(run, schema)
+    """Adds batch (from 0) to a track's cues: full batches end at the last long pause among their newest cues, whose rest starts the next. A track's cues are one array, folded in the JVM; a track is one title, so its size is bounded."""
+    before = F.lag("end_ms").over(Window.partitionBy("track_id").orderBy("id"))
+    told = cues.withColumn("pause", F.coalesce(F.col("start_ms") - before >= PAUSE_MS, F.lit(False))).withColumn("size", F.length(F.coalesce("text", F.lit(""))))
+    rest = [c for c in cues.columns if c not in ("track_id", "id")]
+    listed = told.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("id", *rest, "size", "pause"))).alias("listed"))
+    start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast(NEWEST).alias("newest"))
+    folded = listed.select("track_id", "listed", F.aggregate("listed", start, lambda state, cue: split_at(state, cue, most_cues, most_chars))["starts"].alias("starts"))
+    each = folded.select("track_id", "listed", "starts", F.posexplode("starts").alias("batch", "first"))
+    end = F.coalesce(F.get("starts", F.col("batch") + 1), F.size("listed"))
+    parts = each.select("track_id", "batch", F.explode(F.slice("listed", F.col("first") + 1, end - F.col("first"))).alias("c"))
+    return parts.select(*[F.col("track_id") if c == "track_id" else F.col(f"c.{c}") for c in cues.columns], "batch")
 
 
 def answer_rows(answers: DataFrame) -> DataFrame:

@@ -102,3 +102,13 @@ h AS (SELECT *, NOT gone AND e - s < 500 AND wanted > e AS held, sum(gone::INT)
 z AS (SELECT *, lead(s) OVER (PARTITION BY track_id ORDER BY i, j) AS after, row_number() OVER (PARTITION BY track_id ORDER BY i, j) AS id FROM y), q AS (SELECT *, coalesce(e > after AND e - after <= 180 AND after - s >= 500, false) AS cut FROM z)
 SELECT track_id, CAST(id AS INT) AS id, s AS start_ms, CASE WHEN cut THEN after ELSE e END AS end_ms, t AS text, CAST(removed AS INT) AS removed, CAST(merged AS INT) AS merged, CAST(sum(held::INT + cut::INT) OVER (PARTITION BY track_id) AS INT) AS adjusted FROM q JOIN m USING (track_id)"""
 SQL["C5_stabilise_cues"] = LOOP
+
+
+# Batches as a loop over each track's cues, with the newest twelve of the open batch.
+SQL["T1_batches"] = f"""WITH RECURSIVE c AS (SELECT track_id, k AS id, start_ms, start_ms + length_ms AS end_ms, 'Line ' || k AS text, row_number() OVER w - 1 AS i, length('Line ' || k)::INT AS size, coalesce(start_ms - lag(start_ms + length_ms) OVER w >= 2500, false) AS pause FROM ({TIMES}) WINDOW w AS (PARTITION BY track_id ORDER BY k)),
+r AS (SELECT track_id, 0::BIGINT AS place, 0::BIGINT AS first, 0::BIGINT AS chars, []::STRUCT(size INT, pause BOOLEAN)[] AS newest FROM c GROUP BY 1 UNION ALL
+  SELECT track_id, place + 1, CASE WHEN filled THEN place - len(tail) ELSE first END, CASE WHEN filled THEN coalesce(list_sum(list_transform(tail, lambda x: x.size)), 0) ELSE chars END + size, (list_append(tail, {{'size': size, 'pause': pause}}))[-12:]
+  FROM (SELECT *, CASE WHEN NOT filled THEN newest WHEN spot IS NULL THEN newest[1:0] ELSE newest[spot:] END AS tail
+    FROM (SELECT r.*, size, pause, place - first >= 40 OR (place > first AND chars + size > 400) AS filled, list_max(list_filter(generate_series(1, len(newest)), lambda p: newest[p].pause AND (p > 1 OR len(newest) < place - first))) AS spot FROM r JOIN c ON c.track_id = r.track_id AND c.i = r.place))),
+s AS (SELECT DISTINCT track_id, first AS i, 1 AS opens FROM r)
+SELECT track_id, id, start_ms, end_ms, text, CAST(sum(coalesce(opens, 0)) OVER (PARTITION BY track_id ORDER BY i) - 1 AS INT) AS batch FROM c LEFT JOIN s USING (track_id, i)"""
