@@ -191,7 +191,9 @@ def visited(met: DataFrame, sets: DataFrame, similar: float, tasks: int) -> Data
 def candidates(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """(g, node, n): members of every group of two nodes or more; of groups with the same members one. nodes: (node, size, bands); groups: (node, g). Nodes without shingles have no links."""
     rows = nodes.select("node", F.explode("bands").alias("g")).union(groups.join(nodes.where("size > 0").select("node"), "node", "left_semi").select("node", "g"))
-    return candidates_again(rows)
+    # Most bands are one text's alone: their counts go ahead of the rows.
+    common = saved(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "common-groups")
+    return candidates_again(rows.join(common, "g", "left_semi"))
 
 
 def centers(met: DataFrame) -> DataFrame:
