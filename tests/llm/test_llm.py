@@ -453,6 +453,23 @@ def test_disclosure_equals_brute_force(spark):
     assert all(clean[k] == t for k, t in enumerate(rows[:100]))
 
 
+def test_revealing_terms_go_where_the_entity_is_absent(spark):
+    """A word that discloses an entity is a span in every document, also beside a span that it touches or without any."""
+    rows = [prose(30, 2000 + k) for k in range(100)]
+    rows += [f"{prose(60, 2200 + k)} Zorblax {prose(40, 2250 + k)} me@x.org {prose(60, 2300 + k)}" for k in range(4)]
+    rows += [f"{prose(9, 2400)} Zorblax, zorblax; {prose(9, 2401)}", f"{prose(9, 2402)} 10.2.3.4zorblax {prose(9, 2403)}", None]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in private.digest(frame).collect()}
+    for k, text in enumerate(rows):
+        places = {f"term:{m.start()}:{m.end()}" for m in re.finditer("(?i)zorblax", text or "")}
+        assert places <= set(got[k].split(",")), k
+    assert got[106] == "" and "ip:" in got[105]
+    clean = {r.doc_id: (r.text, r.n_chars) for r in private.sanitised(frame.withColumn("n_chars", F.length("text")), size="n_chars", everywhere=True).collect()}
+    assert all("orblax" not in (t or "") and n == (None if t is None else len(t)) for t, n in clean.values())
+    assert clean[106] == (None, None) and "<IP>" in clean[105][0]
+    assert all(clean[k] == (t, len(t)) for k, t in enumerate(rows[:100]) if "term" not in got[k])
+
+
 def test_running_sums(spark):
     r = random.Random(1)
     lists = [[r.randint(0, 9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 200, 5000)]

@@ -7,13 +7,15 @@ log(P(e | word) / P(e)) / log(1 / P(e)) of what is to be known about e, all prob
 information over self-information). It must stand beside e in MIN_SUPPORT documents at least whose mentions of e have
 different surroundings, and in different ones in MIN_VARIED of them (so not in copies of one text, even edited ones).
 
-Words that disclose DISCLOSURE or more are spans of kind "term" in the documents that mention e. In texts they are
+Words that disclose DISCLOSURE or more are spans of kind "term", in op7_private_data and the pipeline wherever they stand:
+a word that names e beside its address names it elsewhere as well. (sanitised() alone keeps to the documents that mention e
+unless it is told `everywhere`.) Where a word touches another span, what stands outside that span counts. In texts they are
 generalised: cut to their longest beginning, of MIN_PREFIX letters or more, that discloses less (all words with that
 beginning counted as one), marked by an asterisk; if there is none they are removed. Entities always give way to their kind.
 
-Counts stay small: entities of fewer than MIN_SUPPORT documents can't reach it and are left out, pairs whose share among
-documents with personal data alone is too small already go before the corpus is counted, and then only their words are
-counted.
+Counts stay small: entities of fewer than MIN_SUPPORT documents can't reach it and are left out; words of fewer documents
+with such entities, and pairs whose share among these alone is too small already, go before pairs are made, and then only the
+words that are left are counted in the corpus. A document's entities and words stand in one row, so pairs need no join.
 
 Patterns are written with possessive groups, which Java matches without recursion or going back, so very long texts need
 no stack; the results are those of the plain patterns.
@@ -27,9 +29,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import numbered, saved
+from .common import saved
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -98,11 +99,10 @@ def terms_in(text: Column) -> Column:
     return F.split(F.lower(text), NOT_TERM)
 
 
-def found_in(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(uid, doc_id, base, row): written once; row holds all columns of documents with a span, and is null for others."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    step = docs.select(F.struct(*columns).alias("row"), F.col(key).alias("doc_id"), base_spans(text).alias("base"))
-    return saved(step.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "base", F.when(F.size("base") > 0, F.col("row")).alias("row")), "private")
+def found_in(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """(uid, base, row): written once; row holds the given columns of every document."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), base_spans(text).alias("base"))
+    return saved(rows.select(F.monotonically_increasing_id().alias("uid"), "base", "row"), "private")
 
 
 def entities_of(span: Column) -> Column:
@@ -129,9 +129,14 @@ def mentions(found: DataFrame, text: str = "text") -> DataFrame:
     return named.groupBy("uid", "entity").agg(F.min_by("around", F.struct("start", "around")).alias("around"))
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of its spans, so that places stay."""
+    return redacted(text, F.transform(spans, lambda s: s.withField("kind", F.lit("term")).withField("value", F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int")))))
+
+
 def terms_outside(text: Column, spans: Column) -> Column:
-    """The distinct words of a text without what its spans cover."""
-    return F.array_remove(F.array_distinct(terms_in(redacted(text, F.transform(spans, lambda s: s.withField("kind", F.lit("term")).withField("value", F.lit(" ")))))), "")
+    """The distinct words of a text without what its spans cover, sorted."""
+    return F.sort_array(F.array_remove(F.array_distinct(terms_in(F.when(F.size(spans) == 0, text).otherwise(masked(text, spans)))), ""))
 
 
 def disclosed(both: Column, df: Column, n: Column, total: int) -> Column:
@@ -144,76 +149,98 @@ def light(df: DataFrame, column: str) -> DataFrame:
     return F.broadcast(df) if size["n"] <= BROADCAST_TERMS and (size["chars"] or 0) <= TERM_CHARS else df
 
 
-def revealing(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, disclosure, put): the terms that disclose too much, and what takes their place."""
-    none = docs.sparkSession.createDataFrame([], "entity string, term string, disclosure double, put string")
-    said = saved(mentions(found, text), "mentions")
+def most_documents(n: Column, total: int) -> Column:
+    """In how many documents a term may stand at most to disclose DISCLOSURE of an entity of n documents, with one beyond for rounding."""
+    return n * F.pow(F.lit(float(total)) / n, F.lit(1 - DISCLOSURE)) + 1
+
+
+def beginnings(words: Column, heads: DataFrame, rows: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, prefix): what the sorted words of each row begin with, as far as heads (head, most) ask for it, each once: a beginning that the word before has as well was counted with that one."""
+    n = F.size(words)
+    before = F.concat(F.array(F.lit("")), F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))))
+    each = rows.select(*keep, F.explode(F.arrays_zip(words.alias("word"), before.alias("before"))).alias("w")).select(*keep, "w.word", "w.before").where("word is not null")
+    each = each.join(heads, F.substring("word", 1, MIN_PREFIX) == F.col("head"))
+    sizes = F.sequence(F.lit(MIN_PREFIX), F.greatest(F.lit(MIN_PREFIX), F.least(F.length("word"), F.col("most"))))
+    each = each.select(*keep, "word", "before", F.explode(sizes).alias("size"))
+    cut = lambda c: F.substring(F.col(c), F.lit(1), F.col("size"))
+    return each.where(cut("word") != cut("before")).select(*keep, cut("word").alias("prefix"))
+
+
+def revealing(found: DataFrame, said: DataFrame, text: str = "text") -> DataFrame | None:
+    """(entity, term, put): the terms that disclose too much, and what takes their place; None if there are none. said: the mentions of found, saved."""
     of = said.groupBy("entity").agg(F.count("*").alias("n"), F.countDistinct("around").alias("varied")).where((F.col("varied") >= MIN_SUPPORT) & (F.col("varied") >= MIN_VARIED * MIN_SUPPORT))
-    of = saved(of.select("entity", "n"), "entities")
-    if of.isEmpty():
-        return none
     total = found.count()
-    said = said.join(of, "entity")
-    words = found.where(F.size("base") > 0).select("uid", F.explode(terms_outside(F.col("row")[text], F.col("base"))).alias("term"))
-    within = words.groupBy("term").agg(F.count("*").alias("least_df"))
-    near = words.join(said, "uid").groupBy("entity", "term").agg(F.count("*").alias("both"), F.countDistinct("around").alias("support"), F.first("n").alias("n"))
-    near = near.where((F.col("support") >= MIN_SUPPORT) & (F.col("support") >= MIN_VARIED * F.col("both")) & (F.col("n") < total)).join(within, "term")
+    of = saved(of.where(F.col("n") < total).select("entity", "n"), "entities")
+    if of.isEmpty():
+        return None
+    # The entities and words of a document stand in one row, so that pairs of them are made in place.
+    ents = said.join(light(of, "entity"), "entity").groupBy("uid").agg(F.collect_list(F.struct("entity", "n", "around")).alias("ents"))
+    own = found.where(F.size("base") > 0).select("uid", terms_outside(F.col("row")[text], F.col("base")).alias("terms"))
+    told = saved(own.join(ents, "uid").select("ents", "terms"), "told")
+    # A term's documents among these alone tell which pairs can't reach DISCLOSURE, before any pair is made.
+    most = of.agg(F.max(most_documents(F.col("n"), total))).first()[0]
+    within = told.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least_df"))
+    within = saved(within.where((F.col("least_df") >= MIN_SUPPORT) & (F.col("least_df") <= most)), "private-within")
+    pairs = told.select("ents", F.explode("terms").alias("term")).join(light(within, "term"), "term").select("term", "least_df", F.explode("ents").alias("e"))
+    pairs = pairs.select("e.entity", "term", "e.around", "e.n", "least_df").where(F.col("least_df") <= most_documents(F.col("n"), total))
+    near = pairs.groupBy("entity", "term", "around").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("least_df").alias("least_df"))
+    near = near.groupBy("entity", "term").agg(F.sum("k").alias("both"), F.count("*").alias("support"), F.first("n").alias("n"), F.first("least_df").alias("least_df"))
+    near = near.where((F.col("support") >= MIN_SUPPORT) & (F.col("support") >= MIN_VARIED * F.col("both")))
     near = saved(near.where(disclosed(F.col("both"), F.col("least_df"), F.col("n"), total) >= DISCLOSURE).select("entity", "term", "both", "n"), "private-near")
     if near.isEmpty():
-        return none
-    every = docs.select(F.explode(F.array_distinct(terms_in(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
-    df = every.join(light(near.select("term").distinct(), "term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        return None
+    whole = found.select(F.sort_array(F.array_distinct(terms_in(F.coalesce(F.col("row")[text], F.lit(""))))).alias("words"))
+    df = whole.select(F.explode("words").alias("term")).join(light(near.select("term").distinct(), "term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     out = near.join(df, "term").select("entity", "term", "n", disclosed(F.col("both"), F.col("df"), F.col("n"), total).alias("disclosure"))
     out = saved(out.where(F.col("disclosure") >= DISCLOSURE), "private-revealing")
     if out.isEmpty():
-        return none
+        return None
     # Beginnings of the terms, each with the documents that hold a word that begins so.
     sizes = F.sequence(F.lit(MIN_PREFIX), F.length("term") - 1)
     tried = out.where(F.length("term") > MIN_PREFIX).select("entity", "term", "n", F.explode(sizes).alias("size")).withColumn("prefix", F.substring(F.col("term"), F.lit(1), F.col("size")))
     heads = light(tried.select(F.substring("prefix", 1, MIN_PREFIX).alias("head"), F.col("size")).groupBy("head").agg(F.max("size").alias("most")), "head")
     prefixes = light(tried.select("prefix").distinct(), "prefix")
-    begun = found_words(docs, text).join(heads, F.substring("word", 1, MIN_PREFIX) == F.col("head"))
-    begun = begun.select("uid", F.explode(F.sequence(F.lit(MIN_PREFIX), F.greatest(F.lit(MIN_PREFIX), F.least(F.length("word"), F.col("most"))))).alias("size"), "word")
-    begun = begun.select("uid", F.substring(F.col("word"), F.lit(1), F.col("size")).alias("prefix")).join(prefixes, "prefix", "left_semi").distinct()
-    df = begun.groupBy("prefix").agg(F.count("*").alias("df"))
-    inside = words.select("uid", F.col("term").alias("word")).join(heads, F.substring("word", 1, MIN_PREFIX) == F.col("head")).select("uid", F.explode(F.sequence(F.lit(MIN_PREFIX), F.greatest(F.lit(MIN_PREFIX), F.least(F.length("word"), F.col("most"))))).alias("size"), "word")
-    inside = inside.select("uid", F.substring(F.col("word"), F.lit(1), F.col("size")).alias("prefix")).join(prefixes, "prefix", "left_semi").distinct()
-    both = inside.join(said.select("uid", "entity"), "uid").groupBy("entity", "prefix").agg(F.count("*").alias("both"))
+    df = beginnings(F.col("words"), heads, whole).join(prefixes, "prefix", "left_semi").groupBy("prefix").agg(F.count("*").alias("df"))
+    asked = light(out.select("entity").distinct(), "entity")
+    inside = beginnings(F.col("terms"), heads, told.select("ents.entity", "terms"), "entity").join(prefixes, "prefix", "left_semi")
+    both = inside.select("prefix", F.explode("entity").alias("entity")).join(asked, "entity", "left_semi").groupBy("entity", "prefix").agg(F.count("*").alias("both"))
     fits = tried.join(df, "prefix").join(both, ["entity", "prefix"]).where(disclosed(F.col("both"), F.col("df"), F.col("n"), total) < DISCLOSURE)
     longest = fits.groupBy("entity", "term").agg(F.max("size").alias("size"))
     put = F.coalesce(F.concat(F.substring(F.col("term"), F.lit(1), F.col("size")), F.lit("*")), F.lit(""))
-    return saved(out.join(longest, ["entity", "term"], "left").select("entity", "term", "disclosure", put.alias("put")), "private-terms")
-
-
-def found_words(docs: DataFrame, text: str) -> DataFrame:
-    """(uid, word): the distinct words of every document, under numbers of their own."""
-    rows = numbered(docs.select(F.col(text).alias("text")))
-    return rows.select(F.col("__row").alias("uid"), F.explode(F.array_distinct(terms_in(F.coalesce("text", F.lit(""))))).alias("word"))
-
-
-def term_spans(found: DataFrame, reveal: DataFrame, text: str = "text") -> DataFrame:
-    """(uid, terms): in documents that mention an entity, the places of the words that reveal it; a span's value is what takes its place, the shortest of what its entities ask for."""
-    base = found.where(F.size("base") > 0)
-    named = base.select("uid", F.explode("base").alias("s")).select("uid", F.explode(entities_of(F.col("s"))).alias("entity")).distinct()
-    wanted = named.join(reveal, "entity").groupBy("uid", "term").agg(F.min_by("put", F.struct(F.length("put"), "put")).alias("put"))
-    texts = base.join(wanted.select("uid").distinct(), "uid", "left_semi").select("uid", "base", F.col("row")[text].alias("t"))
-    words = texts.select("uid", F.posexplode(F.arrays_zip(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)).alias("w"), F.transform(F.split("t", TERM, -1), lambda p: F.length(p).cast("long")).alias("gap"))).alias("pos", "x"))
-    upto = F.sum(F.col("x.gap") + F.coalesce(F.length("x.w"), F.lit(0))).over(Window.partitionBy("uid").orderBy("pos"))
-    placed = words.select("uid", F.col("x.w").alias("w"), upto.alias("end")).where("w is not null").select("uid", F.lower("w").alias("term"), (F.col("end") - F.length("w")).alias("start"), "end")
-    hit = placed.join(wanted, ["uid", "term"])
-    hit = hit.select("uid", F.struct("start", F.lit(len(KINDS)).alias("no"), F.lit("term").alias("kind"), "end", F.col("put").alias("value")).alias("s"))
-    hit = hit.join(texts.select("uid", "base"), "uid").where(~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start"))))
-    return hit.groupBy("uid").agg(F.array_sort(F.collect_list("s")).cast(SPANS).alias("terms"))
-
-
-def all_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(uid, doc_id, base, row, spans): spans are the base ones and those of terms."""
-    found = found_in(docs, text, key)
-    reveal = revealing(docs, found, text)
-    if reveal.isEmpty():
-        return found.withColumn("spans", F.col("base"))
-    more = found.join(term_spans(found, reveal, text), "uid", "left")
-    return more.select("uid", "doc_id", "base", "row", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+    return saved(out.join(longest, ["entity", "term"], "left").select("entity", "term", put.alias("put")), "private-terms")
+
+
+def term_spans(found: DataFrame, said: DataFrame, reveal: DataFrame, text: str = "text", everywhere: bool = True) -> DataFrame:
+    """(uid, base, row, spans): the places of the words that reveal an entity, in all documents or in those that mention it, join the base spans; a span's value is what takes its place, the shortest of what its entities ask for."""
+    whole = F.coalesce(F.col("row")[text], F.lit(""))
+    words = found.select("uid", F.explode(terms_outside(whole, F.col("base"))).alias("term"))
+    shortest = F.min_by("put", F.struct(F.length("put"), "put")).alias("put")
+    if everywhere:
+        wanted = words.join(light(reveal.groupBy("term").agg(shortest), "term"), "term")
+    else:
+        wanted = words.join(light(reveal, "term"), "term").join(said.select("uid", "entity"), ["uid", "entity"]).groupBy("uid", "term").agg(shortest)
+    wanted = wanted.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("term", "put"))).alias("put"))
+    here = found.join(wanted, "uid", "left")
+    blank = masked(whole, F.col("base"))
+    pieces = F.arrays_zip(F.regexp_extract_all(blank, F.lit(TERM), F.lit(0)).alias("w"), F.transform(F.split(blank, TERM, -1), lambda p: F.length(p).cast("long")).alias("gap"))
+    span = lambda w, end: F.struct((end - F.length(w)).alias("start"), F.lit(len(KINDS)).alias("no"), F.lit("term").alias("kind"), end.alias("end"), F.element_at("put", F.lower(w)).alias("value"))
+
+    def onward(a: Column, x: Column) -> Column:
+        """One pass over the words and the gaps before them: where the text stands, and the spans so far."""
+        end = a["end"] + x["gap"] + F.coalesce(F.length(x["w"]), F.lit(0))
+        is_hit = F.coalesce(F.map_contains_key("put", F.lower(F.coalesce(x["w"], F.lit("")))), F.lit(False))
+        return F.struct(end.alias("end"), F.when(is_hit, F.concat(a["hit"], F.array(span(x["w"], end)).cast(SPANS))).otherwise(a["hit"]).alias("hit"))
+
+    hit = F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("end"), F.array().cast(SPANS).alias("hit")), onward, lambda a: a["hit"])
+    return here.select("uid", "base", "row", F.when(F.col("put").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", hit))).alias("spans"))
+
+
+def all_spans(docs: DataFrame, columns: list[str], text: str = "text", everywhere: bool = True) -> DataFrame:
+    """(uid, base, row, spans): spans are the base ones and those of terms."""
+    found = found_in(docs, columns, text)
+    said = saved(mentions(found, text), "mentions")
+    reveal = revealing(found, said, text)
+    return found.withColumn("spans", F.col("base")) if reveal is None else term_spans(found, said, reveal, text, everywhere)
 
 
 def written(spans: str) -> Column:
@@ -221,10 +248,10 @@ def written(spans: str) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    rows = all_spans(docs)
+    rows = all_spans(docs, ["doc_id", "text"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    return rows.select("row.doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -240,10 +267,11 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.concat(F.array_join(parts, ""), F.substring(text, (F.element_at(before, -1) + 1).cast("int"), F.length(text)))
 
 
-def sanitised(docs: DataFrame, text: str = "text", key: str = "doc_id", size: str | None = None) -> DataFrame:
-    """docs with their texts redacted; rows and columns stay. size: a column of text lengths to bring up to date."""
+def sanitised(docs: DataFrame, text: str = "text", size: str | None = None, everywhere: bool = False) -> DataFrame:
+    """docs with their texts redacted; rows and columns stay. size: a column of text lengths to bring up to date; everywhere: revealing words go from documents that don't mention their entity, too."""
     names = docs.columns
-    found = all_spans(docs, text, key).where("row is not null").select("row", redacted(F.col("row")[text], F.col("spans")).alias("clean"))
-    new = {text: F.col("clean")} | ({size: F.length("clean").cast(docs.schema[size].dataType)} if size in names else {})
-    changed = found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
-    return docs.where(F.size(base_spans(text)) == 0).unionByName(changed)
+    found = all_spans(docs, names, text, everywhere)
+    hit = F.size("spans") > 0
+    found = found.select("row", hit.alias("hit"), F.when(hit, redacted(F.col("row")[text], F.col("spans"))).otherwise(F.col("row")[text]).alias("clean"))
+    new = {text: F.col("clean")} | ({size: F.when(F.col("hit"), F.length("clean")).otherwise(F.col("row")[size]).cast(docs.schema[size].dataType)} if size in names else {})
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in names])
