@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -351,6 +352,33 @@ def test_long_strings_are_cut_only_where_tokens_end(monkeypatch):
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
+def test_chunks_that_differ_in_case_and_ends_are_encoded_once():
+    """Odd texts get the library's ids, and chunks that differ in case or in the signs after them aren't encoded one by one."""
+    enc = tokens.Encoder(tokens.DEFAULT)
+    r = random.Random(5)
+    signs = [*"aBÉé\u00df\u00d7\u00f7\u00ff'J\u030cI\u0307\u0130\u03a3\u03c21\u0663\u00b2\u00aa\u00b5.,!|><\u00a0\u3000\x85\x1c\x00_-~`[]{\U0001f600\u01c6\u017f\u212a\u0338=^\u00ad\u200d", "'s", "'LL", "...", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", *" " * 10, "\n"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(5000)]
+    for some in (texts[:2500], texts[2500:], texts[:100], []):
+        ids, offsets = enc.encoded(pa.array(some, pa.large_string()))
+        expected = [e.ids for e in enc.library.encode_batch_fast(some, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == expected
+        assert enc.counts(pa.array(some, pa.large_string())).tolist() == [len(x) for x in expected]
+
+    class Counted:
+        def __init__(self, library):
+            self.library, self.pieces = library, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.pieces += sum(len(t.split()) for t in texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+    enc = tokens.Encoder(tokens.DEFAULT)
+    enc.library = Counted(enc.library)
+    words = [w + end for k in range(50) for w in (f"w{chr(97 + k % 26)}x" * (k // 26 + 1), f"W{chr(97 + k % 26)}X" * (k // 26 + 1)) for end in ("", ".", ",", "!?", "%%%")]
+    enc.encoded(pa.array([" ".join(words)], pa.large_string()))
+    assert enc.library.pieces <= 54, "50 words and 4 endings of 500 chunks"
+
+
 def good(kind, value):
     d = re.sub("[^0-9]", "", value)
     luhn = sum(v - 9 if v > 9 else v for v in (int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(d))))

@@ -7,8 +7,9 @@ Input partitions are balanced by bytes by Spark's file splits, and Arrow batches
 encodes a batch of strings at a time, which are
 * the distinct white-space separated chunks of an Arrow batch, if the tokenizer drops white space and never looks across it
   (its file says so: the pre-tokenizer keeps what its pattern matches, the pattern excludes white space, and no special token
-  holds or eats any), so that a chunk's tokens don't depend on what stands around it; lengths of chunks seen before are kept,
-  up to CACHE_BYTES;
+  holds or eats any), so that a chunk's tokens don't depend on what stands around it; what was found for chunks is kept,
+  up to CACHE_BYTES. Where the file says that case doesn't matter and that letters are kept apart from other signs, chunks
+  are lower-cased and parted from the signs that end them, so that fewer differ;
 * whole texts with any other tokenizer.
 Either is cut, where it is longer than SEGMENT_CHARS, at the first place beyond that where tokens must end: `Encoder.cut`
 names it for each kind of tokenizer. A string without such a place (a million letters in a row) stays whole.
@@ -34,7 +35,8 @@ BATCH_BYTES = 4 << 20
 SEGMENT_CHARS = 1 << 20
 #: Bytes of chunks and of what is kept for them, in each worker.
 CACHE_BYTES = 64 << 20
-ENTRY_BYTES = 160
+#: Words that are encoded as one string where each is one pre-token, and their greatest length.
+JOINED, JOINED_CHARS = 1000, 1000
 
 #: Between a letter or digit and a single space that a letter follows, byte-level tokenizers always start a new pre-token.
 BEFORE_SPACE = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")
@@ -43,6 +45,12 @@ AT_SPACE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z])")
 #: Between a letter and a digit, either way: letters are runs of their own.
 AT_DIGIT = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 NEVER = re.compile(r"(?!)")
+#: A pre-tokenizer of this pattern starts anew between a letter or digit and other signs, and nothing before or after matters.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Chunks of ASCII and Latin-1 signs that compose with nothing, and those of them that end in signs after a letter or digit.
+PLAIN = "^[\x21-\x7E\u00C0-\u00FF]+$"
+LETTERS = "^[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+$"
+ENDING = "^(?P<core>[\x21-\x7E\u00C0-\u00FF]*[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])(?P<tail>[!-&(-/:-@\\[-`{-~]+)$"
 
 
 def tokenizer_path(name: str) -> str:
@@ -59,6 +67,13 @@ def drops_space(spec: dict) -> bool:
     return bool(split) and split["behavior"] == "Removed" and split["invert"] and r"[^\s" in split["pattern"].get("Regex", "") and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(r"\s", a["content"]) for a in special) and spec.get("post_processor") is None
 
 
+def parts_apart(spec: dict) -> bool:
+    """True if case doesn't matter, and a chunk's letters and digits are encoded apart from the signs that end it."""
+    normal = (spec.get("normalizer") or {}).get("normalizers") or [spec.get("normalizer") or {}]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
+    return drops_space(spec) and [n.get("type") for n in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": r"\s+"} and steps[0]["pattern"] == {"Regex": LETTERS_APART} and [x["type"] for x in steps[1:]] in ([], ["ByteLevel"])
+
+
 def cut_at(pattern: re.Pattern, text: str, most: int) -> list[str]:
     """The text in parts of about `most` characters, cut only at matches of the pattern, which are left out."""
     parts, at = [], 0
@@ -76,10 +91,8 @@ class Encoder:
 
     def __init__(self, name: str):
         path = tokenizer_path(name)
-        self.pieces, self.by_word = path.endswith(".model"), False
-        self.sizes: dict[str, int] = {}
-        self.ids: dict[str, bytes] = {}
-        self.kept = 0
+        self.pieces, self.by_word, self.apart = path.endswith(".model"), False, False
+        self.known, self.flat, self.ends = pa.array([], pa.large_string()), np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
         if self.pieces:
             import sentencepiece
 
@@ -98,6 +111,10 @@ class Encoder:
             spec = json.load(file)
         self.by_word = drops_space(spec)
         special = [a["content"] for a in spec.get("added_tokens") or []]
+        self.apart, self.special = parts_apart(spec), [a.lower() for a in special]
+        suffix = spec["model"].get("end_of_word_suffix") if self.apart else None
+        self.last = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        self.last[[i for token, i in self.library.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         if self.by_word:  # the pattern keeps letters apart from all else, and no special token holds a digit
             self.cut = AT_DIGIT if r"[\\p{L}]+|[\\p{N}]" in json.dumps(spec["pre_tokenizer"]) and not any(re.search("[0-9]", a) for a in special) else NEVER
         else:
@@ -116,42 +133,88 @@ class Encoder:
             at += len(some)
         return out
 
-    def of_chunks(self, chunks: list[str], kept: dict, keep) -> list:
-        """keep(ids) of each distinct chunk; what is kept from earlier batches isn't encoded again."""
-        missing = [c for c in chunks if c not in kept]
-        new = dict(zip(missing, map(keep, self.whole(missing))))
-        out = [kept[c] if c in kept else new[c] for c in chunks]
-        self.kept += sum(ENTRY_BYTES + 4 * len(c) for c in missing)
-        if self.kept > CACHE_BYTES:
-            self.sizes.clear()
-            self.ids.clear()
-            self.kept = 0
+    def parted(self, chunks: pa.LargeStringArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(parts, core, tail): chunk i is encoded as parts[core[i]] and then parts[tail[i]]; many chunks differ only in case and in the signs at their ends. The empty string is the last part. Chunks that hold the text of a special token stay as they are."""
+        low = pc.ascii_lower(chunks)
+        plain = pc.match_substring_regex(chunks, PLAIN)
+        for content in self.special:
+            plain = pc.and_not(plain, pc.match_substring(low, content))
+        low = pc.if_else(plain, low, chunks)
+        found = pc.extract_regex(pc.if_else(plain, low, pa.scalar(None, low.type)), ENDING)
+        split = found.is_valid()
+        core = pc.if_else(split, pc.struct_field(found, "core"), low)
+        tail = pc.if_else(split, pc.struct_field(found, "tail"), pa.scalar("", low.type))
+        coded = pc.dictionary_encode(pa.concat_arrays([core, tail, pa.array([""], low.type)]))
+        codes = np.asarray(coded.indices).astype(np.int64)
+        return coded.dictionary, codes[: len(chunks)], codes[len(chunks) : -1]
+
+    def fresh(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of chunks, by the library."""
+        found = self.whole(chunks.to_pylist())
+        return np.fromiter((i for ids in found for i in ids), dtype=np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+
+    def words_joined(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of words that are one pre-token each: with blanks between them they are encoded at once, since a word ends where a token of the ending kind stands."""
+        texts = [" ".join(words.slice(lo, JOINED).to_pylist()) for lo in range(0, len(words), JOINED)]
+        parts = [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(flat)):
+            return self.fresh(words)
+        return flat, np.concatenate([[0], ends]).astype(np.int64)
+
+    def of_missing(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of chunks that no earlier batch had."""
+        if not self.apart:
+            return self.fresh(chunks)
+        parts, core, tail = self.parted(chunks)
+        easy = np.asarray(pc.and_(pc.match_substring_regex(parts, LETTERS), pc.less_equal(pc.binary_length(parts), JOINED_CHARS)))
+        order = np.concatenate([np.flatnonzero(easy), np.flatnonzero(~easy)])
+        (ids, ends), (more, stops) = self.words_joined(parts.filter(pa.array(easy))), self.fresh(parts.filter(pa.array(~easy)))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return gathered(np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + stops[1:]]), place[np.stack([core, tail], axis=1).reshape(-1)], 2)
+
+    def of_chunks(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, offsets, at): chunk i is entry at[i]; what earlier batches had isn't encoded again."""
+        chunks = chunks.cast(pa.large_string())
+        at = pc.index_in(chunks, value_set=self.known)
+        missing = chunks.filter(at.is_null())
+        ids, offsets = self.of_missing(missing)
+        known, flat, ends = pa.concat_arrays([self.known, missing]), np.concatenate([self.flat, ids]), np.concatenate([self.ends, self.ends[-1] + offsets[1:]])
+        at = np.asarray(pc.fill_null(at, -1)).astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(missing))
+        # Arrow's table of the known chunks is built anew for each batch: some 16 bytes of each while it stands.
+        if known.nbytes + flat.nbytes + ends.nbytes + 16 * len(known) <= CACHE_BYTES:
+            self.known, self.flat, self.ends = known, flat, ends
         else:
-            kept.update(new)
-        return out
+            self.known, self.flat, self.ends = known[:0], flat[:0].copy(), np.zeros(1, dtype=np.int64)
+        return flat, ends, at
 
     def encoded(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
         if not self.by_word:
-            found = self.whole(texts.to_pylist())
-            return np.array([i for ids in found for i in ids], dtype=np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+            return self.fresh(texts)
         codes, words, offsets = words_of(texts, lower=False)
-        each = self.of_chunks(words.to_pylist(), self.ids, lambda ids: np.array(ids, dtype="<u4").tobytes())
-        flat = np.frombuffer(b"".join(each), dtype="<u4")
-        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        at = np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        return flat[at], np.concatenate([[0], ends])[offsets]
+        flat, ends, at = self.of_chunks(words)
+        ids, stops = gathered(flat, ends, at[codes])
+        return ids, stops[offsets]
 
     def counts(self, texts: pa.LargeStringArray) -> np.ndarray:
         """Tokens in each text; ids are dropped at once."""
         if not self.by_word:
             return np.array([len(x) for x in self.whole(texts.to_pylist())], dtype=np.int64)
         codes, words, offsets = words_of(texts, lower=False)
-        sizes = np.array(self.of_chunks(words.to_pylist(), self.sizes, len), dtype=np.int64)
-        return np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[offsets])
+        _, ends, at = self.of_chunks(words)
+        return np.diff(np.concatenate([[0], np.cumsum(np.diff(ends)[at][codes])])[offsets])
+
+
+def gathered(flat: np.ndarray, ends: np.ndarray, at: np.ndarray, each: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets): the ids of entries `at` one after the other, with an offset for every `each` of them."""
+    n = np.diff(ends)[at]
+    stops = np.cumsum(n)
+    place = np.repeat(ends[at] - (stops - n), n) + np.arange(stops[-1] if len(stops) else 0)
+    return flat[place], np.concatenate([[0], stops])[::each].astype(np.int64)
 
 
 ENCODERS: dict[str, Encoder] = {}
