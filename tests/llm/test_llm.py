@@ -624,6 +624,58 @@ def test_passages_against_brute_force(spark):
     assert got <= {d for some in inside.values() for d in some}, "a passage where none is"
 
 
+@pytest.mark.parametrize("many", [6, 150])
+def test_passages_at_a_line_that_many_hold(spark, monkeypatch, many):
+    """Pairs whose only common seeds are those of a line that others hold as well, so that neighbours in order seldom are the pair."""
+    monkeypatch.setattr(passages, "BLOCK", 64, raising=False)
+    line = prose(10, 7000)
+    rows = [(k, f"{prose(60, 7100 + k)} {line} {prose(60, 7400 + k)}") for k in range(many)]
+    for k in range(8 if many > 10 else 2):
+        before, after = prose(40, 7700 + k).split(), prose(40, 7800 + k).split()
+        for side in "ab":
+            left, right = ([f"{side}{n}" if n % 6 == out else w for n, w in enumerate(words)] for words, out in ((before, 3), (after, 0)))
+            rows.append((many + 2 * k + "ab".index(side), " ".join([prose(30, 7900 + len(rows)), *left, line, *right, prose(30, 8000 + len(rows))])))
+    got = {(r.doc_id, r.other_id) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = {(a, a + 1) for a in range(many, len(rows), 2)}
+    assert got == pairs | {(b, a) for a, b in pairs}
+
+
+@pytest.mark.parametrize("words", [3, 40, 10**6])
+def test_what_may_share_a_passage(words):
+    """Blocks of occurrences against a plain comparison of all pairs; with few words, so that texts repeat themselves, too."""
+    r = random.Random(words)
+    texts, at = [], []
+    for k in range(40):
+        left, right = ([r.randint(1, words) for _ in range(r.choice([0, 3, 30, 200]))] for _ in "ab")
+        if k % 3 and right:
+            right[: len(right) // 2] = (texts[k - 1][at[k - 1] + 7 :] + [0] * 200)[: len(right) // 2]
+        if k % 4 == 1 and left and texts[k - 1][: at[k - 1]]:
+            left[: 9] = texts[k - 1][: at[k - 1]][:9]
+        texts.append(left + list(range(-7, 0)) + right)
+        at.append(len(left))
+    near = [(t[max(0, p - passages.AROUND) : p + 7 + passages.AROUND], min(p, passages.AROUND)) for t, p in zip(texts, at)]
+
+    def may(one, two):
+        (x, p), (y, q) = one, two
+        lo, hi = 0, 7
+        while min(p, q) + lo > 0 and x[p + lo - 1] == y[q + lo - 1]:
+            lo -= 1
+        while p + hi < len(x) and q + hi < len(y) and x[p + hi] == y[q + hi]:
+            hi += 1
+        runs = lambda t, s: {(tuple(t[i : i + 4]), i - s) for i in range(len(t) - 3)}
+        return hi - lo >= 50 or any(g == h and not (i == j and lo <= i and i + 4 <= hi) for g, i in runs(x, p) for h, j in runs(y, q))
+
+    sizes = np.concatenate([[0], np.cumsum([len(t) for t, _ in near])])
+    flat, seats = np.array([w for t, _ in near for w in t]), np.array([p for _, p in near])
+    for split in (15, 40):
+        i, j = passages.supported(flat, sizes, seats, split)
+        got = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a != b}
+        expected = {(a, b) for a in range(split) for b in range(split if split < 40 else 0, 40) if a != b and may(near[a], near[b])}
+        assert expected <= got
+        if words > 40:
+            assert expected == got
+
+
 def test_passages_of_rows_that_share_an_id_or_have_none(spark):
     copy = prose(80, 790)
     rows = [(None, copy + " " + prose(30, 1)), (None, prose(30, 2) + " " + copy), (5, copy), (5, prose(60, 3)), (6, prose(90, 4))]
