@@ -498,6 +498,18 @@ def test_revealing_terms_go_where_the_entity_is_absent(spark):
     assert all(clean[k] == (t, len(t)) for k, t in enumerate(rows[:100]) if "term" not in got[k])
 
 
+def test_beginnings_are_counted_over_words(spark):
+    """What meets the wanted beginnings are words of the corpus: as many rows for many documents as for one."""
+    texts = [["marb", "marble", "mare", "q", "zo", "zorb"], ["mar", "marb"], ["m", "marbles"], []]
+    frame = spark.createDataFrame([(t,) for t in texts * 20], "words array<string>")
+    few = private.beginnings(F.col("words"), 5, frame)
+    assert few.count() == private.beginnings(F.col("words"), 5, frame.limit(4)).count() <= 8
+    wanted = spark.createDataFrame([(p,) for p in ("ma", "mar", "marb", "marbl", "zor", "zz")], "prefix string")
+    got = {r.prefix: r.df for r in private.counted(few, wanted, "df").collect()}
+    plain = {p: 20 * sum(any(w.startswith(p) for w in t) for t in texts) for p in ("ma", "mar", "marb", "marbl", "zor", "zz")}
+    assert got == {p: n for p, n in plain.items() if n}
+
+
 def test_running_sums(spark):
     r = random.Random(1)
     lists = [[r.randint(0, 9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 200, 5000)]

@@ -154,16 +154,23 @@ def most_documents(n: Column, total: int) -> Column:
     return n * F.pow(F.lit(float(total)) / n, F.lit(1 - DISCLOSURE)) + 1
 
 
-def beginnings(words: Column, heads: DataFrame, rows: DataFrame, *keep: str) -> DataFrame:
-    """(*keep, prefix): what the sorted words of each row begin with, as far as heads (head, most) ask for it, each once: a beginning that the word before has as well was counted with that one."""
+def beginnings(words: Column, most: int, rows: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, word, after, n): the sorted words of each row, cut to `most` letters, and how many of these the word before begins with as well; n: in how many rows. A beginning is counted with the words of which it is longer than that, so once in a row."""
     n = F.size(words)
     before = F.concat(F.array(F.lit("")), F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))))
-    each = rows.select(*keep, F.explode(F.arrays_zip(words.alias("word"), before.alias("before"))).alias("w")).select(*keep, "w.word", "w.before").where("word is not null")
-    each = each.join(heads, F.substring("word", 1, MIN_PREFIX) == F.col("head"))
-    sizes = F.sequence(F.lit(MIN_PREFIX), F.greatest(F.lit(MIN_PREFIX), F.least(F.length("word"), F.col("most"))))
-    each = each.select(*keep, "word", "before", F.explode(sizes).alias("size"))
-    cut = lambda c: F.substring(F.col(c), F.lit(1), F.col("size"))
-    return each.where(cut("word") != cut("before")).select(*keep, cut("word").alias("prefix"))
+    cut = lambda c: F.substring(c, 1, most)
+    each = rows.select(*keep, F.explode(F.arrays_zip(words.alias("word"), before.alias("before"))).alias("w")).where("w.word is not null")
+    each = each.select(*keep, cut("w.word").alias("word"), cut("w.before").alias("before")).where((F.length("word") >= MIN_PREFIX) & (F.col("word") != F.col("before")))
+    same = lambda k: F.substring(F.col("word"), F.lit(1), k) == F.substring(F.col("before"), F.lit(1), k)
+    shared = F.when(same(F.lit(MIN_PREFIX)), F.size(F.filter(F.sequence(F.lit(MIN_PREFIX), F.least(F.length("word"), F.length("before"))), same)) + MIN_PREFIX - 1).otherwise(MIN_PREFIX - 1)
+    return each.select(*keep, "word", shared.alias("after")).groupBy(*keep, "word", "after").agg(F.count("*").alias("n"))
+
+
+def counted(of: DataFrame, wanted: DataFrame, name: str, *keep: str) -> DataFrame:
+    """(*keep, prefix, name): in how many rows a word has one of the wanted beginnings (*keep, prefix). of: as beginnings() gives it; its rows are words of the corpus, not of documents."""
+    each = of.where(F.length("word") > F.col("after")).select(*keep, "word", "n", F.explode(F.sequence(F.col("after") + 1, F.length("word"))).alias("size"))
+    each = each.select(*keep, F.substring(F.col("word"), F.lit(1), F.col("size")).alias("prefix"), "n").groupBy(*keep, "prefix").agg(F.sum("n").alias(name))
+    return each.join(wanted, [*keep, "prefix"], "left_semi")
 
 
 def revealing(found: DataFrame, said: DataFrame, text: str = "text") -> DataFrame | None:
@@ -198,12 +205,13 @@ def revealing(found: DataFrame, said: DataFrame, text: str = "text") -> DataFram
     # Beginnings of the terms, each with the documents that hold a word that begins so.
     sizes = F.sequence(F.lit(MIN_PREFIX), F.length("term") - 1)
     tried = out.where(F.length("term") > MIN_PREFIX).select("entity", "term", "n", F.explode(sizes).alias("size")).withColumn("prefix", F.substring(F.col("term"), F.lit(1), F.col("size")))
-    heads = light(tried.select(F.substring("prefix", 1, MIN_PREFIX).alias("head"), F.col("size")).groupBy("head").agg(F.max("size").alias("most")), "head")
-    prefixes = light(tried.select("prefix").distinct(), "prefix")
-    df = beginnings(F.col("words"), heads, whole).join(prefixes, "prefix", "left_semi").groupBy("prefix").agg(F.count("*").alias("df"))
-    asked = light(out.select("entity").distinct(), "entity")
-    inside = beginnings(F.col("terms"), heads, told.select("ents.entity", "terms"), "entity").join(prefixes, "prefix", "left_semi")
-    both = inside.select("prefix", F.explode("entity").alias("entity")).join(asked, "entity", "left_semi").groupBy("entity", "prefix").agg(F.count("*").alias("both"))
+    longest = tried.agg(F.max("size")).first()[0] or MIN_PREFIX
+    df = counted(beginnings(F.col("words"), longest, whole), light(tried.select("prefix").distinct(), "prefix"), "df")
+    # Of an entity's documents only the words count that begin like one of its terms; they stay in order.
+    asked = light(tried.groupBy("entity").agg(F.collect_set(F.substring("prefix", 1, MIN_PREFIX)).alias("heads")), "entity")
+    inside = told.select("terms", F.explode("ents.entity").alias("entity")).join(asked, "entity")
+    inside = inside.select("entity", F.filter("terms", lambda w: F.array_contains("heads", F.substring(w, 1, MIN_PREFIX))).alias("terms"))
+    both = counted(beginnings(F.col("terms"), longest, inside, "entity"), tried.select("entity", "prefix").distinct(), "both", "entity")
     fits = tried.join(df, "prefix").join(both, ["entity", "prefix"]).where(disclosed(F.col("both"), F.col("df"), F.col("n"), total) < DISCLOSURE)
     longest = fits.groupBy("entity", "term").agg(F.max("size").alias("size"))
     put = F.coalesce(F.concat(F.substring(F.col("term"), F.lit(1), F.col("size")), F.lit("*")), F.lit(""))
