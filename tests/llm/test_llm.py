@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from tidemark.llm import content, decontaminate, lm, packing, passages, private, quality, queries, similar, simhash, tokens, urls
+from tidemark.llm import common, content, decontaminate, lm, packing, passages, private, quality, queries, similar, simhash, tokens, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -844,6 +844,28 @@ def test_one_of_each_equals_brute_force(spark, docs, plain, chunk, monkeypatch):
     assert got == expected
 
 
+def test_texts_stay_where_they_are_in_near_dedup(spark, docs):
+    """Whatever size the list of kept rows has, it goes to the texts and no text moves."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = similar.one_of_each(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and out.count() < docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [1_600_000, 2])
+def test_rows_among_marks(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MARKED", most)
+    numbers = [0, 1, 62, 63, 64, 127, 128, 1000, (1 << 33) - 1, 1 << 33, (1 << 33) + 63, (5 << 33) + 7]
+    rows = spark.createDataFrame([(n, str(n)) for n in numbers] * 2 + [(None, "none")], "row long, text string")
+    for chosen in ([], [63], numbers[::2], numbers):
+        ids = spark.createDataFrame([(n,) for n in chosen + chosen[:1] + [None, 65]], "row long")
+        assert Counter(tuple(r) for r in common.among(rows, ids, "row").collect()) == Counter((n, str(n)) for n in chosen * 2)
+
+
 def test_similarity_of_just_enough(spark):
     """Shared 24 of 30 and 30 shingles is a cosine of 0.8 and a link; 23 is not."""
     base = [f"w{k}" for k in range(34)]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, hashes_of, mix, numbered, saved, scope, shuffle_partitions, spans_of, text_array, words_of
+from .common import among, by_bytes, hashes_of, mix, numbered, saved, scope, shuffle_partitions, spans_of, text_array, words_of
 from .simhash import components, near_groups
 
 SHINGLE = 5
@@ -225,7 +225,7 @@ def similar_links(rows: DataFrame, groups: DataFrame | None = None, similar: flo
     more = groups.select(F.col("row").alias("node"), "g") if groups is not None else nodes.select("node", F.lit(0).cast("long").alias("g")).where("false")
     met = saved(candidates(nodes, more), "candidates")
     wanted = met.select(F.col("node").alias("row")).distinct()
-    sets = saved(shingle_sets(rows.join(wanted, "row", "left_semi").select(F.col("row").alias("node"), "text")), "shingle-sets")
+    sets = saved(shingle_sets(among(rows, wanted, "row").select(F.col("row").alias("node"), "text")), "shingle-sets")
     load = nodes.join(wanted.withColumnRenamed("row", "node"), "node", "left_semi").agg(F.sum("size")).first()[0] or 0
     tasks = max(shuffle_partitions(spark), -(-4 * load // TASK_BYTES))
     # 1. Stars: chunks of each center's nodes, with the center.
@@ -284,4 +284,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         roots = nodes.join(tied, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
         kept = saved(roots.select(F.col("first.kept").alias("__row")), "kept-rows")
         keep(kept)
-    return whole.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return among(whole, kept, "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
