@@ -510,6 +510,18 @@ def test_beginnings_are_counted_over_words(spark):
     assert got == {p: n for p, n in plain.items() if n}
 
 
+def test_words_are_summed_up_before_they_meet_beginnings(spark):
+    """A join with the wanted beginnings makes a row for each of these, however many words begin so."""
+    of = spark.createDataFrame([("e%d" % (k % 2), f"ma{k:03d}", 1, 1 + k % 3) for k in range(600)], "entity string, word string, after int, n long")
+    for keep in ([], ["entity"]):
+        wanted = spark.createDataFrame([("e1", "ma"), ("e1", "ma1"), ("e0", "zz")], "entity string, prefix string").select(*keep, "prefix")
+        out = private.counted(of, wanted, "df", *keep)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join ") < plan.index("Aggregate ")
+        plain = {p: sum(1 + k % 3 for k in range(600) if f"ma{k:03d}".startswith(p) and (not keep or k % 2)) for p in ("ma", "ma1")}
+        assert {r.prefix: r.df for r in out.collect()} == plain
+
+
 def test_running_sums(spark):
     r = random.Random(1)
     lists = [[r.randint(0, 9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 200, 5000)]

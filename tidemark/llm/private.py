@@ -167,10 +167,11 @@ def beginnings(words: Column, most: int, rows: DataFrame, *keep: str) -> DataFra
 
 
 def counted(of: DataFrame, wanted: DataFrame, name: str, *keep: str) -> DataFrame:
-    """(*keep, prefix, name): in how many rows a word has one of the wanted beginnings (*keep, prefix). of: as beginnings() gives it; its rows are words of the corpus, not of documents."""
+    """(*keep, prefix, name): in how many rows a word has one of the wanted beginnings (*keep, prefix; distinct). of: as beginnings() gives it; its rows are words of the corpus, not of documents."""
     each = of.where(F.length("word") > F.col("after")).select(*keep, "word", "n", F.explode(F.sequence(F.col("after") + 1, F.length("word"))).alias("size"))
     each = each.select(*keep, F.substring(F.col("word"), F.lit(1), F.col("size")).alias("prefix"), "n").groupBy(*keep, "prefix").agg(F.sum("n").alias(name))
-    return each.join(wanted, [*keep, "prefix"], "left_semi")
+    # No left_semi: Spark would carry it out on the words, before they are summed up.
+    return each.join(wanted, [*keep, "prefix"])
 
 
 def revealing(found: DataFrame, said: DataFrame, text: str = "text") -> DataFrame | None:
