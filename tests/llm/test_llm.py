@@ -664,6 +664,33 @@ def test_passages_at_a_line_that_many_hold(spark, monkeypatch, many):
     assert got == pairs | {(b, a) for a, b in pairs}
 
 
+def test_passages_through_words_that_repeat(spark, monkeypatch):
+    """Runs of one word, and of a line, that many documents hold: their occurrences don't all meet, and passages through and of them are found."""
+    monkeypatch.setattr(passages, "BLOCK", 64)
+    line = prose(9, 9000)
+    rows = [(k, f"{prose(60, 9100 + k)} {'zz ' * (20 + k % 10)} {prose(60, 9200 + k)} {f'{line} ' * (2 + k % 3)} {prose(60, 9300 + k)}") for k in range(30)]
+    for k in range(3):
+        before, after = prose(40, 9400 + k).split(), prose(40, 9500 + k).split()
+        for side in "ab":
+            left, right = ([f"{side}{n}" if n % 6 == out else w for n, w in enumerate(words)] for words, out in ((before, 3), (after, 0)))
+            rows.append((len(rows), " ".join([prose(30, 9600 + len(rows)), *left, *["zz"] * (22 + 2 * (side == "b")), *right, prose(30, 9700 + len(rows))])))
+    rows += [(len(rows) + k, f"{prose(30, 9800 + k)} {'zz ' * n} {prose(30, 9900 + k)}") for k, n in enumerate((60, 130))]
+    plain, made = passages.left_over, []
+
+    def counting(*args):
+        made.append(plain(*args).count())
+        return plain(*args)
+
+    monkeypatch.setattr(passages, "left_over", counting)
+    out = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.other_id) for r in out}
+    pairs = {(a, a + 1) for a in (30, 32, 34, 36)}
+    assert got == pairs | {(b, a) for a, b in pairs}
+    for k, n in ((36, 60), (37, 130)):
+        assert {w for r in out if r.doc_id == k for w in range(r.first, r.last)} >= set(range(30, 30 + n))
+    assert made[0] < 20_000
+
+
 @pytest.mark.parametrize("words", [3, 40, 10**6])
 def test_what_may_share_a_passage(words):
     """Blocks of occurrences against a plain comparison of all pairs; with few words, so that texts repeat themselves, too."""
