@@ -230,3 +230,12 @@ def test_trees_lose_no_pair(sets, salt):
     half = len(sets) // 2
     host = jaccard.hosts_of(sets[:half], sets[half:], 85)
     assert [h >= 0 for h in host] == [any((i, half + k) in want for i in range(half)) for k in range(len(sets) - half)]
+
+
+def test_jaccard_pairs_that_all_are_settled():
+    """More near copies than one step compares: once all are linked, no pair of the rest is left to compare."""
+    base = np.arange(100, dtype=np.uint64) * np.uint64(1 << 57)
+    sets = [np.sort(jaccard.mix(np.append(base + np.uint64(7), np.uint64(k)))) for k in range(3 * jaccard.FAN)]
+    assert (jaccard.connected(sets, 85) == 0).all()
+    assert (jaccard.hosts_of(sets[1:], sets[:1], 85) >= 0).all()
+    assert not len(jaccard.linked(sets, sets, np.zeros(0, np.int64), np.zeros(0, np.int64), 85))

@@ -211,7 +211,9 @@ def pairs(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def linked(sets: list[np.ndarray], others: list[np.ndarray], one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
-    """Of pairs (one, other) those whose sets link, exactly."""
+    """Of pairs (one, other) those whose sets link, exactly. There may be no pair left."""
+    if not len(one):
+        return np.zeros(0, dtype=bool)
     if len(np.unique(one)) > len(np.unique(other)):
         return linked(others, sets, other, one, percent)
     out = np.zeros(len(one), dtype=bool)
